@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from triscope.functions.keys import clean_key
 from triscope.llm import mojibake
+from triscope.llm.canonical import plain_forms, with_plain
+from triscope.llm.leakage import leaks
 from triscope.sources.tables import table
 
 
@@ -28,8 +30,43 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(_names(spark, d), "file_id").where("spoilt >= 0.5").select("file_id", "field").distinct()
 
 
+def _fragments(spark: SparkSession, d: str) -> DataFrame:
+    """check_id, field, pos, text of the values and the evidence's fragments."""
+    checks = table(spark, d, "checks", "check_id", "pd_value", "rd_value", "evidence")
+    own = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(-1).cast("bigint").alias("pos"), F.col(c).alias("text")) for c in ("pd_value", "rd_value")))
+    fragments = F.transform("evidence", lambda e, i: F.struct(F.lit("evidence.fragment").alias("field"), i.cast("bigint").alias("pos"), e["fragment"].alias("text")))
+    return checks.select("check_id", F.inline(F.concat(own, F.coalesce(fragments, F.array())))).where("text is not null").distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values and fragments that aren't in plain form."""
+    rows = _fragments(spark, d)
+    return rows.join(plain_forms(rows).select("text"), "text").select("check_id", "field", "pos").distinct()
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Checks whose design and working value are equal as stored, and in plain form, by violation label."""
+    checks = table(spark, d, "checks", "check_id", "violation_label", "pd_value", "rd_value").where("pd_value is not null and rd_value is not null").distinct()
+    plain = with_plain(with_plain(checks, "pd_value", "pd_plain"), "rd_value", "rd_plain")
+    return plain.groupBy("violation_label").agg(F.count("*").alias("n"), F.count_if(F.col("pd_value") == F.col("rd_value")).alias("n_equal_stored"), F.count_if(F.col("pd_plain") == F.col("rd_plain")).alias("n_equal_plain"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items of which they hold twelve words in a row."""
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked: documents and distinct windows found of each."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("window_no").alias("n_windows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_repairs)}
+    return {f.__name__: f for f in (p3_found, p3_repairs, p4_found, p4_agreement, p6_found, p6_items)}
 
 
 def oracle_sql() -> dict[str, str]:
