@@ -66,7 +66,7 @@ def mapping_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(mapping(), T.StructType([T.StructField("c", T.StringType()), T.StructField("to", T.ArrayType(kind))]))
 
 
-_WORD = re.compile(r"[^\W_](?:[^\W_]|[̀-ͯ])*")
+_WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*")
 
 
 def one_alphabet(match: re.Match) -> str:

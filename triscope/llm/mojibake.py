@@ -247,8 +247,8 @@ def _statistics(patterns: DataFrame, judge: Judge | None) -> tuple[dict, dict]:
         chains: dict[tuple[str, str, str], float] = defaultdict(float)
         for b in batches:
             for source, field, pattern, n in zip(*(c.to_pylist() for c in b.columns)):
-                if "�" in pattern:
-                    pattern = "/".join(p for p in pattern.split("/") if "�" not in p)
+                if "\ufffd" in pattern:
+                    pattern = "/".join(p for p in pattern.split("/") if "\ufffd" not in p)
                 if judge is None:
                     for p in pattern.split("/"):
                         if _PLAIN.issuperset(p):
@@ -304,10 +304,10 @@ def repair(fields: DataFrame, key: str, iterations: int = ITERATIONS) -> DataFra
                 if text.isascii():
                     out.append((text, SAME, 0.0))
                     continue
-                _, best = judge.text(source or "", field, "/".join("" if "�" in p else p for p in mask(text).split("/")))
+                _, best = judge.text(source or "", field, "/".join("" if "\ufffd" in p else p for p in mask(text).split("/")))
                 parts, chains, same = [], [], 1.0
                 for part, (z, p) in zip(text.split("/"), best):
-                    if "�" in part:
+                    if "\ufffd" in part:
                         chains.append(LOST)
                         same = 0.0
                     elif z and p >= 0.5 and (t := undo_chain(part, z)) is not None:

@@ -11,6 +11,8 @@ from triscope.functions.keys import clean_key
 from triscope.llm import mojibake
 from triscope.llm.canonical import plain_forms, with_plain
 from triscope.llm.leakage import leaks
+from triscope.llm.mixture import mixture
+from triscope.llm.subjects import assign_subjects
 from triscope.sources.tables import table
 
 
@@ -65,8 +67,39 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("window_no").alias("n_windows"))
 
 
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "source_weights"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their copies."""
+    return _mixture(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each weighted source."""
+    return _mixture(spark, d)[1]
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return assign_subjects(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "subjects"), table(spark, d, "subject_labels", "doc_id", "subject_code"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of each document."""
+    return _subjects(spark, d)
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus by subject: documents, and characters shared evenly among a document's subjects."""
+    of = _subjects(spark, d)
+    size = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.length("text").alias("chars"))
+    shares = of.join(of.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").join(size, "doc_id")
+    return shares.groupBy("subject_code").agg(F.count("*").alias("n_docs"), F.sum(F.col("chars") / F.col("n")).alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_repairs, p4_found, p4_agreement, p6_found, p6_items)}
+    return {f.__name__: f for f in (p3_found, p3_repairs, p4_found, p4_agreement, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
