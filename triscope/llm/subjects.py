@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +52,20 @@ _END = re.compile(r"[.;!?…]+[»\")]*(?:\s|$)")
 _LATIN = re.compile(r"[b-dfgijlnqrsuvwz]")
 
 
+@cache
+def _vanishing() -> re.Pattern:
+    """Characters that a text must lose before its words can be told."""
+    return re.compile("[" + "".join(map(re.escape, (chr(c) for c, to in table().items() if to is None))) + "]")
+
+
 class Terms(dict):
-    """Word -> (number, 1 if of the Latin alphabet), filled as words come up."""
+    """Lower-case word -> twice the number of its term, plus 1 if of the Latin alphabet; filled as words come up."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        v = self[word] = zlib.crc32(word[:STEM].encode()) % BUCKETS, int(bool(_LATIN.search(word)))
+        folded = word.translate(table())
+        v = self[word] = 2 * (zlib.crc32(folded[:STEM].encode()) % BUCKETS) + bool(_LATIN.search(folded))
         return v
 
 
@@ -66,37 +74,41 @@ def passages(text: str) -> Iterator[tuple[int, str]]:
     for line in _LINES.split(text):
         if not line or line.isspace():
             continue
-        ends = [m.end() for m in _END.finditer(line)]
-        n = len(ends)
+        n = len(_END.findall(line))
         if n <= LONGEST:
             yield n, line
             continue
+        ends = [m.end() for m in _END.finditer(line)]
         size = LONGEST // 2
         cuts = [0, *ends[size - 1 : n - size : size], len(line)]
         for a, b in zip(cuts, cuts[1:]):
             yield sum(a < e <= b for e in ends), line[a:b]
 
 
-def _rows(pairs: Iterator[tuple[object, str]], terms: Terms, translation: dict) -> tuple[list, ...]:
-    keys, sentences, latin, ids, counts = [], [], [], [], []
+def _rows(pairs: Iterator[tuple[object, str]], terms: Terms) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sentences and alphabet of the passages; sizes, terms and counts of their bags of terms."""
+    keys, sentences, lengths, found = [], [], [], []
+    vanishing, number, find = _vanishing(), terms.__getitem__, _WORDS.findall
     for key, text in pairs:
+        text = text.lower()
+        if vanishing.search(text):
+            text = text.translate(table())
         for n, p in passages(text):
-            found = [terms[w] for w in _WORDS.findall(p.lower().translate(translation))]
-            number = np.fromiter((f[0] for f in found), np.int32, len(found))
-            unique, tf = np.unique(number, return_counts=True)
+            ws = find(p)
+            found.extend(map(number, ws))
             keys.append(key)
             sentences.append(min(n, 127))
-            latin.append(sum(f[1] for f in found) * 3 > len(found))
-            ids.append(unique)
-            counts.append(tf.astype(np.int8) if len(tf) == 0 or tf.max() < 127 else np.minimum(tf, 127).astype(np.int8))
-    return keys, sentences, latin, ids, counts
+            lengths.append(len(ws))
+    total = len(keys)
+    all_terms, at = np.array(found, np.int64), np.repeat(np.arange(total), lengths)
+    latin = np.bincount(at, all_terms & 1, total) * 3 > np.array(lengths)
+    pairs_of, counts = np.unique(at * BUCKETS + (all_terms >> 1), return_counts=True)
+    sizes = np.bincount(pairs_of // BUCKETS, minlength=total)
+    return keys, np.array(sentences, np.int8), latin, sizes, (pairs_of % BUCKETS).astype(np.int32), np.minimum(counts, 127).astype(np.int8)
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    flat = np.concatenate(arrays) if arrays else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
 
 
 def term_table(documents: DataFrame) -> DataFrame:
@@ -104,10 +116,10 @@ def term_table(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, translation = Terms(), table()
+        terms = Terms()
         for b in batches:
-            keys, sentences, latin, ids, counts = _rows(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), terms, translation)
-            columns = [pa.array(keys, b.schema.field(0).type), pa.array(sentences, pa.int8()), pa.array(latin, pa.bool_()), _lists(ids, pa.int32()), _lists(counts, pa.int8())]
+            keys, sentences, latin, sizes, ids, counts = _rows(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), terms)
+            columns = [pa.array(keys, b.schema.field(0).type), pa.array(sentences), pa.array(latin), _lists(sizes, ids), _lists(sizes, counts)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sentences", "latin", "terms", "counts"])
 
     return documents.select("doc_id", "text").where(r"text rlike '[^\\s\\p{Z}]'").mapInArrow(run, f"doc_id {kind}, sentences tinyint, latin boolean, terms array<int>, counts array<tinyint>")
@@ -234,9 +246,8 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     seen = np.zeros((BUCKETS, n))
     if len(by_subject):
         seen[by_subject["term"], [codes.index(c) for c in by_subject["subject_code"]]] = by_subject["count"]
-    titles = _rows(iter(named), Terms(), table())
-    for code, ids in zip(titles[0], titles[3]):
-        seen[ids, codes.index(code)] += 1
+    title_codes, _, title_latin, title_sizes, title_terms, title_counts = _rows(iter(named), Terms())
+    np.add.at(seen, (title_terms, np.repeat([codes.index(c) for c in title_codes], title_sizes).astype(int)), 1)
     share = (seen.sum(0) + 1) / (seen.sum() + n)
     given = (seen + 2 * share) / (seen.sum(1, keepdims=True) + 2)
     information = (given * np.log(given / share)).sum(1)
@@ -276,10 +287,8 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
 
     found = _summed(long.join(known, "doc_id").select("e", "latin", "subject_code").mapInArrow(seeds, _PARTS))
     sums = found.reshape(2 * n, k) if len(found) else np.zeros((2 * n, k))
-    if titles[3]:
-        vectors = _unit(space.embed(*space.weighted(np.concatenate(titles[3]), np.concatenate(titles[4]), np.array(list(map(len, titles[3])))), len(titles[3])))
-        for code, latin, e in zip(titles[0], titles[2], vectors):
-            sums[codes.index(code) + n * int(latin)] += e
+    vectors = _unit(space.embed(*space.weighted(title_terms, title_counts, title_sizes), len(title_sizes)))
+    np.add.at(sums, [codes.index(c) + n * int(x) for c, x in zip(title_codes, title_latin)], vectors)
     centroids = _unit(sums)
 
     for _ in range(REFINEMENTS):
