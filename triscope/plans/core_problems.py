@@ -85,12 +85,35 @@ found AS (SELECT DISTINCT ref_table, ref_key, refs.k AS missing_key,
 """
 
 
+#: Objects of the registry JSON by their paths. An object in place of a list gets the place 0; the replacement runs once per
+#: list field, and for nested archives once per level.
+_P1 = r"""
+WITH s AS (SELECT DISTINCT nullif(upper(trim(file_id)), '') AS k, ltrim(manifest_row, chr(65279)) AS m FROM files WHERE manifest_row IS NOT NULL),
+v AS (SELECT k, CASE WHEN json_type(m) = 'VARCHAR' THEN m ->> '$' ELSE m END AS m FROM s WHERE json_valid(m)),
+t AS (SELECT v.k, j.key, j.type, j.fullkey, j.path FROM v, json_tree(v.m) AS j WHERE json_valid(v.m)),
+r AS (SELECT k, path AS root FROM t WHERE key = 'schema_version'),
+o AS (SELECT DISTINCT t.k, substr(fullkey, length(root) + 1) || '.' AS p FROM t JOIN r ON t.k = r.k WHERE type = 'OBJECT' AND starts_with(fullkey, root)),
+l AS (SELECT k, {0} AS p FROM o),
+n AS (SELECT k, p, regexp_extract_all(p, '\[([0-9]+)\]', 1) AS places FROM l WHERE regexp_matches(p, '\[[0-9]+\]\.$'))
+SELECT 'files' AS src, k AS record_key, ltrim(rtrim(regexp_replace(p, '\[[0-9]+\]', '', 'g'), '.'), '.') AS list_path, array_to_string(places[:-2], '.') AS parent_pos, CAST(places[-1] AS BIGINT) AS pos FROM n
+UNION SELECT 'checks', CAST(check_id AS VARCHAR), 'evidence', '', i - 1 FROM (SELECT check_id, unnest(evidence) AS e, generate_subscripts(evidence, 1) AS i FROM checks) WHERE e IS NOT NULL
+"""
+
+
+def _p1_sql() -> str:
+    p = "p"
+    for name in ("revisions", "sheets", "stamps", "page_kinds", *["members"] * 6):
+        p = f"replace({p}, '.{name}.', '.{name}[0].')"
+    return _P1.format(p)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_stamps, p2_found, p2_counts, p5_found, p5_report)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _p1_sql(),
         "p5_found": _P5 + "SELECT ref_table, ref_key, missing_key, reason, period FROM found WHERE reason IS NOT NULL",
         "p5_report": _P5 + "SELECT ref_table, period, reason, count(*) AS n_refs, count(DISTINCT missing_key) AS n_keys FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3",
     }
