@@ -20,16 +20,16 @@ documents count as one document. An empty corpus gives no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triscope.llm.words import table
+from triscope.llm.words import odd, table
 from triscope.sources.scratch import written
 
 #: At most so many labelled documents, chosen by hash, inform term weights and seeds.
@@ -46,18 +46,13 @@ LEAST_DOCS = 3
 CLEAR = 0.1
 OTHER = "OTHER"
 
+_HAS_TEXT = r"text rlike '[^\\s\\p{Z}]'"
 _WORDS = re.compile(r"[^\W\d_]{3,}")
 _LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _END = re.compile(r"[.;!?…]+[»\")]*(?:\s|$)")
 _LATIN = re.compile(r"[b-dfgijlnqrsuvwz]")
 
 
-@cache
-def _vanishing() -> re.Pattern:
-    """Characters that a text must lose before its words can be told."""
-    return re.compile("[" + "".join(map(re.escape, (chr(c) for c, to in table().items() if to is None))) + "]")
-
-
 class Terms(dict):
     """Lower-case word -> twice the number of its term, plus 1 if of the Latin alphabet; filled as words come up."""
 
@@ -88,11 +83,11 @@ def passages(text: str) -> Iterator[tuple[int, str]]:
 def _rows(pairs: Iterator[tuple[object, str]], terms: Terms) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, sentences and alphabet of the passages; sizes, terms and counts of their bags of terms."""
     keys, sentences, lengths, found = [], [], [], []
-    vanishing, number, find = _vanishing(), terms.__getitem__, _WORDS.findall
+    split_by, number, find = odd(), terms.__getitem__, _WORDS.findall
     for key, text in pairs:
         text = text.lower()
-        if vanishing.search(text):
-            text = text.translate(table())
+        if split_by.search(text):
+            text = unicodedata.normalize("NFC", text).translate(table())
         for n, p in passages(text):
             ws = find(p)
             found.extend(map(number, ws))
@@ -122,7 +117,7 @@ def term_table(documents: DataFrame) -> DataFrame:
             columns = [pa.array(keys, b.schema.field(0).type), pa.array(sentences), pa.array(latin), _lists(sizes, ids), _lists(sizes, counts)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sentences", "latin", "terms", "counts"])
 
-    return documents.select("doc_id", "text").where(r"text rlike '[^\\s\\p{Z}]'").mapInArrow(run, f"doc_id {kind}, sentences tinyint, latin boolean, terms array<int>, counts array<tinyint>")
+    return documents.select("doc_id", "text").where(_HAS_TEXT).mapInArrow(run, f"doc_id {kind}, sentences tinyint, latin boolean, terms array<int>, counts array<tinyint>")
 
 
 def _flat(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -235,6 +230,8 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     named = sorted({(r[0], f"{r[1] or ''}\n{r[2] or ''}") for r in subjects.select("subject_code", "title_ru", "title_en").collect() if r[0]})
     codes = [c for c, _ in named]
     n = len(codes)
+    if not n:
+        return documents.where(_HAS_TEXT).select("doc_id", F.lit(OTHER).alias("subject_code")).distinct()
     table_of_terms = written(term_table(documents), "terms")
     known = labels.where(F.col("subject_code").isin(codes) & F.col("doc_id").isNotNull()).select("doc_id", "subject_code").distinct()
     known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))  # bounded by the parameter
@@ -320,6 +317,6 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
             code = [codes[c % n] if y and codes[c % n] != OTHER else None for c, y in zip(best.tolist(), ok.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.string())], ["doc_id", "subject_code"])
 
-    each = embedded.mapInArrow(final, f"doc_id {kind}, subject_code string") if n else embedded.select("doc_id", F.lit(None).cast("string").alias("subject_code"))
+    each = embedded.mapInArrow(final, f"doc_id {kind}, subject_code string")
     per_document = each.groupBy("doc_id").agg(F.collect_set("subject_code").alias("codes"))  # a set of at most so many codes as there are subjects
     return per_document.select("doc_id", F.explode(F.when(F.size("codes") > 0, F.col("codes")).otherwise(F.array(F.lit(OTHER)))).alias("subject_code"))

@@ -16,7 +16,7 @@ _BREAK = re.compile(r"(?<=\w)(?:-|‐|‑|\xad)[^\S\n]*\r?\n\s*(?=\w)")
 def table() -> dict[int, str | None]:
     """Translation of lower-case text; built by rule from the character database."""
     out: dict[int, str | None] = {ord(a): b for a, b in LOOSE.items()}
-    for cp in [*range(0x80, 0x590), *range(0x1E00, 0x2070), *range(0x2070, 0x2100), *range(0xFB00, 0xFB07), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]:
+    for cp in [*range(0x80, 0x590), *range(0x1E00, 0x2070), *range(0x2070, 0x2100), *range(0xF900, 0xFB07), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]:
         c = chr(cp)
         kind = unicodedata.category(c)
         if kind in ("Cf", "Mn"):
@@ -24,14 +24,36 @@ def table() -> dict[int, str | None]:
         elif kind[0] in "LN":
             base = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if unicodedata.category(x) not in ("Cf", "Mn"))
             base = "".join(LOOSE.get(x, x) for x in base)
-            if base != c:
+            if base != c and base.isalnum():
                 out[cp] = base
     return out
 
 
+@cache
+def odd() -> re.Pattern:
+    """Characters that a text must lose, or put together, before its words can be told."""
+    return re.compile("[\u1100-\u11ff" + "".join(re.escape(chr(c)) for c, to in table().items() if to is None) + "]")
+
+
+class Forms(dict):
+    """Lower-case word -> its form; filled as words come up."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        form = self[word] = word.translate(table())
+        return form
+
+
+_FORMS = Forms()
+
+
 def words(text: str) -> list[str]:
     """Runs of letters and digits of a text, each in the one form of all that read the same."""
-    return _WORD.findall(text.lower().translate(table()))
+    text = text.lower()
+    if odd().search(text):
+        text = unicodedata.normalize("NFC", text).lower().translate(table())
+    return list(map(_FORMS.__getitem__, _WORD.findall(text)))
 
 
 def joined_words(text: str) -> list[str] | None:
