@@ -100,4 +100,4 @@ def mixture(documents: DataFrame, weights: DataFrame, tokenizer: str = TOKENIZER
     chosen = sample(counts, planned, seed)
     drawn = chosen.groupBy("source").agg(F.count("*").alias("n_chosen"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens_drawn"))
     report = planned.join(drawn, "source", "left").fillna(0, ["n_docs", "tokens", "n_chosen", "n_copies", "most_copies", "tokens_drawn"])
-    return chosen, report.withColumn("reached_share", F.coalesce(F.col("tokens_drawn") / F.sum("tokens_drawn").over(W.partitionBy()), F.lit(0.0)))
+    return chosen, report.withColumn("reached_share", F.coalesce(F.try_divide(F.col("tokens_drawn").cast("double"), F.sum("tokens_drawn").over(W.partitionBy())), F.lit(0.0)))
