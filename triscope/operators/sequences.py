@@ -11,10 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def islands(df: DataFrame, key: list[str], value: str) -> DataFrame:
+def numbered(df: DataFrame, key: list[str], chunk: Column, order: list[Column | str], name: str = "no") -> DataFrame:
+    """Each row with its number from 1 within its key, in order of ``chunk`` (null first) and then ``order``.
+
+    Two levels: numbers within a chunk, and counts of the chunks before it, so that only the table of chunks is ever sorted by
+    key as a whole. ``chunk`` must not run against ``order``.
+    """
+    rows = df.withColumn("__chunk", chunk)
+    before = W.partitionBy(*key).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*key, "__chunk").agg(F.count("*").alias("__n"))
+    starts = counts.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("__chunk").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    local = rows.withColumn("__local", F.row_number().over(W.partitionBy(*key, "__chunk").orderBy(*order)))
+    same = F.col("__chunk").eqNullSafe(F.col("__c"))
+    for k in key:
+        same = same & local[k].eqNullSafe(F.col(f"__{k}"))
+    return local.join(starts, same).withColumn(name, F.col("__local") + F.col("__start")).drop("__chunk", "__c", "__start", "__local", *(f"__{k}" for k in key))
+
+
+def islands(df: DataFrame, key: list[str], value: str, chunk: int = 4096) -> DataFrame:
     """first, last, n of the runs of consecutive whole numbers of ``value`` per key; repeated numbers count once."""
-    w = W.partitionBy(*key).orderBy(value)
-    return df.where(F.col(value).isNotNull()).select(*key, value).distinct().withColumn("__i", F.col(value) - F.row_number().over(w)).groupBy(*key, "__i").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("__i")
+    distinct = df.where(F.col(value).isNotNull()).select(*key, value).distinct()
+    rows = numbered(distinct, key, F.floor(F.col(value) / chunk), [value], "__no").withColumn("__i", F.col(value) - F.col("__no"))
+    return rows.groupBy(*key, "__i").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("__i")
 
 
 def range_text(df: DataFrame, key: list[str]) -> DataFrame:
@@ -34,18 +52,18 @@ def expand_ranges(c: Column) -> Column:
 def merge_intervals(df: DataFrame, key: str, start: str, end: str, gap: float = 0.0, chunk: float = 86_400.0) -> DataFrame:
     """Unions of the intervals of a key that overlap or lie at most ``gap`` apart: key, start, end, n. Numbers, not times.
 
-    First within chunks of the start (each a window of its own), then over the few merged pieces.
+    Two levels: how far the intervals reach is known within a chunk of starts by a window, and from the chunks before by one over
+    the chunks' own reach; the same holds for the number of unions begun.
     """
-
-    def merge(rows: DataFrame, part: list[str]) -> DataFrame:
-        w = W.partitionBy(*part).orderBy(start, end)
-        reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-        opens = (reach.isNull() | (F.col(start) > reach + gap)).cast("int")
-        numbered = rows.withColumn("__o", opens).withColumn("__g", F.sum("__o").over(w.rowsBetween(W.unboundedPreceding, 0)))
-        return numbered.groupBy(*part, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("__g")
-
-    rows = df.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start))).select(key, start, end, F.lit(1).cast("bigint").alias("n"), F.floor(F.col(start) / chunk).alias("__chunk"))
-    return merge(merge(rows, [key, "__chunk"]).drop("__chunk"), [key])
+    rows = df.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start))).select(key, start, end, F.floor(F.col(start) / chunk).alias("__chunk"))
+    within = W.partitionBy(key, "__chunk").orderBy(start, end)
+    before = W.partitionBy(key).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    reached = rows.groupBy(key, "__chunk").agg(F.max(end).alias("__m")).select(key, "__chunk", F.max("__m").over(before).alias("__far"))
+    reach = F.greatest(F.max(end).over(within.rowsBetween(W.unboundedPreceding, -1)), F.col("__far"))
+    opened = rows.join(reached, [key, "__chunk"]).withColumn("__r", reach).withColumn("__o", (F.col("__r").isNull() | (F.col(start) > F.col("__r") + gap)).cast("int"))
+    begun = opened.groupBy(key, "__chunk").agg(F.sum("__o").alias("__s")).select(key, "__chunk", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
+    unions = opened.join(begun, [key, "__chunk"]).withColumn("__g", F.sum("__o").over(within.rowsBetween(W.unboundedPreceding, 0)) + F.col("__b"))
+    return unions.groupBy(key, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__g")
 
 
 def trailing_count(df: DataFrame, key: str, at: str, seconds: int, chunk_seconds: int | None = None) -> DataFrame:
@@ -62,23 +80,34 @@ def trailing_count(df: DataFrame, key: str, at: str, seconds: int, chunk_seconds
     return rows.withColumn("n_trailing", F.count("*").over(w)).where("__chunk = __own").drop("__own", "__chunk")
 
 
-def quantile_by_rank(df: DataFrame, value: str, shares: list[float], bins: int = 4096) -> DataFrame:
+def quantile_by_rank(df: DataFrame, value: str, shares: list[float], bins: int = 4096, small: int = 1_000_000) -> DataFrame:
     """share, value at place ``min(n - 1, floor(share * n))`` of the sorted values, exactly.
 
-    Two levels: values are counted by bins of equal width, the bin of each place is found on the counts, and only the values of
-    those bins are ranked. Nulls don't count; no values give no rows.
+    The values are counted in bins between bounds that close in on each wanted place; each round scans once and brings back as
+    many counts as there are bins. Once a bin holds at most ``small`` values, or a single one many times, its values are ranked.
+    Nulls don't count; no values give no rows.
     """
-    v = F.col(value).cast("double")
-    rows = df.select(v.alias("v")).where("v is not null")
-    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    binned = rows.join(F.broadcast(ends)).withColumn("b", F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * bins)).cast("int")).select("v", "b")
-    counts = binned.groupBy("b").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("b"))).withColumn("total", F.sum("n").over(W.partitionBy()))  # as many rows as bins
-    places = upto.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("place", F.least(F.col("total") - 1, F.floor(F.col("share") * F.col("total"))))
-    wanted = places.where("place < upto and place >= upto - n").select("b", "share", (F.col("place") - F.col("upto") + F.col("n") + 1).alias("rank"))
-    same = binned.join(F.broadcast(wanted.select("b").distinct()), "b", "left_semi").groupBy("b", "v").agg(F.count("*").alias("c"))
-    last = same.withColumn("r", F.sum("c").over(W.partitionBy("b").orderBy("v")))
-    return last.join(F.broadcast(wanted), "b").where("rank <= r and rank > r - c").select("share", F.col("v").alias("value"))
+    spark = df.sparkSession
+    v = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n, lo, hi = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    out: list[tuple[float, float]] = []
+    for share in shares if n else ():
+        place, low, high, here = min(n - 1, int(share * n)), lo, hi, n
+        while low < high and here > small:
+            width = (high - low) / bins
+            b = F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / width)).cast("int")
+            counts = v.where(F.col("v").between(low, high)).groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+            for _, c, a, z in counts:
+                if place < c:
+                    low, high, here = a, z, c
+                    break
+                place -= c
+        if low < high:
+            same = v.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("c"))
+            upto = same.withColumn("r", F.sum("c").over(W.orderBy("v")))  # at most ``small`` rows
+            low = upto.where(F.col("r") > place).agg(F.min("v")).first()[0]
+        out.append((float(share), float(low)))
+    return spark.createDataFrame(out, "share double, value double")
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:

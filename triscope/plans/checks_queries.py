@@ -12,7 +12,7 @@ from triscope.functions.text import comma_number, decimals, natural_key, place_k
 from triscope.operators.boxes import box_fields, nearest, overlaps, rows_of
 from triscope.operators.compare import align, apart, disjoint_below, half_unit, higher_rank, lower_minimum, scores
 from triscope.operators.records import carried, overlay
-from triscope.operators.sequences import expand_ranges, islands, range_text
+from triscope.operators.sequences import expand_ranges, islands, numbered, range_text
 from triscope.plans.tables_sql import CHECKS_NOW, EVIDENCE
 from triscope.plans.views import checks_now, evidence_rows
 from triscope.sources.tables import table
@@ -193,8 +193,8 @@ def q_listing(spark: SparkSession, d: str) -> DataFrame:
 def q_numbering(spark: SparkSession, d: str) -> DataFrame:
     """Running numbers of the violations of an object, grave ones first."""
     c = checks_now(spark, d, "parameter_code", "violation_label", "criticality").where("violation_label = 'VIOLATION_PRESENT' and oid is not null")
-    w = W.partitionBy("oid").orderBy(F.col("criticality").eqNullSafe("приостановка").cast("int").desc(), "parameter_code", "check_id")
-    return c.select("oid", "check_id", F.row_number().over(w).alias("no"))
+    first = F.when(F.col("criticality").eqNullSafe("приостановка"), 0).otherwise(1)
+    return numbered(c, ["oid"], F.struct(first.alias("first"), "parameter_code"), ["check_id"]).select("oid", "check_id", "no")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,8 +40,8 @@ def q_busy_days(spark: SparkSession, d: str) -> DataFrame:
 
 def q_busy_spans(spark: SparkSession, d: str) -> DataFrame:
     """Spans that a user's events cover, each event lasting as many minutes as its value says, joined over gaps of an hour."""
-    e = _events(spark, d).select("user_id", (F.col("at") / 1e6).alias("start"), (F.col("at") / 1e6 + 60 * F.col("value")).alias("end"))
-    return merge_intervals(e, "user_id", "start", "end", gap=3600.0).select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n")
+    e = _events(spark, d).select("user_id", F.col("at").alias("start"), (F.col("at") + F.round(60_000_000 * F.col("value")).cast("bigint")).alias("end"))
+    return merge_intervals(e, "user_id", "start", "end", gap=3_600_000_000, chunk=86_400_000_000)
 
 
 def q_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def oracle_sql() -> dict[str, str]:
         "q_latency_quantiles": "WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), q AS (SELECT unnest([0.5, 0.95, 0.99]) AS share) SELECT CAST(share AS DOUBLE) AS share, value FROM q, s WHERE i = least(n - 1, CAST(floor(CAST(share AS DOUBLE) * n) AS BIGINT))",
         "q_active_users": "SELECT epoch_us(ts) // 900000000 AS quarter, count(DISTINCT user_id) AS n_users, count(*) AS n_events FROM events GROUP BY 1",
         "q_busy_days": "WITH d AS (SELECT DISTINCT user_id, epoch_us(ts) // 86400000000 AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM d) SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS n FROM g GROUP BY user_id, i",
-        "q_busy_spans": "WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + 60 * value AS t FROM events WHERE value >= 0), o AS (SELECT *, CASE WHEN s > max(t) OVER w + 3600 OR max(t) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, round(min(s), 3) AS start, round(max(t), 3) AS \"end\", count(*) AS n FROM g GROUP BY user_id, g",
+        "q_busy_spans": "WITH e AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(60000000 * value) AS BIGINT) AS t FROM events WHERE value >= 0), o AS (SELECT *, CASE WHEN s > max(t) OVER w + 3600000000 OR max(t) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, min(s) AS start, max(t) AS \"end\", count(*) AS n FROM g GROUP BY user_id, g",
         "q_sessions": "WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 24 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o), s AS (SELECT user_id, g, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM s GROUP BY user_id",
         "q_process_states": "WITH e AS (SELECT user_id || '-' || (epoch_us(ts) // 86400000000) AS process, ts, event_id, event_type FROM events), r AS (SELECT process, count(*) AS n_events, min(struct_pack(a := ts, b := event_id)) FILTER (event_type = 'purchase') AS d, min(struct_pack(a := ts, b := event_id)) FILTER (event_type = 'error') AS f FROM e GROUP BY process) SELECT process, n_events, CASE WHEN d IS NOT NULL AND (f IS NULL OR d < f) THEN 'DONE' WHEN f IS NOT NULL THEN 'FAILED' ELSE 'PARSING' END AS state FROM r",
         "q_event_properties": "WITH k AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, k // 10 AS tens, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM k GROUP BY 1, 2",
