@@ -51,3 +51,34 @@ def rows_of(df: DataFrame, page: list[str], text: str, height: float) -> DataFra
     band = F.bround(F.col("y0") / height).cast("bigint")
     parts = F.array_sort(F.collect_list(F.struct("x0", F.col(text).alias("t"))))
     return df.where("y0 is not null").withColumn("band", band).groupBy(*page, "band").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"), F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("line"))
+
+
+def crosses(p: tuple[Column, Column], q: tuple[Column, Column], a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Whether the open segments p-q and a-b cross."""
+
+    def side(o: tuple[Column, Column], d: tuple[Column, Column], x: tuple[Column, Column]) -> Column:
+        return (d[0] - o[0]) * (x[1] - o[1]) - (d[1] - o[1]) * (x[0] - o[0])
+
+    return (side(p, q, a) * side(p, q, b) < 0) & (side(a, b, p) * side(a, b, q) < 0)
+
+
+def visible_nearest(points: DataFrame, labels: DataFrame, walls: DataFrame, page: list[str], key: str, label: str, reach: float, blind: float) -> DataFrame:
+    """key, label, distance, seen: for each point the nearest label within ``reach`` that no wall hides, else the nearest within
+    ``blind``. Points and labels have x, y; walls x0, y0, x1, y1. Ties go to the smaller label.
+
+    Labels are met through cells of the reach's size; walls through the pages that have candidate pairs.
+    """
+    cell = lambda df: df.withColumns({"cx": F.floor(F.col("x") / reach), "cy": F.floor(F.col("y") / reach)})
+    step = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    around = cell(points.select(*page, F.col(key).alias("key"), "x", "y")).withColumn("s", F.explode(step)).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}).drop("s")
+    near = cell(labels.select(*page, F.col(label).alias("label"), "x", "y")).withColumnsRenamed({"x": "lx", "y": "ly"})
+    d = F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly"))
+    pairs = around.join(near, [*page, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= reach).drop("cx", "cy")
+    # a wall hides a pair only if their boxes meet; the test runs on the pairs of its page
+    w = walls.select(*page, *(F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")))
+    meet = (F.least("wx0", "wx1") <= F.greatest("x", "lx")) & (F.greatest("wx0", "wx1") >= F.least("x", "lx")) & (F.least("wy0", "wy1") <= F.greatest("y", "ly")) & (F.greatest("wy0", "wy1") >= F.least("y", "ly"))
+    c = F.col
+    hidden = pairs.join(w, page).where(meet & crosses((c("x"), c("y")), (c("lx"), c("ly")), (c("wx0"), c("wy0")), (c("wx1"), c("wy1")))).select(*page, "key", "label").distinct().withColumn("hidden", F.lit(True))
+    known = pairs.join(hidden, [*page, "key", "label"], "left").withColumn("seen", F.col("hidden").isNull()).where(F.col("seen") | (F.col("distance") <= blind))
+    best = known.groupBy(*page, "key").agg(F.min(F.struct((~F.col("seen")).alias("unseen"), "distance", "label")).alias("m"))
+    return best.select(*page, "key", F.col("m.label").alias("label"), F.col("m.distance").alias("distance"), (~F.col("m.unseen")).alias("seen"))

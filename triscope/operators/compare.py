@@ -45,6 +45,50 @@ def half_unit(a: Column, b: Column, decimals_a: Column, decimals_b: Column) -> C
     return F.abs(a - b) <= F.pow(F.lit(10.0), -F.least(decimals_a, decimals_b)) / 2 + 1e-9
 
 
+def over_limit(limit: Column, c: str = "label") -> Column:
+    """V if the greatest working value is over a limit; a limit below the greatest design value isn't valid, and then only N can be told."""
+    valid = limit.isNotNull() & (limit >= F.col("p_max"))
+    base = F.when(valid, limit).otherwise(F.col("p_max"))
+    return F.when((F.col("p_n") == 0) | (F.col("r_n") == 0), "C").when(F.col("r_max") <= base, "N").when(valid, "V").otherwise("C").alias(c)
+
+
+def better_lost(design: Column, working: Column, better: tuple[str, ...], worse: str, anywhere: Column) -> Column:
+    """V if the design names a better kind, the working stage the worse one and no better one here or ``anywhere``; N if nothing
+    better is lost and the worse kind isn't new; else C."""
+    good = F.array(*map(F.lit, better))
+    had, has = F.array_intersect(design, good), F.array_intersect(working, good)
+    worse_new = F.array_contains(working, worse) & ~F.array_contains(design, worse)
+    return (
+        F.when((F.size(design) == 0) | (F.size(working) == 0), "C")
+        .when((F.size(had) > 0) & F.array_contains(working, worse) & (F.size(has) == 0) & ~anywhere, "V")
+        .when((F.size(F.array_except(had, has)) == 0) & ~worse_new, "N")
+        .otherwise("C")
+    )
+
+
+def old_kinds_new(design: Column, working: Column, wanted: str, old: tuple[str, ...]) -> Column:
+    """V if the design names the wanted kind and the working stage only old ones instead; N if no old kind is new; else C."""
+    olds = F.array(*map(F.lit, old))
+    new_old = F.array_except(F.array_intersect(working, olds), design)
+    return (
+        F.when((F.size(design) == 0) | (F.size(working) == 0), "C")
+        .when(F.array_contains(design, wanted) & ~F.array_contains(working, wanted) & (F.size(new_old) > 0), "V")
+        .when(F.size(new_old) == 0, "N")
+        .otherwise("C")
+    )
+
+
+def third_stage(label: Column, working_least: Column, built_least: Column, proofs: Column, least_proofs: int = 2) -> Column:
+    """The label after the as-built stage: it can only turn to V, if the least built value is below the least working one and
+    enough acts say so."""
+    return F.when((built_least < working_least) & (proofs >= least_proofs), "V").otherwise(label)
+
+
+def evidence_met(wanted: Column, there: Column) -> Column:
+    """Whether for every stage of ``wanted`` (map stage -> pages) some page is among those of ``there``."""
+    return F.forall(F.map_entries(wanted), lambda e: F.coalesce(F.arrays_overlap(e["value"], F.try_element_at(there, e["key"])), F.lit(False)))
+
+
 def lost(have: Column, left: Column, order: list[str] | None = None) -> Column:
     """Members of ``have`` that ``left`` lacks, in ``order`` where given, else sorted."""
     gone = F.array_except(have, left)
