@@ -53,3 +53,32 @@ def test_items_of_any_skeleton_are_in_order_and_apart(skeleton):
     for first, n, _ in resolve(skeleton):
         assert first >= upto and n > 0 and first + n <= len(skeleton)
         upto = first + n
+
+
+ITEMS = ["4 370,4 м²", "12 мм", "В22,5 W6", "6,11 Вт/м²", "7550 м³/ч", "1,24 л/с", "17-05/24-КР1", "К7-22", "150", "+36,075", "-2,815", "06.12.2025", "ППГнг(А)-HF 2х2,5", "Офис, пом. 4", "Холл; тамбур", 'Щит "Этажный 6"', "EI 60", "светодиодный IP65", "Ст.29", "П1|П2", "туда и сюда", "48 °С", "чугун 100", "3,3⁠8 л/​с"]
+SEPARATORS = ["; ", ", ", ";", "/", " / ", "|", " | ", "\n", "\r\n", "\t", " и ", ",", ";;", "; ;", " ; "]
+
+
+def pack(items, separators, quotes):
+    out = ""
+    for i, (item, sep, q) in enumerate(zip(items, separators, quotes)):
+        holds = any(x in item.replace("/м", "").replace("/ч", "").replace("/с", "").replace("/​с", "") for x in (";", "|", ", ", " и "))
+        if holds or q:
+            opening, closing = [('"', '"'), ("«", "»"), ("'", "'")][q % 3]
+            if opening == '"' or opening not in item:
+                item = opening + (item.replace('"', '""') if opening == '"' else item) + closing
+        if i and sep == "," and out[-1:].isdigit() and item[0].isdigit():
+            sep = ", "
+        out += (sep if i else "") + item
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(ITEMS), st.sampled_from(SEPARATORS), st.integers(0, 5).map(lambda x: max(0, x - 2))), min_size=2, max_size=7), min_size=20, max_size=40))
+def test_round_trip(spark, lists):
+    packed = [(i, pack(*zip(*x))) for i, x in enumerate(lists)]
+    got: dict[int, dict] = {}
+    for r in split_packed(spark.createDataFrame(packed, "id int, value string"), "value").collect():
+        got.setdefault(r.id, {})[r.pos] = r.item
+    for (i, value), x in zip(packed, lists):
+        assert [got[i][k] for k in range(len(got[i]))] == [item for item, _, _ in x], value

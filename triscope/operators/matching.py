@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triscope.operators.layout import page_by_page
+
 
 def by_path(registry: DataFrame, members: DataFrame, path: str, loose: Column) -> DataFrame:
     """Each registry row with the member of its path, found exactly or else under the loosened path; ``found`` says how.
@@ -56,25 +58,22 @@ def greedy_areas(left: DataFrame, right: DataFrame, group: list[str], key: str,
     Each left row takes the nearest free right one (the earlier on a tie), so the result depends on the order by its meaning. A
     group is what one sheet or floor holds; it goes to one task, so group by keys that bound it.
     """
-    kind = ", ".join(f"`{g}` {left.schema[g].dataType.simpleString()}" for g in group)
-    by = list(dict.fromkeys([order, key]))
-    types = (left.schema[key].dataType.simpleString(), right.schema[key].dataType.simpleString())
-
-    def match(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame([], columns=[*group, "left_key", "right_key"])
-        a, b = a.sort_values(by, kind="stable"), b.sort_values(by, kind="stable")
-        free, out = list(zip(b[key], b[area])), []
-        for one, size in zip(a[key], a[area]):
-            if size and size > 0 and free:
+    kind = left.schema[key].dataType.simpleString()
+
+    def match(rows: list[tuple]) -> list[tuple]:
+        a, b = (sorted((r[1:] for r in rows if r[0] == side), key=lambda r: (r[2], r[0])) for side in (0, 1))
+        free, out = [(r[0], r[1]) for r in b], []
+        for one, size, _ in a:
+            if size > 0 and free:
                 at = min(range(len(free)), key=lambda i: abs(free[i][1] - size))
                 if abs(free[at][1] - size) / size <= tolerance:
-                    out.append((*k, one, free.pop(at)[0]))
-        return pd.DataFrame(out, columns=[*group, "left_key", "right_key"])
+                    out.append((one, free.pop(at)[0]))
+        return out
 
-    # both sides may come from one table: the columns get names of their own on each side
-    clean = lambda df: df.where(F.col(area).isNotNull()).select(*(F.col(c).alias(c) for c in dict.fromkeys([*group, key, area, order])))
-    return clean(left).groupBy(*group).cogroup(clean(right).groupBy(*group)).applyInPandas(match, f"{kind}, left_key {types[0]}, right_key {types[1]}")
+    side = lambda df, n: df.where(F.col(area).isNotNull() & F.col(order).isNotNull()).select(*group, F.lit(n).alias("__side"), F.col(key).alias("__key"), F.col(area).alias("__area"), F.col(order).alias("__order"))
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+    both = side(left, 0).unionByName(side(right, 1))
+    return page_by_page(both, group, ["__side", "__key", "__area", "__order"], match, [("left_key", kind, arrow), ("right_key", kind, arrow)])
 
 
 def same_stems(a: Column, b: Column, stem: int = 6, least: float = 0.6) -> Column:
