@@ -44,3 +44,25 @@ def test_words_do_not_depend_on_form(text):
 def test_words():
     assert words("Ёлка, Тoлщина ２５ мм") == words("елка толщина 25 мм") and words("  ,.") == []
     assert joined_words("пере-\nгородка и") == words("перегородка и") and joined_words("без переноса") is None and joined_words("a\nb") is None
+
+
+def test_values_of_the_test_tables_against_brute_force(spark, data):
+    import re
+
+    from triscope.functions.lookalikes import FROM_GREEK, TO_LATIN, TO_RUSSIAN
+    from triscope.llm.queries import _fragments
+
+    def one(m):
+        letters = [c for c in m[0] if c.isalpha()]
+        russian = all(c in TO_LATIN or c in TO_RUSSIAN for c in letters) or any("а" <= c.lower() <= "ё" and c not in TO_LATIN for c in letters)
+        return "".join((TO_RUSSIAN if russian else TO_LATIN).get(c, c) for c in m[0])
+
+    def brute(t):
+        t = "".join(" " if unicodedata.category(c) == "Zs" else "" if unicodedata.category(c) == "Cf" else c for c in t)
+        t = "".join(chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E else FROM_GREEK.get(c, c) for c in t)
+        return re.sub(r"[^\W_]+", one, unicodedata.normalize("NFC", t))
+
+    rows = _fragments(spark, data)
+    want = {r.text: brute(r.text) for r in rows.collect()}
+    got = {r.text: r.plain for r in plain_forms(rows).collect()}
+    assert got and got == {k: v for k, v in want.items() if k != v}

@@ -68,3 +68,13 @@ def test_long_lines_are_cut_into_whole_windows():
     parts = list(passages(text))
     assert "".join(p for _, p in parts) == text and sum(n for n, _ in parts) == 50 and all(LONGEST // 2 <= n <= LONGEST for n, _ in parts)
     assert list(passages("")) == [] and [n for n, _ in passages("один\nдва. три.")] == [0, 2]
+
+
+def test_held_out_labels_of_the_test_tables(spark):
+    """Labels of one half of the labelled documents are among the subjects found with the other half's labels; a few are wrong."""
+    d = "/root/testdata/sf0.01"
+    read = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    labels = read("subject_labels")
+    found = assign_subjects(read("documents"), read("subjects"), labels.where("doc_id % 2 = 0"))
+    held = labels.where("doc_id % 2 = 1").select("doc_id", "subject_code").distinct()
+    assert held.join(found, ["doc_id", "subject_code"]).count() / held.count() >= 0.85
