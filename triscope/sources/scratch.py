@@ -48,11 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @atexit.register
-def _remove() -> None:
-    for spark, path in _made:
+def release() -> None:
+    """Remove all tables written so far. For long sessions: call it once the results that rest on them are written."""
+    while _made:
+        spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:
+        except Exception:  # the session may be gone, and its folder with it
             pass
