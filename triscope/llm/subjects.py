@@ -44,6 +44,8 @@ SENTENCES = 3
 LONGEST = 14
 LEAST_DOCS = 3
 CLEAR = 0.1
+#: Characters whose terms are counted at once.
+PORTION = 4_000_000
 OTHER = "OTHER"
 
 _HAS_TEXT = r"text rlike '[^\\s\\p{Z}]'"
@@ -106,6 +108,19 @@ def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
 
 
+def _portions(pairs: Iterator[tuple[object, str]], chars: int = PORTION) -> Iterator[list[tuple[object, str]]]:
+    """Documents in portions of at least so many characters, the last but for fewer; each is held at once."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[1])
+        if n >= chars:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def term_table(documents: DataFrame) -> DataFrame:
     """doc_id, sentences, latin, terms, counts of each passage."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -113,9 +128,10 @@ def term_table(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for b in batches:
-            keys, sentences, latin, sizes, ids, counts = _rows(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), terms)
-            columns = [pa.array(keys, b.schema.field(0).type), pa.array(sentences), pa.array(latin), _lists(sizes, ids), _lists(sizes, counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sentences", "latin", "terms", "counts"])
+            for pairs in _portions(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                keys, sentences, latin, sizes, ids, counts = _rows(iter(pairs), terms)
+                columns = [pa.array(keys, b.schema.field(0).type), pa.array(sentences), pa.array(latin), _lists(sizes, ids), _lists(sizes, counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sentences", "latin", "terms", "counts"])
 
     return documents.select("doc_id", "text").where(_HAS_TEXT).mapInArrow(run, f"doc_id {kind}, sentences tinyint, latin boolean, terms array<int>, counts array<tinyint>")
 
