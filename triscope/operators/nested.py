@@ -108,8 +108,8 @@ def emit_tagged(df: DataFrame, key: Column, text: Column, list_fields: tuple[str
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
 
-    # only text that holds a list of objects or one of the list fields can give a row: the rest stays out of Python
-    maybe = text.rlike("[\\[]|" + "|".join(list_fields))
+    # only text that holds a list of objects or one of the list fields (maybe escaped) can give a row: the rest stays out of Python
+    maybe = text.rlike(r"\[|\\u|" + "|".join(list_fields))
     return df.select(key.alias("k"), text.alias("t")).where(F.col("t").isNotNull() & maybe).mapInArrow(run, TAGGED if payload else PLACES)
 
 

@@ -3,7 +3,7 @@
 A value is cut into tokens (runs of letters, digits, white space, invisible characters; any other character alone). Masking
 each token with one sign gives the skeleton of the value, so the i-th sign of the skeleton stands for the i-th token. The
 splitting rule - which tokens make up which item - depends on the skeleton alone: it is resolved once per distinct skeleton,
-the rules are counted and broadcast while they are few, and the items are put together from the tokens.
+the rules are measured and broadcast while they are small, and the items are put together from the tokens.
 
 Separators are ``; | ,``, line ends, tabs, a slash, and the word "и" between spaces. A comma between digits is a decimal
 comma; a slash within a unit (number, unit, slash, unit) or a set code (``17-05/24-КР1``) belongs to the value. An item that
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from triscope.functions.lookalikes import loose_fold
 from triscope.sources.scratch import written
 
-#: The rules of up to this many distinct skeletons are broadcast; more are joined by shuffle.
-BROADCAST_RULES = 50_000
+#: Rules of up to this size in all (bytes, about) are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
 
 #: Words of units, in which a slash is no separator. Compared after look-alike folding.
 UNITS = ("вт", "квт", "мвт", "м", "м²", "м³", "м2", "м3", "мм", "см", "км", "л", "кг", "г", "т", "ч", "с", "мин", "сут", "шт", "гкал", "дж", "кдж", "па", "кпа", "мпа", "а", "в", "об", "чел", "руб", "°с")
@@ -134,7 +134,7 @@ def split_packed(df: DataFrame, value: str) -> DataFrame:
     tokens = df.where(F.col(f"`{value}`").rlike(_ANY_SEPARATOR)).select(own.alias("own"), F.regexp_extract_all(F.col(f"`{value}`"), F.lit(_TOKEN), F.lit(0)).alias("tokens"))
     masked = tokens.withColumn("skeleton", F.array_join(F.transform("tokens", _mask), ""))
     rules = written(_rules(masked.select("skeleton").distinct()), "rules")
-    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    few = (rules.agg(F.sum(64 + F.length("skeleton") + 40 * F.size("rule"))).first()[0] or 0) <= BROADCAST_BYTES
     out = masked.join(F.broadcast(rules) if few else rules, "skeleton").select("own", "tokens", F.posexplode("rule").alias("pos", "r"))
     text = F.regexp_replace(F.array_join(F.slice("tokens", F.col("r.first") + 1, F.col("r.n")), ""), _OUTER, "")
     item = F.when(F.col("r.quote").isin('"', "'"), F.replace(text, F.concat("r.quote", "r.quote"), F.col("r.quote"))).otherwise(text)
