@@ -15,6 +15,7 @@ from triscope.operators.records import carried, overlay
 from triscope.operators.sequences import expand_ranges, islands, numbered, range_text
 from triscope.plans.tables_sql import CHECKS_NOW, EVIDENCE
 from triscope.plans.views import checks_now, evidence_rows
+from triscope.sources.scratch import written
 from triscope.sources.tables import table
 
 _VALUES = ("parameter_code", "violation_label", "pd_value", "rd_value")
@@ -169,6 +170,7 @@ def q_unanswered(spark: SparkSession, d: str) -> DataFrame:
 def q_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Upgraded checks laid over the others of an object: same place gives way, as do checks of touched codes without evidence."""
     c = checks_now(spark, d, "parameter_code", "location", "violation_label", "evidence").select("check_id", F.concat_ws("/", "oid", "parameter_code").alias("code"), "location", "violation_label", (F.coalesce(F.size("evidence"), F.lit(0)) <= 0).alias("bare"))
+    c = written(c, "checks")  # read by both sides and their keys
     new, base = c.where("violation_label = 'VIOLATION_PRESENT'"), c.where("violation_label is null or violation_label <> 'VIOLATION_PRESENT'")
     return overlay(base, new, "code", "location", F.col("bare")).select("check_id", "code", "location")
 
@@ -176,7 +178,8 @@ def q_overlay(spark: SparkSession, d: str) -> DataFrame:
 def q_validate(spark: SparkSession, d: str) -> DataFrame:
     """Rows that break a rule: repeated keys, violations without evidence, unknown parameters."""
     c = checks_now(spark, d, "parameter_code", "location", "violation_label", "evidence")
-    bare = F.coalesce(F.size("evidence"), F.lit(0)) <= 0
+    c = written(c.select("oid", "parameter_code", "location", "violation_label", (F.coalesce(F.size("evidence"), F.lit(0)) <= 0).alias("bare")), "checks")
+    bare = F.col("bare")
     repeated = c.groupBy("oid", "parameter_code", "location").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated key").alias("rule"))
     unproven = c.where((F.col("violation_label") == "VIOLATION_PRESENT") & bare).select(F.lit("no evidence").alias("rule"))
     unknown = c.join(F.broadcast(table(spark, d, "param_catalog", "parameter_code")), "parameter_code", "left_anti").select(F.lit("unknown parameter").alias("rule"))

@@ -14,6 +14,7 @@ from triscope.operators.graph import components
 from triscope.operators.records import content_hash, duplicates, first_of_content, multiset_difference, newest_revision, revision_conflicts
 from triscope.plans.tables_sql import FILES_NOW
 from triscope.plans.views import files_now
+from triscope.sources.scratch import written
 from triscope.sources.tables import table
 
 
@@ -61,10 +62,9 @@ def _revisions(spark: SparkSession, d: str) -> DataFrame:
 
 def q_revision_latest(spark: SparkSession, d: str) -> DataFrame:
     """The newest revision of each cipher of a stage; as-built files have no revisions and are all kept."""
-    f = _revisions(spark, d)
+    f = _revisions(spark, d).withColumn("own", F.when(F.col("stage") == "ID", F.col("fid")))
     order = [F.col(c) for c in ("revision", "dated", "uploaded_at", "fid")]
-    newest = newest_revision(f.where("stage <> 'ID'"), ["oid", "stage", "cipher"], order, "fid")
-    return newest.unionByName(f.where("stage = 'ID'").select("oid", "stage", "cipher", "fid", F.lit(1).cast("bigint").alias("n_rows")))
+    return newest_revision(f.where("stage is not null"), ["oid", "stage", "cipher", "own"], order, "fid").drop("own")
 
 
 def q_revision_conflict(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ def q_name_multiset(spark: SparkSession, d: str) -> DataFrame:
 
 def q_file_families(spark: SparkSession, d: str) -> DataFrame:
     """Files connected by equal content or, within an object, by equal name: each family of two or more."""
-    f = files_now(spark, d, "sha256", "original_name")
+    f = written(files_now(spark, d, "sha256", "original_name").select("fid", "oid", "sha256", "original_name"), "files")
     by_sha = f.where("sha256 is not null").groupBy("sha256").agg(F.min("fid").alias("v"))
     by_name = f.where("original_name is not null and oid is not null").groupBy("oid", "original_name").agg(F.min("fid").alias("v"))
     edges = f.join(by_sha, "sha256").select(F.col("fid").alias("u"), "v").unionByName(f.join(by_name, ["oid", "original_name"]).select(F.col("fid").alias("u"), "v"))

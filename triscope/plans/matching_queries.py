@@ -15,6 +15,7 @@ from triscope.plans.checks_queries import _KEY, _facts
 from triscope.plans.documents_queries import _SQL_STAGES, _stages
 from triscope.plans.tables_sql import CHECKS_NOW, FILES_NOW
 from triscope.plans.views import checks_now, files_now
+from triscope.sources.scratch import written
 from triscope.sources.tables import table
 
 _POWER = tuple(r for r in RULES if r.name == "power")
@@ -66,7 +67,8 @@ def q_third_stage(spark: SparkSession, d: str) -> DataFrame:
 
 def q_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings about the registry, by type and detail."""
-    f = files_now(spark, d, "stage", "section", "original_name", "relative_path", "size_bytes", "sha256")
+    wanted = ("stage", "section", "original_name", "relative_path", "size_bytes", "sha256")
+    f = written(files_now(spark, d, *wanted).select("fid", "oid", *wanted), "files")  # read by several aggregations
     staged = f.where("oid is not null").select("oid", "section", _stages("stage").alias("s"))
     return findings(f, staged)
 
