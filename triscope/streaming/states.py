@@ -31,7 +31,7 @@ def step(state: str, n_failed: int, kind: str, retries: int) -> tuple[str, int]:
 
 
 def process_states(events: DataFrame, delay: str = "1 hour", timeout_ms: int = 30 * 60 * 1000, retries: int = 2) -> DataFrame:
-    """Updates of each process' state. ``events`` streams process, ts, event_id, kind."""
+    """Updates of each process' state. ``events`` streams process, ts, event_id, kind; those without process or time fall away."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state, n, failed = held.get if held.exists else ("PENDING", 0, 0)
@@ -51,7 +51,7 @@ def process_states(events: DataFrame, delay: str = "1 hour", timeout_ms: int = 3
             held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + timeout_ms)
         yield pd.DataFrame([(key[0], state, n, failed)], columns=["process", "state", "n_events", "n_failed"])
 
-    once = delivered_once(events, delay)
+    once = delivered_once(events.where("process is not null and ts is not null"), delay)
     return once.groupBy("process").applyInPandasWithState(update, STATES, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
 
 
