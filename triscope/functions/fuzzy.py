@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 RATIO, LENGTHS, LEAST = 0.78, 3, 4
 
 
+@lru_cache(200_000)
 def ratio(a: str, b: str) -> float:
+    """Twice the matching characters over all; kept by the worker, as words recur."""
     return SequenceMatcher(None, a, b).ratio()
 
 

@@ -7,6 +7,7 @@ temporary folder; on a cluster a missing setting is an error, as a machine-local
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; it is also set as the context's own where that is unset."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="triscope-")
+        own = tempfile.mkdtemp(prefix="triscope-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
