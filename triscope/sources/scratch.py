@@ -13,7 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+#: File systems and paths of what was written; they outlive a stopped session.
+_made: list[tuple[object, object]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there is removed when the driver ends."""
     path = f"{shared_dir(spark)}/triscope-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _made.append((place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place))
     return path
 
 
@@ -54,9 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release() -> None:
     """Remove all tables written so far. For long sessions: call it once the results that rest on them are written."""
     while _made:
-        spark, path = _made.pop()
+        fs, place = _made.pop()
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone, and its folder with it
+            fs.delete(place, True)
+        except Exception:  # the JVM may be gone
             pass
