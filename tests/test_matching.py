@@ -6,7 +6,7 @@ from triscope.operators.boxes import visible_nearest
 from triscope.operators.compare import align, better_lost, evidence_met, old_kinds_new, over_limit, third_stage
 from triscope.operators.extract import BETTER_PIPES, CABLE_ATTRIBUTES, OLD_LIGHTS, PIPES, extract, named
 from triscope.operators.findings import compact, findings
-from triscope.operators.matching import best_group, by_path, contiguous_portions, greedy_areas, once_printed, same_stems, seeded_sample, set_overlap
+from triscope.operators.matching import best_group, by_path, contiguous_portions, greedy_areas, once_printed, same_stems, seeded_sample, set_overlap, with_pieces
 
 
 def rows(df):
@@ -98,3 +98,44 @@ def test_findings(spark):
     got = {(r.oid, r.type, r.detail, r.n) for r in findings(files, staged).collect()}
     assert got == {("o1", "EMPTY_OR_UNREADABLE", "PD", 1), ("o2", "TEMPORARY_ARTIFACT", "", 1), ("o1", "NAME_DIFFERS_FROM_PATH", "", 1), ("o1", "EXACT_DUPLICATES", "within", 2), ("o1", "STAGE_MISSING", "ID", 1), ("o2", "STAGE_MISSING", "PD", 1), ("o2", "STAGE_MISSING", "ID", 1), ("o1", "DISCIPLINE_MISSING_IN_RD", "KR", 1)}
     assert spark.range(1).select(compact(F.sequence(F.lit(1), F.lit(30)))).first()[0] == list(range(1, 21))
+
+
+def greedy(a, b, tolerance):
+    free, out = sorted(b, key=lambda r: (r[2], r[0])), []
+    for key, size, _ in sorted(a, key=lambda r: (r[2], r[0])):
+        best = min(free, key=lambda r: abs(r[1] - size), default=None)
+        if best and abs(best[1] - size) / size <= tolerance:
+            out.append((key, best[0]))
+            free.remove(best)
+    return sorted(out)
+
+
+def test_sizes_around_a_power_of_two_meet(spark):
+    files = [("p1", "O", "PD", "s", 1000), ("r1", "O", "RD", "s", 1030), ("p2", "O", "PD", "s", 4100), ("r2", "O", "RD", "s", 4090)]
+    a, b = ([(k, n, k) for k, _, stage, _, n in files if stage == s] for s in ("PD", "RD"))
+    df = lambda rows: spark.createDataFrame([("O", *r) for r in rows], "g string, k string, size bigint, o string")
+    assert rows(greedy_areas(df(a), df(b), ["g"], "k", "size", "o", tolerance=0.25)) == [("O", "p1", "r1"), ("O", "p2", "r2")]
+
+
+def test_pieces_lose_no_pair(spark):
+    random.seed(11)
+    for tolerance in (0.03, 0.25, 1.5):
+        sizes = lambda: random.choice([random.randrange(1, 40), 2 ** random.randrange(4, 40) + random.randrange(-9, 10), random.randrange(900, 1200), 75, 100, 125, 3 * 2**40])
+        a, b = ({g: [(f"{p}{i}", sizes(), random.randrange(50)) for i in range(120)] for g in ("g", None)} for p in "ab")
+        df = lambda s: spark.createDataFrame([(g, *r) for g, rs in s.items() for r in rs], "g string, k string, size bigint, o int")
+        want = sorted(((g, *m) for g in a for m in greedy(a[g], b[g], tolerance)), key=repr)
+        assert rows(greedy_areas(df(a), df(b), ["g"], "k", "size", "o", tolerance)) == want
+        pieces = [r for r in with_pieces(df(a).unionByName(df(b)), ["g"], "size", tolerance).where("g = 'g'").collect()]
+        assert len(pieces) == 240 and (len({r["__piece"] for r in pieces}) > 1) == (tolerance < 1)
+        assert all(x["__piece"] == y["__piece"] for x in pieces for y in pieces if abs(x.size - y.size) <= tolerance * max(x.size, y.size))
+
+
+def test_query_of_sizes_by_brute_force(spark, data):
+    from triscope.plans.matching_queries import q_size_matches
+    from triscope.plans.views import files_now
+
+    sides: dict = {}
+    for r in files_now(spark, data, "stage", "section", "size_bytes").where("oid is not null and section is not null and size_bytes > 0").collect():
+        sides.setdefault((r.oid, r.section), {}).setdefault(r.stage, []).append((r.fid, r.size_bytes, r.fid))
+    want = sorted(m for s in sides.values() for m in greedy(s.get("PD", []), s.get("RD", []), 0.25))
+    assert sorted((r.left_key, r.right_key) for r in q_size_matches(spark, data).collect()) == want

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,28 +57,77 @@ def set_overlap(left: DataFrame, right: DataFrame, key: str, member: str, least:
     return counted.select("left", "right", "common", (F.col("common") / (F.col("n_left") + F.col("n_right") - F.col("common"))).alias("ratio"))
 
 
+def with_pieces(df: DataFrame, group: list[str], size: str, tolerance: float) -> DataFrame:
+    """The rows with ``__piece``: each group cut, by size, where the next size is further off than ``tolerance`` of itself.
+
+    No two rows of different pieces are within the tolerance of either of them. Sizes are positive. A bucket spans less than one such
+    gap, so only the least and greatest size of each bucket are looked at, and no group is sorted as a whole.
+    """
+    from pyspark.sql import Window as W
+
+    if tolerance >= 1:
+        return df.withColumn("__piece", F.lit(0))
+    bucket = F.floor(F.log(F.col(size).cast("double")) / max(-math.log1p(-tolerance), 1e-6)).cast("bigint")
+    rows = df.withColumn("__bucket", bucket)
+    ends = rows.groupBy(*group, "__bucket").agg(F.min(size).alias("__least"), F.max(size).alias("__most"))
+    w = W.partitionBy(*group).orderBy("__bucket")
+    gap = (F.col("__least") - F.lag("__most").over(w)).cast("double") / F.col("__least").cast("double")
+    cut = F.coalesce(gap > tolerance + 1e-9, F.lit(False)).cast("int")  # by a margin, so that rounding cuts nothing
+    pieces = ends.withColumn("__cut", cut).withColumn("__piece", F.sum("__cut").over(w).cast("int"))
+    named = pieces.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__bucket").alias("__b"), "__piece")
+    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)]
+    return rows.join(named, [*same, F.col("__bucket") == F.col("__b")]).select(*df.columns, "__piece")
+
+
+def nearest_free(left: list[tuple], right: list[tuple], near: Callable[[float, float], bool]) -> list[tuple]:
+    """(key, key): each (key, size) on the left, in order, with the free right one nearest in size, the earlier on a tie, if ``near``.
+
+    The right sizes are sorted once and taken ones are stepped over, so n rows take n log n steps.
+    """
+    sizes: dict = {}
+    for key, size in right:
+        sizes.setdefault(size, []).append(key)
+    order = sorted(sizes)
+    queues, place = [deque(sizes[s]) for s in order], {key: i for i, (key, _) in enumerate(right)}
+    up, down = list(range(len(order) + 1)), list(range(len(order) + 1))  # up: next place with a free one; down: shifted by one, 0 is none
+
+    def root(to: list[int], i: int) -> int:
+        while to[i] != i:
+            to[i] = to[to[i]]
+            i = to[i]
+        return i
+
+    out = []
+    for key, size in left:
+        at = bisect_left(order, size)
+        above, below = root(up, at), root(down, at) - 1
+        found = [(abs(order[i] - size), place[queues[i][0]], i) for i in (above, below) if 0 <= i < len(order)]
+        if not found:
+            continue
+        i = min(found)[2]
+        if near(size, order[i]):
+            out.append((key, queues[i].popleft()))
+            if not queues[i]:
+                up[i], down[i + 1] = i + 1, i
+    return out
+
+
 def greedy_areas(left: DataFrame, right: DataFrame, group: list[str], key: str, area: str, order: str, tolerance: float = 0.03) -> DataFrame:
     """group, left_key, right_key: rows matched one to one by nearest area within a relative tolerance, in the order of the left rows.
 
-    Each left row takes the nearest free right one (the earlier on a tie), so the result depends on the order by its meaning. A
-    group is what one sheet or floor holds; it goes to one task, so group by keys that bound it.
+    Each left row takes the nearest free right one (the earlier on a tie), so the result depends on the order by its meaning. Areas
+    that are not positive match nothing. Groups are cut at gaps that no pair can bridge; a piece without such a gap goes to one task.
     """
     kind = left.schema[key].dataType.simpleString()
 
     def match(rows: list[tuple]) -> list[tuple]:
         a, b = (sorted((r[1:] for r in rows if r[0] == side), key=lambda r: (r[2], r[0])) for side in (0, 1))
-        free, out = [(r[0], r[1]) for r in b], []
-        for one, size, _ in a:
-            if size > 0 and free:
-                at = min(range(len(free)), key=lambda i: abs(free[i][1] - size))
-                if abs(free[at][1] - size) / size <= tolerance:
-                    out.append((one, free.pop(at)[0]))
-        return out
-
-    side = lambda df, n: df.where(F.col(area).isNotNull() & F.col(order).isNotNull()).select(*group, F.lit(n).alias("__side"), F.col(key).alias("__key"), F.col(area).alias("__area"), F.col(order).alias("__order"))
+        return nearest_free([r[:2] for r in a], [r[:2] for r in b], lambda x, y: abs(y - x) / x <= tolerance)
+
+    side = lambda df, n: df.where((F.col(area) > 0) & ~F.isnan(F.col(area).cast("double")) & F.col(order).isNotNull()).select(*group, F.lit(n).alias("__side"), F.col(key).alias("__key"), F.col(area).alias("__area"), F.col(order).alias("__order"))
     arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
-    both = side(left, 0).unionByName(side(right, 1))
-    return page_by_page(both, group, ["__side", "__key", "__area", "__order"], match, [("left_key", kind, arrow), ("right_key", kind, arrow)])
+    both = with_pieces(side(left, 0).unionByName(side(right, 1)), group, "__area", tolerance)
+    return page_by_page(both, [*group, "__piece"], ["__side", "__key", "__area", "__order"], match, [("left_key", kind, arrow), ("right_key", kind, arrow)]).drop("__piece")
 
 
 def same_stems(a: Column, b: Column, stem: int = 6, least: float = 0.6) -> Column:

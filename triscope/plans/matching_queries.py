@@ -95,10 +95,10 @@ def q_parameter_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_size_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Design files matched one to one with working files of a size within a quarter, by object, section and size class."""
+    """Design files matched one to one with working files of a size within a quarter, by object and section."""
     f = files_now(spark, d, "stage", "section", "size_bytes").where("oid is not null and section is not null and size_bytes > 0")
-    f = f.select("fid", "oid", "section", "stage", "size_bytes", F.floor(F.log2("size_bytes")).cast("int").alias("class"))
-    return greedy_areas(f.where("stage = 'PD'"), f.where("stage = 'RD'"), ["oid", "section", "class"], "fid", "size_bytes", "fid", tolerance=0.25)
+    f = written(f.select("fid", "oid", "section", "stage", "size_bytes").where("stage in ('PD', 'RD')"), "sizes")  # read by the cuts and by the match
+    return greedy_areas(f.where("stage = 'PD'"), f.where("stage = 'RD'"), ["oid", "section"], "fid", "size_bytes", "fid", tolerance=0.25)
 
 
 def q_undone_portions(spark: SparkSession, d: str) -> DataFrame:
