@@ -1,0 +1,100 @@
+import pytest
+
+from triscope.operators.extract import extract
+from triscope.operators.facts import facts_of, line_facts
+
+
+def got(text, rule=""):
+    return [(r, no, value, element, source) for r, no, _, value, element, source in facts_of(text) if r.startswith(rule)]
+
+
+def test_lists_after_a_header():
+    text = "Толщины перекрытия и покрытия:\nПерекрытия -2 и -1 этажей - 250мм\nФундаментная плита - 1000, 1200мм\nСтены - 300 мм\nпусто\nпусто\nПокрытие - 220 мм\nПокрытие - 180 мм"
+    assert got(text) == [("thickness_stated", n, v, e, "line") for n, v, e in ((1, "250", "Плиты перекрытий"), (2, "1000", "Фундаментная плита"), (2, "1200", "Фундаментная плита"), (3, "300", "Монолитные стены"), (6, "220", "Плиты перекрытий"))]
+    assert got("Плита перекрытия толщиной 800\nмм, 900 мм") == [("thickness_stated", 0, v, "Плиты перекрытий", "line") for v in ("800", "900")]
+    assert got("Фундаментная плита\nтолщиной 1200 мм.") == [("thickness_stated", 1, "1200", "Фундаментная плита", "line")]
+    assert got("Перекрытия\n\nтолщиной 200 мм.") == [] and got("Стяжка толщиной 50 мм по перекрытию") == []
+    assert got("Перекрытие - 250мм") == []
+    assert got("Толщины:\nПерекрытия - 200,\n250 мм") == [("thickness_stated", 1, v, "Плиты перекрытий", "line") for v in ("200", "250")] + [("thickness_stated", 2, "250", "Плиты перекрытий", "context")]
+
+
+def test_rebar_looks_back_within_the_paragraph():
+    text = "форшахта – балка в грунте,\nвязанная каркасами, основная\nрабочая арматура А400,\nконструктивная А240\n\nарматура A500C, А270"
+    assert got(text) == [("rebar_working", 2, "А400", "Форшахта", "context"), ("rebar_constructive", 3, "А240", "Форшахта", "context"), ("rebar", 5, "А500С", None, None)]
+    assert got("колонны\n1\n2\n3\nарматура А500") == [("rebar", 4, "А500", None, None)] and got("ось А400") == []
+
+
+def test_zero_level_once_a_page():
+    text = "За относительную отметку 0,000 принята абсолютная отметка 159,95 м\nЗа относительную отметку 0,000 принята абсолютная отметка 160,00 м\fЗа относительную отм. ±0.000 принята отметка пола, что соответствует абсолютной\nотметке в пределах: 122,65"
+    assert [(n, v) for _, n, v, _, _ in got(text, "zero")] == [(0, "159.95"), (1, "122.65")]
+
+
+@pytest.mark.parametrize("text, values", [("Балка из стали С345-3", ["С345"]), ("Ст3сп5, ст.40 и Ст. 6", ["Ст3сп"]), ("сталь 20; сталь марки Ст2", ["сталь 20", "Ст2"]), ("09Г2С и S355", ["09Г2С", "S355"]), ("арматура А240 из Ст3сп", []), ("С245 1", ["С245"]), ("С2451", [])])
+def test_steel(text, values):
+    assert [v for _, _, v, _, _ in got(text, "steel")] == values
+
+
+def test_steel_elements():
+    assert got("Балка\nС245", "steel") == [("steel", 1, "С245", "Балки", "context")]
+    assert got("Прогон С345\nбалка", "steel") == [("steel", 0, "С345", "Прогоны", "line")]
+    assert got("лист С345", "steel") == [("steel", 0, "С345", "Металлоконструкции", None)]
+    assert got("болты\nС345", "steel") == []
+
+
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("Комплекс запроектирован II степени огнестойкости С0 класса конструктивной пожарной опасности", ["II", "С0"]),
+        ("Степень огнестойкости здания – I; класс конструктивной пожарной опасности - СО", ["I", "С0"]),
+        ("Дом соответствующих l степени огнестой-\nкости", ["I"]),
+        ("расстояние до зданий I, II степени огнестойкости", []),
+        ("Здание запроектировано. II степени огнестойкости", []),
+        ("Корпус 2 запроектирован II степени огнестойкости", []),
+        ("Объект предусмотрен не ниже II степени огнестойкости", []),
+        ("Дом запроектирован I, III степени огнестойкости", []),
+    ],
+)
+def test_fire(text, values):
+    assert [v for _, _, v, _, _ in got(text, "fire")] == values
+
+
+def test_line_of_a_fire_declaration():
+    assert [(n, v) for _, n, v, _, _ in got("пере-\nнос, ого-\nворка.\n\nСтепень огне-\nстойкости здания – II", "fire")] == [(4, "II")]
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("перегородками 1-го типа (EI 45). Заполнение проемов дверями 2-го типа (EI 30)", [("door", "EI30")]),
+        ("дверь EIS-60, стена REI 150", [("door", "EIS60")]),
+        ("двери\nс пределом EI 60", [("door", "EI60")]),
+        ("двери.\nпредел EI 60", []),
+        ("не менее EI 45. Двери таких помещений", []),
+        ("EI 45 ворота", [("door", "EI45")]),
+        ("EIS60 (EIW60)", [("door_label", "EIS60"), ("door_label", "EIW60")]),
+        ("клапан EI 90", []),
+    ],
+)
+def test_doors(text, found):
+    assert [(r, v) for r, _, v, _, _ in got(text, "door")] == found
+
+
+def test_pipes():
+    assert got("Стояки К2 из чугунных труб SML и ПВХ") == [("pipe", 0, "чугун", "К2", "line"), ("pipe", 0, "ПВХ", "К2", "line")]
+    assert got("Система водостока\nтрубы стальные") == [("pipe", 1, "сталь", "К2", "context")]
+    assert got("Канализация из труб ПП в наружной сети") == [] and got("Хозяйственно-питьевой водопровод\nтрубы ПП\nканализация") == []
+    assert got("Выпуск К4-1 ВЧШГ в стальном футляре") == [("pipe", 0, "чугун", "К4", "line")]
+
+
+def test_table_of_facts(spark):
+    df = spark.createDataFrame([("a", "x\nдверь EI 60"), ("b", None), ("c", "")], "id string, t string")
+    assert [tuple(r) for r in line_facts(df, "id", "t").collect()] == [("a", 1, "door", 6, "EI60", "дверь", "line")]
+    assert extract(spark.createDataFrame([(1, "стена REI 60")], "id int, t string"), "id", "t").count() == 0
+
+
+def test_query_reads_every_rule(spark, tmp_path):
+    from triscope.plans.matching_queries import q_extracted_facts
+
+    text = "Перекрытие толщиной 250 мм\nбетон В25\nколонна, арматура А500С\n\nза относительную отметку 0,000 принята отметка 159,95\nбалка С345\n\nСтепень огнестойкости здания – II\n\nдверь EI 60\nEI 30\n\nстояк К1 чугун 5 кВт"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.rule for r in q_extracted_facts(spark, str(tmp_path)).collect()} == {"thickness", "thickness_stated", "concrete", "rebar", "zero_level", "steel", "fire_degree", "door", "door_label", "pipe", "power"}

@@ -45,7 +45,7 @@ RULES = (
     Rule("concrete", rf"(?<![А-Яа-яA-Za-z])[BВ]({CONCRETE})(?![0-9]|,[0-9])", STRUCTURES, "кроме"),
     Rule("rebar", rf"(?<![А-Яа-яA-Za-z])[AА]({REBAR})[СC]?(?![0-9])", STRUCTURES),
     Rule("thickness", r"(?<![0-9.,])([0-9]{2,4}) ?мм", STRUCTURES, "диаметр"),
-    Rule("door", rf"(?<![A-Za-z])(?:R?EI[WS]*) ?({DOOR_MINUTES})(?![0-9])"),
+    Rule("door", rf"(?<![A-Za-zА-Яа-я])EI[WS]* ?({DOOR_MINUTES})(?![0-9])"),
     Rule("power", r"(?<![0-9])([0-9]+(?:,[0-9]+)?) ?кВт"),
 )
 

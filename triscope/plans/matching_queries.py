@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from triscope.operators.compare import align, lost, old_kinds_new, over_limit, third_stage
 from triscope.operators.extract import CABLE_ATTRIBUTES, LIGHTS, OLD_LIGHTS, RULES, extract, named
+from triscope.operators.facts import line_facts
 from triscope.operators.findings import STAGES, TEMPORARY, findings
 from triscope.operators.matching import best_group, by_path, contiguous_portions, greedy_areas, seeded_sample, set_overlap
 from triscope.plans.checks_queries import _KEY, _facts
@@ -19,11 +20,14 @@ from triscope.sources.scratch import written
 from triscope.sources.tables import table
 
 _POWER = tuple(r for r in RULES if r.name == "power")
+#: Those of which one line decides; bars and doors are read with their neighbours.
+_ONE_LINE = tuple(r for r in RULES if r.name not in ("rebar", "door"))
 
 
 def q_extracted_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts of all rules in the documents by rule, element and where the element was found."""
-    f = extract(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    t = table(spark, d, "documents", "doc_id", "text")
+    f = extract(t, "doc_id", "text", _ONE_LINE).unionByName(line_facts(t, "doc_id", "text"))
     return f.groupBy("rule", "element", "element_from").agg(F.count("*").alias("n_facts"), F.countDistinct("doc_id").alias("n_docs"))
 
 
