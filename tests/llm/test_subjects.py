@@ -1,6 +1,7 @@
 import random
+import textwrap
 
-from triscope.llm.subjects import LONGEST, OTHER, assign_subjects, passages
+from triscope.llm.subjects import LONGEST, OTHER, assign_subjects, passages, unwrapped, windows
 
 TERMS = {
     "KR": ["ростверк", "арматурный каркас", "анкерный болт", "свайное поле", "закладная деталь"],
@@ -78,3 +79,19 @@ def test_held_out_labels_of_the_test_tables(spark):
     found = assign_subjects(read("documents"), read("subjects"), labels.where("doc_id % 2 = 0"))
     held = labels.where("doc_id % 2 = 1").select("doc_id", "subject_code").distinct()
     assert held.join(found, ["doc_id", "subject_code"]).count() / held.count() >= 0.85
+
+
+def test_wrapped_passages_and_passages_within_a_line(spark):
+    docs, truth, labels = corpus()
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 40))
+    odd = [(2000, wrap(passage("KR", 8)), 1), (2001, wrap(passage("KR", 6)) + "\n\n" + wrap(passage("OV", 6)), 1), (2002, passage("KR", 5) + " " + passage("OV", 5), 1), (2003, passage("AR", 5) + " " + passage("OV", 4) + " " + passage("AR", 5), 1), (2004, passage("KR", 13), 1)]
+    got = run(spark, docs + odd, labels)
+    assert [got[i] for i, *_ in odd] == [{"KR"}, {"KR", "OV"}, {"KR", "OV"}, {"AR", "OV"}, {"KR"}]
+
+
+def test_unwrapping_and_windows():
+    assert unwrapped("a b\nc d.\ne f\n\ng\r\nпере-\nнос; ") == "a b c d. e f\ng перенос; " and unwrapped("") == ""
+    assert unwrapped("a. b. c.\nd. e. f.\ng.") == "a. b. c.\nd. e. f.\ng." and unwrapped("Заголовок\na. b. c.\nd.") == "Заголовок a. b. c.\nd."
+    text = " ".join(f"Предложение {i}." for i in range(9))
+    parts = list(windows(text))
+    assert list(windows("Раз. Два. Три. Четыре. Пять.")) == [] and all(any(" ".join(f"Предложение {j}." for j in range(i, i + 4)) in p for p in parts) for i in range(6))

@@ -1,6 +1,8 @@
 """Subject areas of each document: term weighting, truncated singular value decomposition, refined seed centroids.
 
-Passages are the lines of a text; a line of more than ``LONGEST`` sentences is cut into windows. Terms are the first letters of
+Passages are the lines of a text, those that end within a sentence joined with the next up to a blank line; a line of more than
+``LONGEST`` sentences is cut into windows. Within a line of more than ``WINDOW`` sentences, overlapping windows of that many are judged
+besides, so that a passage within another is seen: they add the subjects that they clearly show, and take no part in the fitting. Terms are the first letters of
 words (so that inflected forms meet), numbered by hash. The weight of a term is its count times its inverse document frequency over all passages
 of the corpus times the information it carries about the subjects in a bounded sample of the human labels. The most
 informative terms make the vocabulary; the truncated decomposition of the weighted passages is found by subspace iteration
@@ -22,7 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,9 @@ REFINEMENTS = 4
 STEM = 6
 SENTENCES = 3
 LONGEST = 14
+#: Sentences of a window that is judged besides, and how far apart windows begin: any four sentences in a row lie in one.
+WINDOW = 5
+STEP = 2
 LEAST_DOCS = 3
 CLEAR = 0.1
 #: Characters whose terms are counted at once.
@@ -51,6 +56,8 @@ OTHER = "OTHER"
 _HAS_TEXT = r"text rlike '[^\\s\\p{Z}]'"
 _WORDS = re.compile(r"[^\W\d_]{3,}")
 _LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
+_LINE = re.compile(r"\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]")
+_ENDED = re.compile(r"[.;!?…][»\")]*\s*$")
 _END = re.compile(r"[.;!?…]+[»\")]*(?:\s|$)")
 _LATIN = re.compile(r"[b-dfgijlnqrsuvwz]")
 
@@ -82,7 +89,51 @@ def passages(text: str) -> Iterator[tuple[int, str]]:
             yield sum(a < e <= b for e in ends), line[a:b]
 
 
-def _rows(pairs: Iterator[tuple[object, str]], terms: Terms) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unwrapped(text: str) -> str:
+    """The text with the lines of hard-wrapped passages joined, up to a blank line; blank lines are left out.
+
+    A line goes on if it ends within a sentence, or if it and the next have too few sentences for a passage, as where a sentence
+    happens to end with a wrapped line.
+    """
+    blocks: list[list[str]] = []
+    last: str | None = None
+    few = False
+    for line in _LINE.split(text):
+        if not line or line.isspace():
+            last = None
+            continue
+        was, few = few, len(_END.findall(line)) < SENTENCES
+        if last is None or (_ENDED.search(last[-40:]) and not (was and few)):
+            blocks.append([line])
+        elif (end := last.rstrip())[-1] in "-‐‑\xad" and end[-2:-1].isalpha():
+            blocks[-1][-1] = end[:-1]
+            blocks[-1].append(line.lstrip())
+        else:
+            blocks[-1] += [" ", line]
+        last = blocks[-1][-1]
+    return "\n".join(map("".join, blocks))
+
+
+def windows(line: str) -> Iterator[str]:
+    """The overlapping windows of a line with more sentences than one."""
+    ends = [m.end() for m in _END.finditer(line)]
+    n = len(ends)
+    if n > WINDOW:
+        starts = [0, *ends]
+        for i in (*range(0, n - WINDOW, STEP), n - WINDOW):
+            yield line[starts[i] : ends[i + WINDOW - 1]]
+
+
+def _read(text: str) -> Iterator[tuple[int, str]]:
+    """The passages of a text, and the windows within them with a number below 0."""
+    text = unwrapped(text)
+    yield from passages(text)
+    for line in text.split("\n"):
+        for part in windows(line):
+            yield -WINDOW, part
+
+
+def _rows(pairs: Iterator[tuple[object, str]], terms: Terms, read: Callable[[str], Iterator[tuple[int, str]]] = _read) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, sentences and alphabet of the passages; sizes, terms and counts of their bags of terms."""
     keys, sentences, lengths, found = [], [], [], []
     split_by, number, find = odd(), terms.__getitem__, _WORDS.findall
@@ -90,7 +141,7 @@ def _rows(pairs: Iterator[tuple[object, str]], terms: Terms) -> tuple[list, np.n
         text = text.lower()
         if split_by.search(text):
             text = unicodedata.normalize("NFC", text).translate(table())
-        for n, p in passages(text):
+        for n, p in read(text):
             ws = find(p)
             found.extend(map(number, ws))
             keys.append(key)
@@ -122,7 +173,7 @@ def _portions(pairs: Iterator[tuple[object, str]], chars: int = PORTION) -> Iter
 
 
 def term_table(documents: DataFrame) -> DataFrame:
-    """doc_id, sentences, latin, terms, counts of each passage."""
+    """doc_id, sentences, latin, terms, counts of each passage, and of each window with sentences below 0."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +304,14 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))  # bounded by the parameter
 
     # document frequencies over the whole corpus, and by subject over the labelled passages
-    frequency = table_of_terms.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= LEAST_DOCS).toPandas()  # at most BUCKETS rows
-    total = table_of_terms.count()
+    whole = table_of_terms.where("sentences >= 0")
+    frequency = whole.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= LEAST_DOCS).toPandas()  # at most BUCKETS rows
+    total = whole.count()
     by_subject = table_of_terms.where(F.col("sentences") >= SENTENCES).join(known, "doc_id").select("subject_code", F.explode("terms").alias("term")).groupBy("term", "subject_code").count().toPandas()  # BUCKETS x subjects at most
     seen = np.zeros((BUCKETS, n))
     if len(by_subject):
         seen[by_subject["term"], [codes.index(c) for c in by_subject["subject_code"]]] = by_subject["count"]
-    title_codes, _, title_latin, title_sizes, title_terms, title_counts = _rows(iter(named), Terms())
+    title_codes, _, title_latin, title_sizes, title_terms, title_counts = _rows(iter(named), Terms(), passages)
     np.add.at(seen, (title_terms, np.repeat([codes.index(c) for c in title_codes], title_sizes).astype(int)), 1)
     share = (seen.sum(0) + 1) / (seen.sum() + n)
     given = (seen + 2 * share) / (seen.sum(1, keepdims=True) + 2)
@@ -276,7 +328,7 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     k = max(1, min(dimensions, len(chosen)))
     start = np.random.default_rng(0).standard_normal((max(1, len(chosen)), k)).astype(np.float32)
     space = Space(place, weight, start)
-    space.basis = decompose(table_of_terms, space, SVD_PASSES).astype(np.float32) if len(chosen) else start
+    space.basis = decompose(whole, space, SVD_PASSES).astype(np.float32) if len(chosen) else start
     sent = context.broadcast(space)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +381,7 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
             e, latin = _vectors(b, k)
             sentences = b.column(1).to_numpy()
             best, lead = _nearest(e, latin, last.value) if len(e) else (np.zeros(0, int), np.zeros(0))
-            ok = (sentences >= SENTENCES) & (lead > 0) & (np.abs(e).sum(1) > 0)
+            ok = (np.abs(sentences) >= SENTENCES) & (lead > np.where(sentences < 0, CLEAR, 0)) & (np.abs(e).sum(1) > 0)
             code = [codes[c % n] if y and codes[c % n] != OTHER else None for c, y in zip(best.tolist(), ok.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.string())], ["doc_id", "subject_code"])
 
