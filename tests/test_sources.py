@@ -64,3 +64,9 @@ def test_versions_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).where("object_id = 'o2'").count() == 1
     sinks.report(one, str(tmp_path / "r.json"))
     assert (tmp_path / "r.json").read_text("utf-8").count("object_id") == 2
+
+
+def test_archives_that_are_not_supported_are_not_broken(spark):
+    contents = {"a.7z": b"7z\xbc\xaf\x27\x1c\x00\x04", "b.rar": b"Rar!\x1a\x07\x01\x00", "c.zip": b"PK broken", "d.zip": b"", "e.zip": None}
+    files = spark.createDataFrame([(k, v) for k, v in contents.items()], "path string, content binary")
+    assert {r.path: (r.member, r.readable) for r in readers.archive_members(files).collect()} == {"a.7z": (None, None), "b.rar": (None, None), "c.zip": (None, False), "d.zip": (None, False), "e.zip": (None, False)}

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBERS = "path string, member string, size bigint, readable boolean"
+#: First bytes of 7z and rar.
+OTHER_ARCHIVES = (b"7z\xbc\xaf\x27\x1c", b"Rar!\x1a\x07")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, keep_broken: bool = False) -> DataFrame:
@@ -54,7 +56,8 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """``MEMBERS``: one row per file within each archive (path, content). An archive that can't be read gives one row.
+    """``MEMBERS``: one row per file within each archive (path, content). An archive that can't be read gives one row,
+    with ``readable`` false; 7z and rar, told by their first bytes, aren't supported: one row with ``readable`` null.
 
     Names that an old archiver wrote in the Russian DOS encoding are put right, which the archive's own flag tells.
     """
@@ -75,7 +78,7 @@ def archive_members(files: DataFrame) -> DataFrame:
                                         pass
                                 rows.append((path, name, m.file_size, True))
                 except (zipfile.BadZipFile, TypeError, OSError):
-                    rows.append((path, None, None, False))
+                    rows.append((path, None, None, None if content and content.startswith(OTHER_ARCHIVES) else False))
             kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "member", "size", "readable"])
 
