@@ -50,3 +50,11 @@ def test_reading_alike(spark):
 def test_empty_sides(spark):
     assert run(spark, [], [(1, "a " * 20)]) == set() and run(spark, [(1, "a " * 20)], []) == set()
     assert run(spark, [(1, "a " * 20)], [(1, "a " * 20)]) == {(1, 1)}
+
+
+def test_breaks_on_either_side_and_of_both_kinds(spark):
+    plain = "сколько раз анкерный болт встречается между отметками и маркой северо западной дважды"
+    broken = plain.replace("анкерный", "анкер-\nный")
+    both = plain.replace("анкерный", "анкер-\nный").replace("северо западной", "северо-\nзападной")
+    far = "раз-\nмер " + "и так " * 20 + both
+    assert run(spark, [(1, plain), (2, broken), (3, both), (4, far)], [(1, plain), (2, broken), (3, both)]) == {(d, i) for d in (1, 2, 3, 4) for i in (1, 2, 3)}

@@ -12,7 +12,8 @@ The items are the stated query set. They are taken in blocks of ``BLOCK_ITEMS``,
 documents are scanned once per block and are never gathered.
 
 Cases: null and empty texts and items shorter than a window give no row. A window within an item that occurs twice, and items
-that share a window, all count. Repeated rows of either side count once. Words broken at a line end are read both ways.
+that share a window, all count. Repeated rows of either side count once. Words broken at a line end are read
+both ways on either side, each break by itself; of more than six breaks within one window not every choice is read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triscope.llm.words import joined_words, words
+from triscope.llm.words import readings
 from triscope.sources.scratch import written
 
 WINDOW = 12
@@ -34,10 +35,10 @@ BLOCK_ITEMS = 20_000
 BROADCAST_WINDOWS = 500_000
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    block: list[tuple[int, list[str]]] = []
+def _blocks(items: DataFrame, window: int) -> Iterator[list[tuple[int, list[list[str]]]]]:
+    block: list[tuple[int, list[list[str]]]] = []
     for item_id, text in items.where("text is not null").distinct().toLocalIterator():
-        block.append((item_id, words(text)))
+        block.append((item_id, list(readings(text, window))))
         if len(block) >= BLOCK_ITEMS:
             yield block
             block = []
@@ -68,8 +69,8 @@ def _runs(documents: DataFrame, vocabulary: dict[str, int], shingles: dict[tuple
             runs: list[list[int]] = []
             places: list[list[int]] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in (words(text), joined_words(text)):
-                    for r, at in of_text(list(map(number, w))) if w else ():
+                for w in readings(text, window):
+                    for r, at in of_text(list(map(number, w))):
                         ids.append(doc_id)
                         runs.append(r)
                         places.append(at)
@@ -86,14 +87,19 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
     item_kind = items.schema["item_id"].dataType.simpleString()
     doc_kind = documents.schema["doc_id"].dataType.simpleString()
     out: DataFrame | None = None
-    for block in _blocks(items.select("item_id", "text")):
+    for block in _blocks(items.select("item_id", "text"), window):
         vocabulary: dict[str, int] = {}
         shingles: dict[tuple[int, ...], int] = {}
         rows = []
-        for item_id, ws in block:
-            numbers = [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
-            own = [shingles.setdefault(tuple(numbers[i : i + shingle]), len(shingles)) for i in range(len(numbers) - shingle + 1)]
-            rows += [(item_id, k, numbers[k : k + window], own[k : k + window - shingle + 1]) for k in range(len(numbers) - window + 1)]
+        for item_id, read in block:
+            first, known = 0, set()  # windows of further readings are numbered on, those that are known by now left out
+            for ws in read:
+                numbers = [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
+                own = [shingles.setdefault(tuple(numbers[i : i + shingle]), len(shingles)) for i in range(len(numbers) - shingle + 1)]
+                found = [(item_id, first + k, numbers[k : k + window], own[k : k + window - shingle + 1]) for k in range(len(numbers) - window + 1)]
+                rows += [r for r in found if tuple(r[2]) not in known]
+                known |= {tuple(r[2]) for r in found} if len(read) > 1 else set()
+                first += len(found)
         if not rows:
             continue
         runs = written(_runs(documents, vocabulary, shingles, window, shingle), "runs")

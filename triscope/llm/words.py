@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 from triscope.functions.lookalikes import LOOSE
@@ -56,6 +57,26 @@ def words(text: str) -> list[str]:
     return list(map(_FORMS.__getitem__, _WORD.findall(text)))
 
 
+def readings(text: str, window: int, most: int = 6) -> Iterator[list[str]]:
+    """The words of a text in so many readings that each run of ``window`` words is met with every choice of its broken words joined
+    or apart. Beyond ``most`` breaks within one window, that many neighbouring ones are chosen freely and the others as those."""
+    parts = _BREAK.split(text) if "\n" in text else [text]
+    if len(parts) == 1:
+        yield words(text)
+        return
+    inner = [len(words(p)) for p in parts[1:-1]]
+    free, first, held = 1, 0, 0
+    for last, n in enumerate(inner, 1):  # breaks first..last share a window if so few words lie between them
+        held += n
+        while first < last and 2 + held - (last - first + 1) > window:
+            held -= inner[first]
+            first += 1
+        free = max(free, last - first + 1)
+    free = min(free, most)
+    for choice in range(1 << free):
+        yield words(parts[0] + "".join(("" if choice >> (i % free) & 1 else " ") + p for i, p in enumerate(parts[1:])))
+
+
 def joined_words(text: str) -> list[str] | None:
     """The words with words broken at a line end joined; None where no word is broken."""
     if "\n" not in text:
