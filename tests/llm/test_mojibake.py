@@ -55,3 +55,11 @@ def test_correct_fields_stay(repaired):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "id string, source string, field string, text string")
     assert m.repair(df, "id").collect() == []
+
+
+def test_letters_lost_as_question_marks(spark):
+    texts = {"a": "????? 12.pdf", "b": "RD/???/List 3.pdf", "c": "РД/План ????.pdf", "d": "What now?.pdf", "e": "РД/План этажа 3.pdf"}
+    df = spark.createDataFrame([(k, "upload", "original_name", t) for k, t in texts.items()], "id string, source string, field string, text string")
+    got = {r.id: r for r in m.repair(df, "id").collect()}
+    assert {k for k, r in got.items() if r.spoilt == 1.0 and r.chain == "lost" and r.repaired == r.text} == {"a", "b", "c"}
+    assert all(got[k].spoilt < 0.5 for k in "de")

@@ -5,13 +5,14 @@ chain either fails (then the chain is impossible) or gives a candidate for the o
 draws a chain from the prior of its source and field; each part of the text (parts are what stands between slashes) is spoilt
 by that chain or left as it is; the original part follows a character model shared by all records. EM estimates the priors and
 the character model from all records at once, so that weak evidence in single records is pooled; each part is then repaired
-by the chain of highest posterior. A part with replacement characters is spoilt beyond repair, whatever the rest.
+by the chain of highest posterior. A part with replacement characters, or with question marks
+in a row, is spoilt beyond repair, whatever the rest.
 
 Only masked patterns (runs of digits as one 0) with their counts take part in the iterations: equal shapes count once, and
 what the driver gathers in an iteration is bounded by alphabet and number of chains, not by the records. The first character
 model is taken from parts of ASCII and Russian letters only.
 
-Cases: null fields give no row; empty and pure ASCII text is kept as it is, with no chain; a null source is a source of its
+Cases: null fields give no row; empty and other pure ASCII text is kept as it is, with no chain; a null source is a source of its
 own; text of any length is read whole; repeated records give repeated rows.
 """
 
@@ -33,6 +34,8 @@ from triscope.sources.scratch import written
 SEEN_AS = ("cp1251", "cp1252", "latin_1", "cp866", "cp437", "koi8_r", "mac_cyrillic")
 WRITTEN_IN = ("utf_8", "cp1251", "cp866", "koi8_r", "mac_cyrillic", "cp1252")
 LOST = "lost"
+#: What a lossy decoding leaves of letters; a single question mark may be one.
+_LOST_LETTERS = re.compile(r"\ufffd|\?{2,}")
 SAME = ""
 ITERATIONS = 4
 #: Share of the parts of a spoilt field that are left as they were.
@@ -247,8 +250,8 @@ def _statistics(patterns: DataFrame, judge: Judge | None) -> tuple[dict, dict]:
         chains: dict[tuple[str, str, str], float] = defaultdict(float)
         for b in batches:
             for source, field, pattern, n in zip(*(c.to_pylist() for c in b.columns)):
-                if "\ufffd" in pattern:
-                    pattern = "/".join(p for p in pattern.split("/") if "\ufffd" not in p)
+                if _LOST_LETTERS.search(pattern):
+                    pattern = "/".join(p for p in pattern.split("/") if not _LOST_LETTERS.search(p))
                 if judge is None:
                     for p in pattern.split("/"):
                         if _PLAIN.issuperset(p):
@@ -301,13 +304,13 @@ def repair(fields: DataFrame, key: str, iterations: int = ITERATIONS) -> DataFra
         for b in batches:
             out: list[tuple] = []
             for source, field, text in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                if text.isascii():
+                if text.isascii() and "??" not in text:
                     out.append((text, SAME, 0.0))
                     continue
-                _, best = judge.text(source or "", field, "/".join("" if "\ufffd" in p else p for p in mask(text).split("/")))
+                _, best = judge.text(source or "", field, "/".join("" if _LOST_LETTERS.search(p) else p for p in mask(text).split("/")))
                 parts, chains, same = [], [], 1.0
                 for part, (z, p) in zip(text.split("/"), best):
-                    if "\ufffd" in part:
+                    if _LOST_LETTERS.search(part):
                         chains.append(LOST)
                         same = 0.0
                     elif z and p >= 0.5 and (t := undo_chain(part, z)) is not None:
