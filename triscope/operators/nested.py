@@ -1,19 +1,27 @@
 """Deeply nested records into flat tables: one pass, a depth-first visitor, rows tagged with their table.
 
-Every object that stands in a list becomes one row: the tag (dotted path of the list), its own key, the key of the object
-that encloses it, its place, and its scalar fields as payload. The rows of all tables leave one scan together; they are then
-written partitioned by tag, and a schema is applied to each tag when it is read.
+Every object that stands in a list becomes one row: the tag of its table, its own key, the key of the object that holds it, its
+place, and all its other fields as payload. The record itself is a row too, of the table named like its source. The rows of all
+tables leave one scan together; they are written partitioned by tag, and a schema is applied to a table when it is read. Sources
+of JSON text and of typed columns (as JSON of their struct) go through the same visitor.
+
+Keys are the record's key, a digest of its content and the object's number in the order of the visit: two records under one key,
+or without one, don't mix, and a repeated record gives the same keys again.
 
 Cases: null or empty text, text that is not complete JSON, and text without a registry object give no row. A byte order mark
 before the text, wrappers around the registry object, and JSON inside a JSON string are seen through. A null list element
-gives no row but keeps its place. An object in place of a list of ``LIST_FIELDS`` counts as a list of one. A list inside a
-list adds the outer place to ``parent_pos``. Rows with a null key are emitted under a null key. Repeated records give repeated
-rows (``distinct`` where that is not wanted). An empty input gives an empty output.
+gives no row but keeps its place. An object in place of a list of ``list_fields`` counts as a list of one. A list inside a
+list adds the outer place to ``parent_pos``; its objects hang on the object that holds the outer list. Objects that aren't in a list
+stay within the payload. What a list holds besides objects stays in the payload at its place, with null for each object; a list of
+objects alone isn't repeated there, an empty list is. Payloads nested deeper than the JSON writer goes are null. Rows with a null key
+are emitted under a null key. Repeated records give repeated rows (``distinct`` where that is not wanted). Empty inputs give no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,16 +31,23 @@ from pyspark.sql import types as T
 
 LIST_FIELDS = ("revisions", "sheets", "stamps", "members", "page_kinds")
 ROOT_FIELD = "schema_version"
-TAGGED = "record_key string, list_path string, parent_path string, parent_pos string, pos bigint, row_key string, parent_key string, payload string"
-PLACES = "record_key string, list_path string, parent_pos string, pos bigint"
+TAGGED = "src string, tag string, record_key string, list_path string, parent_path string, parent_pos string, pos bigint, row_key string, parent_key string, payload string"
+_NAMES = [x.split()[0] for x in TAGGED.split(", ")]
+_TYPES = [pa.int64() if n == "pos" else pa.string() for n in _NAMES]
+_FOLDER = re.compile(r"[\w.-]{1,80}", re.ASCII)
+
+#: list_path, parent's path, parent_pos, pos, number, parent's number, fields
+Row = tuple[str, str | None, str, int | None, int, int | None, dict]
 
 
-def registry_object(text: str, root_field: str = ROOT_FIELD) -> dict | None:
-    """The outermost object with ``root_field``, whatever stands around it."""
+def registry_object(text: str, root_field: str | None = ROOT_FIELD) -> dict | None:
+    """The outermost object with ``root_field``, whatever stands around it; without a field the object that the text is."""
     try:
         todo = [json.loads(text.lstrip("\ufeff"))]
     except (ValueError, RecursionError):
         return None
+    if root_field is None:
+        return todo[0] if isinstance(todo[0], dict) else None
     while todo:
         x = todo.pop()
         if isinstance(x, dict):
@@ -49,123 +64,142 @@ def registry_object(text: str, root_field: str = ROOT_FIELD) -> dict | None:
     return None
 
 
-def visit(root: dict, list_fields: frozenset[str]) -> Iterator[tuple[str, str, str, int, dict]]:
-    """(path, parent's path, parent's places, place, object) of each object in a list, depth first, without recursion."""
-    stack: list[tuple] = [("object", root, "", "", "")]
+def _parts(xs: list, places: str) -> tuple[list[tuple[dict, str, int]], list | None]:
+    """The objects of a list and of the lists in it, each with the places around it and its own; and what else it holds, if anything."""
+    objects: list[tuple[dict, str, int]] = []
+    rest: list = []
+    others = False
+    todo = [(xs, rest, places)]
+    while todo:
+        ys, into, around = todo.pop()
+        for i, y in enumerate(ys):
+            if isinstance(y, dict):
+                objects.append((y, around, i))
+                into.append(None)
+            elif isinstance(y, list):
+                into.append([])
+                todo.append((y, into[-1], f"{around}.{i}" if around else str(i)))
+            else:
+                into.append(y)
+                others = others or y is not None
+    return objects, rest if others or not objects else None
+
+
+def visit(root: dict, list_fields: frozenset[str]) -> list[Row]:
+    """The record and each object in a list, depth first, without recursion."""
+    rows: list[Row] = []
+    # object, its fields if it isn't in a list; path, places and table around it; place, number of the holder
+    stack: list[tuple] = [(root, None, "", "", None, None, None)]
     while stack:
-        kind, x, path, up, places = stack.pop()
-        if kind == "list":
-            inner = []
-            for i, y in enumerate(x):
-                if isinstance(y, dict):
-                    inner.append((y, i))
-                elif isinstance(y, list):
-                    stack.append(("list", y, path, up, f"{places}.{i}" if places else str(i)))
-            for y, i in inner:
-                yield path, up, places, i, y
-                stack.append(("object", y, path, path, f"{places}.{i}" if places else str(i)))
-            continue
+        x, into, path, places, table, pos, no = stack.pop()
+        if into is None:
+            rows.append((path, table, places, pos, len(rows), no, into := {}))
+            no, table = len(rows) - 1, path
+            places = "" if pos is None else f"{places}.{pos}" if places else str(pos)
+        below: list[tuple] = []
         for name, y in x.items():
             at = f"{path}.{name}" if path else name
-            if isinstance(y, list):
-                stack.append(("list", y, at, up, places))
-            elif isinstance(y, dict):
-                stack.append(("list", [y], at, up, places) if name in list_fields else ("object", y, at, up, places))
+            one = isinstance(y, dict)
+            if one and name not in list_fields:
+                into[name] = {}
+                below.append((y, into[name], at, places, table, None, no))
+            elif one or isinstance(y, list):
+                objects, rest = _parts([y] if one else y, places)
+                if rest is not None:
+                    into[name] = rest
+                below += [(z, None, at, around, table, i, no) for z, around, i in objects]
+            else:
+                into[name] = y
+        stack += reversed(below)
+    return rows
+
+
+def tag_of(src: str, path: str) -> str:
+    """Name of a table, fit for a folder: the source and the path of its list, or a digest of a path that is long or odd."""
+    name = f"{src}.{path}" if path else src
+    return name if _FOLDER.fullmatch(name) else f"{src}.{hashlib.md5(path.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
+def _payload(fields: dict) -> str | None:
+    try:
+        text = json.dumps(fields, ensure_ascii=False)
+        return text if text.isascii() or text.encode() else None
+    except RecursionError:
+        return None
+    except UnicodeEncodeError:  # half a pair of surrogates, which only an escape can carry
+        return json.dumps(fields)
 
 
-def _scalars(x: dict) -> dict:
-    """The fields of an object without its lists of objects; objects within become dotted fields."""
-    out, stack = {}, [("", x)]
-    while stack:
-        prefix, y = stack.pop()
-        for name, v in y.items():
-            if isinstance(v, dict):
-                if name not in LIST_FIELDS:
-                    stack.append((f"{prefix}{name}.", v))
-            elif not (isinstance(v, list) and any(isinstance(z, (dict, list)) for z in v)):
-                out[prefix + name] = v
-    return out
-
-
-def emit_tagged(df: DataFrame, key: Column, text: Column, list_fields: tuple[str, ...] = LIST_FIELDS, payload: bool = True) -> DataFrame:
-    """The tagged rows of the JSON in ``text``; ``TAGGED`` with payloads, ``PLACES`` without."""
+def source(df: DataFrame, name: str, key: Column, record: Column) -> DataFrame:
+    """src, key, text of a source: ``record`` is JSON text, or a struct whose fields make the record."""
+    text = F.to_json(record, {"ignoreNullFields": "false"}) if isinstance(df.select(record).schema[0].dataType, T.StructType) else record
+    return df.where(record.isNotNull()).select(F.lit(name).alias("src"), key.cast("string").alias("key"), text.alias("text"))
+
+
+def emit_tagged(sources: DataFrame, roots: dict[str, str | None], list_fields: tuple[str, ...] = LIST_FIELDS) -> DataFrame:
+    """``TAGGED``: the rows of all tables of the records in ``sources`` (src, key, text).
+
+    ``roots`` names for each source the field by which its record is known within the text; None where the text is the record.
+    """
     fields = frozenset(list_fields)
-    names = [x.split()[0] for x in (TAGGED if payload else PLACES).split(", ")]
-    types = [pa.int64() if n == "pos" else pa.string() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags: dict[tuple[str, str | None], tuple[str, str | None]] = {}  # the tag and the path as it can be written
+        plain = lambda path: path and path.encode("utf-8", "replace").decode()
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = registry_object(t)
-                for path, up, places, i, x in visit(root, fields) if root else ():
-                    if payload:
-                        own = f"{k}|{path}|{places}.{i}" if places else f"{k}|{path}|{i}"
-                        new = (k, path, up, places, i, own, f"{k}|{up}|{places}" if places else k, json.dumps(_scalars(x), ensure_ascii=False))
-                    else:
-                        new = (k, path, places, i)
+            rows: list[list] = [[] for _ in _NAMES]
+            for src, k, t, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                root = registry_object(t, roots.get(src, ROOT_FIELD))
+                record = f"{'' if k is None else k}~{digest & (1 << 64) - 1:016x}~"
+                for path, up, places, i, no, holder, own in visit(root, fields) if root is not None else ():
+                    if (known := tags.get((src, path))) is None:
+                        if len(tags) > 10_000:
+                            tags.clear()
+                        known = tags[src, path] = tag_of(src, path), plain(path)
+                    new = (src, known[0], k, known[1], plain(up), places, i, f"{record}{no}", None if holder is None else f"{record}{holder}", _payload(own))
                     for column, v in zip(rows, new):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
+                if len(rows[0]) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _TYPES)], _NAMES)
+                    rows = [[] for _ in _NAMES]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _TYPES)], _NAMES)
 
-    # only text that holds a list of objects or one of the list fields (maybe escaped) can give a row: the rest stays out of Python
-    maybe = text.rlike(r"\[|\\u|" + "|".join(list_fields))
-    return df.select(key.alias("k"), text.alias("t")).where(F.col("t").isNotNull() & maybe).mapInArrow(run, TAGGED if payload else PLACES)
+    digest = F.xxhash64("text")  # tells records of one key apart
+    return sources.where("text is not null").select("src", "key", "text", digest.alias("digest")).mapInArrow(run, TAGGED)
 
 
-def typed_places(column: Column, dtype: T.DataType, path: str) -> Column:
-    """Places of the objects in the lists of a typed column: array<struct<list_path, parent_pos, pos>>, from its schema."""
-    kind = "array<struct<list_path:string,parent_pos:string,pos:bigint>>"
-    none = F.array().cast(kind)
-
-    def of_struct(x: Column, st: T.StructType, at: str, places: Column) -> list[Column]:
-        out: list[Column] = []
-        for f in st.fields:
-            name = f"{at}.{f.name}" if at else f.name
-            if isinstance(f.dataType, T.StructType):
-                out += of_struct(x[f.name], f.dataType, name, places)
-            elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-                out.append(of_list(x[f.name], f.dataType.elementType, name, places))
-        return out
-
-    def of_list(xs: Column, st: T.StructType, at: str, places: Column) -> Column:
-        own = F.transform(F.transform(xs, lambda x, i: F.when(x.isNotNull(), i)), lambda i: F.struct(F.lit(at).alias("list_path"), places.alias("parent_pos"), i.cast("bigint").alias("pos")))
-        own = F.filter(own, lambda r: r["pos"].isNotNull())
-
-        def below(x: Column, i: Column) -> Column:
-            down = F.when(places == "", i.cast("string")).otherwise(F.concat(places, F.lit("."), i.cast("string")))
-            parts = of_struct(x, st, at, down)
-            return F.concat(*parts) if parts else none
+def write_tables(tagged: DataFrame, path: str) -> None:
+    """One folder per tag. Tags are few (paths of the schema, not of the data), and a task writes one of its files at a time."""
+    tagged.write.mode("overwrite").option("compression", "zstd").partitionBy("tag").parquet(path)
 
-        deeper = of_struct(F.lit(None).cast(st), st, at, F.lit(""))
-        all_rows = F.concat(own, F.flatten(F.transform(xs, below))) if deeper else own
-        return F.coalesce(all_rows.cast(kind), none)
 
-    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
-        return of_list(column, dtype.elementType, path, F.lit(""))
-    if isinstance(dtype, T.StructType):
-        parts = of_struct(column, dtype, path, F.lit(""))
-        return F.concat(*parts) if parts else none
-    return none
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the tables written, without a schema for their payloads."""
+    return spark.read.schema(TAGGED).parquet(path)
 
 
-def emit_typed(df: DataFrame, key: Column, column: str) -> DataFrame:
-    """``PLACES`` of a column whose nesting is in its type; all within the JVM, one generator for all paths."""
-    places = typed_places(F.col(column), df.schema[column].dataType, column)
-    return df.select(key.alias("record_key"), F.explode(places).alias("r")).select("record_key", "r.list_path", "r.parent_pos", "r.pos")
+def read_table(spark: SparkSession, path: str, src: str, list_path: str, schema: str) -> DataFrame:
+    """One flat table of those written: keys, parents' keys and the typed fields of ``schema``; ``list_path`` is empty for the records.
 
+    A struct in the schema stands for an object within the object; its fields become columns ``object_field``. A field of the
+    payload that doesn't fit its type gives null. Repeated rows count once.
+    """
+    rows = read_rows(spark, path).where((F.col("tag") == tag_of(src, list_path)) & (F.col("list_path") == list_path))
+    once = rows.select("record_key", "parent_pos", "pos", "row_key", "parent_key", "payload").distinct()
 
-def write_tables(tagged: DataFrame, path: str) -> None:
-    """One folder per tag. Tags are few (paths of the schema, not of the data), so tasks hold few open files."""
-    tagged.write.mode("overwrite").partitionBy("list_path").parquet(path)
+    def flat(c: Column, kind: T.StructType, name: str) -> Iterator[Column]:
+        for f in kind.fields:
+            if isinstance(f.dataType, T.StructType):
+                yield from flat(c[f.name], f.dataType, f"{name}{f.name}_")
+            else:
+                yield c[f.name].alias(name + f.name)
 
+    out = once.withColumn("f", F.from_json("payload", schema, {"mode": "PERMISSIVE"}))
+    return out.select("record_key", "parent_pos", "pos", "row_key", "parent_key", *flat(F.col("f"), T._parse_datatype_string(schema), ""))
 
-def read_table(spark: SparkSession, path: str, list_path: str, schema: str) -> DataFrame:
-    """One flat table of those written: keys, parents' keys and the typed fields of ``schema``.
 
-    Field names may hold dots (objects within an object). A payload that doesn't fit its schema gives nulls.
-    """
-    rows = spark.read.schema("record_key string, parent_path string, parent_pos string, pos bigint, row_key string, parent_key string, payload string, list_path string").parquet(path).where(F.col("list_path") == list_path)
-    out = rows.withColumn("f", F.from_json("payload", schema, {"mode": "PERMISSIVE"}))
-    fields = T._parse_datatype_string(schema).fields
-    return out.select("record_key", "parent_pos", "pos", "row_key", "parent_key", *(F.col("f")[x.name].alias(x.name.replace(".", "_")) for x in fields))
+def links(rows: DataFrame) -> DataFrame:
+    """Per table: src, list_path, rows, records, and rows whose holder is a row too (all but the records); repeated rows count once."""
+    once = rows.select("src", "list_path", "record_key", "row_key", "parent_key").distinct()
+    there = once.select("src", F.col("row_key").alias("parent_key"), F.lit(True).alias("held"))
+    return once.join(there, ["src", "parent_key"], "left").groupBy("src", "list_path").agg(F.count("*").alias("n_rows"), F.countDistinct("record_key").alias("n_records"), F.count("held").alias("n_linked"))

@@ -8,29 +8,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triscope.functions.keys import clean_key
-from triscope.operators.nested import emit_tagged, emit_typed, read_table, write_tables
+from triscope.operators.nested import ROOT_FIELD, emit_tagged, links, read_rows, read_table, source, write_tables
 from triscope.operators.packed import split_packed
 from triscope.operators.references import orphans, parents, references, with_period
 from triscope.sources.scratch import shared_path
 from triscope.sources.tables import table
 
 
+#: The typed fields of the flat tables; a struct is an object within the object.
+MANIFEST = {
+    "": "schema_version string, file_id string, object_id string, corpus string, stage string, section string, archive struct<format string>",
+    "revisions": "rev string, issued string, reason struct<code string, text string>",
+    "revisions.sheets": "code string, no bigint, title string, pages array<bigint>",
+    "revisions.sheets.stamps": "role string, signed boolean, date string",
+    "page_kinds": "kind string, `from` bigint, `to` bigint",
+    "archive.members": "path string, size_bytes bigint",
+}
+EVIDENCE_FIELDS = "stage string, file_id string, pdf_page_number int, bbox_norm array<double>, bbox_source string, fragment string"
+
+
+def _tables(spark: SparkSession, d: str) -> str:
+    """The folder of the flat tables of files.manifest_row and checks.evidence, written in one pass."""
+    files = source(table(spark, d, "files", "file_id", "manifest_row"), "files", clean_key(F.col("file_id")), F.col("manifest_row"))
+    checks = table(spark, d, "checks", "check_id", "evidence").where("evidence is not null")
+    both = files.unionByName(source(checks, "checks", F.col("check_id"), F.struct("evidence")))
+    path = shared_path(spark, "nested")
+    write_tables(emit_tagged(both, {"files": ROOT_FIELD, "checks": None}), path)
+    return path
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """One row per non-null object in a list of files.manifest_row or checks.evidence."""
-    files = emit_tagged(table(spark, d, "files", "file_id", "manifest_row"), clean_key(F.col("file_id")), F.col("manifest_row"), payload=False)
-    checks = emit_typed(table(spark, d, "checks", "check_id", "evidence"), F.col("check_id").cast("string"), "evidence")
-    return files.select(F.lit("files").alias("src"), "*").unionByName(checks.select(F.lit("checks").alias("src"), "*")).distinct()
+    """One row per non-null object in a list of files.manifest_row or checks.evidence; read from the tables written."""
+    return read_rows(spark, _tables(spark, d)).where("list_path <> ''").select("src", "record_key", "list_path", "parent_pos", "pos").distinct()
+
+
+def p1_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables: how many rows, records, and rows whose holder is a row of its own table."""
+    return links(read_rows(spark, _tables(spark, d)))
+
+
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of all checks as a flat table, its fields typed."""
+    e = read_table(spark, _tables(spark, d), "checks", "evidence", EVIDENCE_FIELDS)
+    return e.select(F.col("record_key").cast("bigint").alias("check_id"), "pos", "stage", "file_id", "pdf_page_number", F.array_join(F.transform("bbox_norm", lambda x: F.coalesce(F.round(x * 1_000_000).cast("bigint"), F.lit(-1)).cast("string")), ",").alias("bbox_millionths"), "bbox_source", "fragment").distinct()
 
 
 def p1_stamps(spark: SparkSession, d: str) -> DataFrame:
-    """The stamps of all sheets as a flat table, joined to the flat table of their sheets by the parent's key."""
-    path = shared_path(spark, "manifest-tables")
-    tagged = emit_tagged(table(spark, d, "files", "file_id", "manifest_row"), clean_key(F.col("file_id")), F.col("manifest_row"))
-    write_tables(tagged.distinct(), path)
-    stamps = read_table(spark, path, "revisions.sheets.stamps", "role string, signed boolean, date string")
-    sheets = read_table(spark, path, "revisions.sheets", "code string, no bigint, title string")
-    parent = sheets.select(F.col("row_key").alias("sheet_key"), F.col("code").alias("sheet_code"), F.col("no").alias("sheet_no"))
-    return stamps.join(parent, stamps.parent_key == parent.sheet_key).select("record_key", "row_key", "parent_key", "sheet_code", "sheet_no", "role", "signed", "date").distinct()
+    """The stamps of all sheets as a flat table, joined by the holders' keys to their sheets, revisions and files."""
+    path = _tables(spark, d)
+    of = lambda at: read_table(spark, path, "files", at, MANIFEST[at])
+    sheets = of("revisions.sheets").select(F.col("row_key").alias("sheet"), F.col("parent_key").alias("revision"), F.col("code").alias("sheet_code"), F.col("no").alias("sheet_no"))
+    revisions = of("revisions").select(F.col("row_key").alias("revision"), F.col("parent_key").alias("file"), "rev")
+    files = of("").select(F.col("row_key").alias("file"), F.col("stage").alias("stage"))
+    stamps = of("revisions.sheets.stamps").join(sheets, F.col("parent_key") == F.col("sheet")).join(revisions, "revision").join(files, "file")
+    return stamps.select("record_key", "parent_pos", "pos", "stage", "rev", "sheet_code", "sheet_no", "role", "signed", "date").distinct()
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
@@ -90,14 +121,19 @@ found AS (SELECT DISTINCT ref_table, ref_key, refs.k AS missing_key,
 _P1 = r"""
 WITH s AS (SELECT DISTINCT nullif(upper(trim(file_id)), '') AS k, ltrim(manifest_row, chr(65279)) AS m FROM files WHERE manifest_row IS NOT NULL),
 v AS (SELECT k, CASE WHEN json_type(m) = 'VARCHAR' THEN m ->> '$' ELSE m END AS m FROM s WHERE json_valid(m)),
-t AS (SELECT v.k, j.key, j.type, j.fullkey, j.path FROM v, json_tree(v.m) AS j WHERE json_valid(v.m)),
+t AS (SELECT v.k, j.key, j.type, j.fullkey, j.path, j.value FROM v, json_tree(v.m) AS j WHERE json_valid(v.m)),
 r AS (SELECT k, path AS root FROM t WHERE key = 'schema_version'),
-o AS (SELECT DISTINCT t.k, substr(fullkey, length(root) + 1) || '.' AS p FROM t JOIN r ON t.k = r.k WHERE type = 'OBJECT' AND starts_with(fullkey, root)),
-l AS (SELECT k, {0} AS p FROM o),
-n AS (SELECT k, p, regexp_extract_all(p, '\[([0-9]+)\]', 1) AS places FROM l WHERE regexp_matches(p, '\[[0-9]+\]\.$'))
-SELECT 'files' AS src, k AS record_key, ltrim(rtrim(regexp_replace(p, '\[[0-9]+\]', '', 'g'), '.'), '.') AS list_path, array_to_string(places[:-2], '.') AS parent_pos, CAST(places[-1] AS BIGINT) AS pos FROM n
-UNION SELECT 'checks', CAST(check_id AS VARCHAR), 'evidence', '', i - 1 FROM (SELECT check_id, unnest(evidence) AS e, generate_subscripts(evidence, 1) AS i FROM checks) WHERE e IS NOT NULL
+o AS (SELECT DISTINCT t.k, substr(fullkey, length(root) + 1) || '.' AS p, CAST(value AS VARCHAR) AS value FROM t JOIN r ON t.k = r.k WHERE type = 'OBJECT' AND starts_with(fullkey, root)),
+l AS (SELECT k, {0} AS p, value FROM o),
+e AS (SELECT DISTINCT check_id, e.*, i - 1 AS pos FROM (SELECT check_id, unnest(evidence) AS e, generate_subscripts(evidence, 1) AS i FROM checks) WHERE e IS NOT NULL),
+n AS (SELECT *, ltrim(rtrim(regexp_replace(p, '\[[0-9]+\]', '', 'g'), '.'), '.') AS list_path, regexp_extract_all(p, '\[([0-9]+)\]', 1) AS places FROM l WHERE p = '.' OR regexp_matches(p, '\[[0-9]+\]\.$'))
 """
+_P1_FOUND = "SELECT 'files' AS src, k AS record_key, list_path, array_to_string(places[:-2], '.') AS parent_pos, CAST(places[-1] AS BIGINT) AS pos FROM n WHERE p <> '.' UNION SELECT 'checks', CAST(check_id AS VARCHAR), 'evidence', '', pos FROM e"
+_P1_TABLES = r"""SELECT 'files' AS src, list_path, count(*) AS n_rows, count(DISTINCT k) AS n_records, count(*) FILTER (p <> '.' AND EXISTS (SELECT 1 FROM n h WHERE h.k = n.k AND h.p = regexp_replace(n.p, '(^|\])\.[^\[\]]*\[[0-9]+\]\.$', '\1.'))) AS n_linked FROM n GROUP BY list_path
+UNION ALL SELECT 'checks', 'evidence', count(*), count(DISTINCT check_id), count(*) FROM e UNION ALL SELECT 'checks', '', count(DISTINCT check_id), count(DISTINCT check_id), 0 FROM checks WHERE evidence IS NOT NULL"""
+_P1_EVIDENCE = "SELECT check_id, pos, stage, file_id, pdf_page_number, array_to_string(list_transform(bbox_norm, lambda x: coalesce(CAST(round(x * 1000000) AS BIGINT), -1)), ',') AS bbox_millionths, bbox_source, fragment FROM e"
+_P1_STAMPS = r"""SELECT n.k AS record_key, array_to_string(n.places[:-2], '.') AS parent_pos, CAST(n.places[-1] AS BIGINT) AS pos, f.value ->> '$.stage' AS stage, v.value ->> '$.rev' AS rev, h.value ->> '$.code' AS sheet_code, CAST(h.value ->> '$.no' AS BIGINT) AS sheet_no,
+n.value ->> '$.role' AS role, CAST(n.value ->> '$.signed' AS BOOLEAN) AS signed, n.value ->> '$.date' AS date FROM n JOIN n h ON h.k = n.k AND h.p = regexp_replace(n.p, 'stamps\[[0-9]+\]\.$', '') JOIN n v ON v.k = n.k AND v.p = regexp_replace(n.p, 'sheets\[[0-9]+\]\..*$', '') JOIN n f ON f.k = n.k AND f.p = '.' WHERE n.list_path = 'revisions.sheets.stamps'"""
 
 
 def _p1_sql() -> str:
@@ -108,12 +144,15 @@ def _p1_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_stamps, p2_found, p2_counts, p5_found, p5_report)}
+    return {f.__name__: f for f in (p1_found, p1_tables, p1_evidence, p1_stamps, p2_found, p2_counts, p5_found, p5_report)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": _p1_sql(),
+        "p1_found": _p1_sql() + _P1_FOUND,
+        "p1_tables": _p1_sql() + _P1_TABLES,
+        "p1_evidence": _p1_sql() + _P1_EVIDENCE,
+        "p1_stamps": _p1_sql() + _P1_STAMPS,
         "p5_found": _P5 + "SELECT ref_table, ref_key, missing_key, reason, period FROM found WHERE reason IS NOT NULL",
         "p5_report": _P5 + "SELECT ref_table, period, reason, count(*) AS n_refs, count(DISTINCT missing_key) AS n_keys FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3",
     }
