@@ -89,9 +89,7 @@ def q_near_phrase(spark: SparkSession, d: str) -> DataFrame:
 def q_system_marks(spark: SparkSession, d: str) -> DataFrame:
     """Marks of systems in single and packed values: how often each system is named."""
     c = checks_now(spark, d, "pd_value").where("pd_value is not null").select("check_id", "pd_value")
-    packed = split_packed(c, "pd_value").select("check_id", F.col("item").alias("v"))
-    single = c.join(packed.select("check_id").distinct(), "check_id", "left_anti").select("check_id", F.col("pd_value").alias("v"))
-    marks = packed.unionByName(single).select("check_id", F.explode(parse_marks(F.col("v"))).alias("mark"))
+    marks = split_packed(c, "pd_value", singles=True).select("check_id", F.explode(parse_marks(F.col("item"))).alias("mark"))
     return marks.groupBy(system_of(F.col("mark")).alias("system")).agg(F.count("*").alias("n"), F.countDistinct("check_id").alias("n_checks"))
 
 
