@@ -62,7 +62,7 @@ def test_items_of_any_value_are_in_order_and_apart(value):
 def test_skeletons_tell_neither_words_nor_numbers(spark):
     values = ["П1; В2", "4 370,4 м²; 12,5 мм и более", "6,11 Вт/м²/7 Вт/м²", "17-05/24-КР1|18-05/24-КР2", "слово\nдва слова, ещё три"]
     rows = skeletons(spark.createDataFrame([(v,) for v in values], "value string"), "value").collect()
-    assert {r.skeleton: r.n for r in rows} == {"a;a": 4, "a;a;a": 1}
+    assert {r.skeleton: r.n for r in rows} == {"a;a": 3, "a;a;a": 2}
 
 
 def test_rules_that_are_not_broadcast_give_the_same(spark):
