@@ -5,8 +5,9 @@ and styled letters, spaces, invisible characters, Greek look-alikes); combining
 starter; the text is put together again, recomposed, and each word is written in one alphabet: Russian if it has a letter
 that only Russian has or if all its letters look like Russian ones of the same case, else Latin.
 
-Equal texts are treated once. Text of plain characters without Latin or Greek letters is plain already and isn't exploded.
-Texts are partitioned by their number before they are exploded, so that the code points of a text never move.
+Text of plain characters without Latin or Greek letters is plain already: it isn't exploded and doesn't move. Every other text goes by
+the number of its row, not by what it says, so that no text is hot however often it occurs; rows are partitioned by their number
+before they are exploded, and the code points of a text never move.
 
 Cases: null gives no row; the empty text is plain; text of any length is treated whole; marks that don't compose stay behind
 their letter; ``² ³ ° № – « »`` and carriage returns stay as they are.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from triscope.functions.lookalikes import FROM_GREEK, TO_LATIN, TO_RUSSIAN
+from triscope.functions.lookalikes import FROM_CYRILLIC, FROM_GREEK, FROM_GREEK_SMALL, TO_LATIN, TO_RUSSIAN
 from triscope.sources.scratch import written
 
 _INVISIBLE = frozenset([0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)])
@@ -69,40 +70,76 @@ def mapping_table(spark: SparkSession) -> DataFrame:
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*")
 
 
+_ONLY_RUSSIAN = frozenset(map(chr, [*range(0x410, 0x450), 0x401, 0x451])) - TO_LATIN.keys()
+_OTHERS_AS_LATIN = TO_LATIN | FROM_CYRILLIC | FROM_GREEK_SMALL
+
+
 def one_alphabet(match: re.Match) -> str:
-    """A word in one alphabet."""
+    """A word in one alphabet. Small Greek letters are signs of their own unless the word has other letters."""
     word = match[0]
     letters = [c for c in word if c.isalpha()]
-    only_russian = any(("Ѐ" <= c <= "ӿ") and c not in TO_LATIN for c in letters)
-    if only_russian or all(c in TO_LATIN or c in TO_RUSSIAN for c in letters):
+    if any(c in _ONLY_RUSSIAN for c in letters) or all(c in TO_LATIN or c in TO_RUSSIAN for c in letters):
         return "".join(TO_RUSSIAN.get(c, c) for c in word)
-    return "".join(TO_LATIN.get(c, c) for c in word)
+    if all(c in FROM_GREEK_SMALL for c in letters):
+        return word
+    return "".join(_OTHERS_AS_LATIN.get(c, c) for c in word)
 
 
 def _compose(ordered: pd.Series) -> pd.Series:
     return ordered.map(lambda t: _WORD.sub(one_alphabet, t if t.isascii() else unicodedata.normalize("NFC", t)))
 
 
+def _restored(dirty: DataFrame) -> DataFrame:
+    """own, texts, plains of the rows (id, own, texts) that aren't plain as they stand; ``id`` tells the rows apart.
+
+    Rows move once, by their id, before their texts are exploded; what else a row holds travels with its first code point only.
+    """
+    first = (F.col("place") == 0) & F.coalesce(F.col("pos") == 0, F.lit(True))
+    chars = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))
+    rows = dirty.repartition("id").select("id", "own", "texts", F.posexplode("texts").alias("place", "text"))
+    points = rows.select("id", "own", "texts", "place", "text", F.posexplode_outer(chars).alias("pos", "c"))
+    points = points.select("id", "place", "pos", "c", *(F.when(first, F.col(x)).alias(x) for x in ("own", "texts")), F.col("text").isNull().alias("none"))
+    mapped = points.join(F.broadcast(mapping_table(dirty.sparkSession)), "c", "left")
+    own = F.array(F.struct(F.col("c"), F.lit(0).alias("ccc")))
+    parts = mapped.select("id", "place", "pos", "own", "texts", "none", F.posexplode_outer(F.coalesce("to", own)).alias("sub", "x")).select("id", "place", "pos", "own", "texts", "none", "sub", "x.c", "x.ccc")
+    starter = F.count(F.when(F.col("ccc") == 0, 1)).over(W.partitionBy("id", "place").orderBy("pos", "sub"))
+    order = F.when(F.col("c").isNotNull(), F.struct(F.col("starter"), F.col("ccc"), F.col("pos"), F.col("sub"), F.col("c")))  # invisible characters leave nothing
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["c"]), "")
+    kept = [F.max_by(x, F.col(x).isNotNull()).alias(x) for x in ("own", "texts")]
+    joined = parts.withColumn("starter", starter).groupBy("id", "place").agg(ordered.alias("ordered"), F.first("none").alias("none"), *kept)
+    plain = joined.withColumn("plain", F.pandas_udf(_compose, "string")("ordered"))
+    both = F.array_sort(F.collect_list(F.struct("place", F.when(~F.col("none"), F.col("plain")).alias("plain"))))
+    return plain.groupBy("id").agg(*kept, F.transform(both, lambda x: x["plain"]).alias("plains")).drop("id")
+
+
+def _settled(c: Column) -> Column:
+    return c.isNull() | c.rlike(_SETTLED)
+
+
+def _dirty(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of which some column isn't settled, numbered; written, so that the numbers stay what they are."""
+    settled = F.forall(F.array(*(F.col(f"`{c}`") for c in columns)), _settled)
+    own = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    return written(rows.where(~settled).select(F.monotonically_increasing_id().alias("id"), own.alias("own"), F.array(*(F.col(f"`{c}`") for c in columns)).alias("texts")), "texts")
+
+
+def changed(rows: DataFrame, column: str, name: str = "plain") -> DataFrame:
+    """The rows whose ``column`` isn't in plain form, with the plain form as ``name``. Each row is treated by itself."""
+    out = _restored(_dirty(rows, [column])).where(F.get("plains", F.lit(0)) != F.get("texts", F.lit(0)))
+    return out.select(*(F.col("own")[c].alias(c) for c in rows.columns if c != name or c == column), *([F.get("plains", F.lit(0)).alias(name)] if name != column else []))
+
+
 def plain_forms(texts: DataFrame, column: str = "text") -> DataFrame:
     """text, plain: each distinct text of ``column`` whose plain form differs from it."""
-    spark = texts.sparkSession
-    distinct = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull() & ~F.col("text").rlike(_SETTLED)).distinct()
-    numbered = written(distinct.withColumn("id", F.monotonically_increasing_id()), "texts")
-    points = numbered.repartition("id").select("id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("pos", "c"))
-    mapped = points.join(F.broadcast(mapping_table(spark)), "c", "left")
-    own = F.array(F.struct(F.col("c"), F.lit(0).alias("ccc")))
-    parts = mapped.select("id", "pos", F.posexplode(F.coalesce("to", own)).alias("sub", "x")).select("id", "pos", "sub", "x.c", "x.ccc")
-    starter = F.count(F.when(F.col("ccc") == 0, 1)).over(W.partitionBy("id").orderBy("pos", "sub"))
-    order = F.struct(F.col("starter"), F.col("ccc"), F.col("pos"), F.col("sub"), F.col("c"))
-    joined = parts.withColumn("starter", starter).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["c"]), "").alias("ordered"))
-    both = numbered.join(joined, "id", "left").select("text", F.coalesce("ordered", F.lit("")).alias("ordered"))  # a text of invisible characters alone becomes empty
-    return both.select("text", F.pandas_udf(_compose, "string")("ordered").alias("plain")).where("plain <> text")
-
-
-def with_plain(rows: DataFrame, column: str, name: str = "plain") -> DataFrame:
-    """``rows`` with the plain form of ``column`` as ``name``; null stays null. A column called ``name`` is replaced."""
-    forms = plain_forms(rows, column).withColumnsRenamed({"text": "__text", "plain": "__plain"})
-    out = rows.drop(name) if name != column else rows
-    value: Column = F.coalesce("__plain", F.col(f"`{column}`"))
-    joined = out.join(forms, out[f"`{column}`"] == forms["__text"], "left")
-    return joined.withColumn(name, value).drop("__text", "__plain")
+    distinct = texts.select(F.col(f"`{column}`").alias("text")).where(~_settled(F.col("text"))).distinct()
+    return changed(distinct, "text").select("text", "plain")
+
+
+def with_plain(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``rows`` with the plain form of each of ``columns`` under its new name; null stays null. A column that has a new name already
+    is replaced. Nothing is joined: rows that are plain stay where they are, the others are treated each by itself."""
+    kept = [c for c in rows.columns if c not in columns.values()]
+    settled = F.forall(F.array(*(F.col(f"`{c}`") for c in columns)), _settled)
+    clean = rows.where(settled).select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"`{c}`").alias(n) for c, n in columns.items()))
+    out = _restored(_dirty(rows, list(columns)))
+    return clean.unionByName(out.select(*(F.col("own")[c].alias(c) for c in kept), *(F.get("plains", F.lit(i)).alias(n) for i, n in enumerate(columns.values()))))

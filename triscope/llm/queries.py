@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triscope.functions.keys import clean_key
 from triscope.llm import mojibake
-from triscope.llm.canonical import plain_forms, with_plain
+from triscope.llm.canonical import changed, with_plain
 from triscope.llm.leakage import leaks
 from triscope.llm.mixture import mixture
 from triscope.llm.subjects import assign_subjects
@@ -37,19 +37,18 @@ def _fragments(spark: SparkSession, d: str) -> DataFrame:
     checks = table(spark, d, "checks", "check_id", "pd_value", "rd_value", "evidence")
     own = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(-1).cast("bigint").alias("pos"), F.col(c).alias("text")) for c in ("pd_value", "rd_value")))
     fragments = F.transform("evidence", lambda e, i: F.struct(F.lit("evidence.fragment").alias("field"), i.cast("bigint").alias("pos"), e["fragment"].alias("text")))
-    return checks.select("check_id", F.inline(F.concat(own, F.coalesce(fragments, F.array())))).where("text is not null").distinct()
+    return checks.select("check_id", F.inline(F.concat(own, F.coalesce(fragments, F.array())))).where("text is not null")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Values and fragments that aren't in plain form."""
-    rows = _fragments(spark, d)
-    return rows.join(plain_forms(rows).select("text"), "text").select("check_id", "field", "pos").distinct()
+    return changed(_fragments(spark, d), "text").select("check_id", "field", "pos").distinct()
 
 
 def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Checks whose design and working value are equal as stored, and in plain form, by violation label."""
     checks = table(spark, d, "checks", "check_id", "violation_label", "pd_value", "rd_value").where("pd_value is not null and rd_value is not null").distinct()
-    plain = with_plain(with_plain(checks, "pd_value", "pd_plain"), "rd_value", "rd_plain")
+    plain = with_plain(checks, {"pd_value": "pd_plain", "rd_value": "rd_plain"})
     return plain.groupBy("violation_label").agg(F.count("*").alias("n"), F.count_if(F.col("pd_value") == F.col("rd_value")).alias("n_equal_stored"), F.count_if(F.col("pd_plain") == F.col("rd_plain")).alias("n_equal_plain"))
 
 
