@@ -1,7 +1,7 @@
 import random
 import textwrap
 
-from triscope.llm.subjects import LONGEST, OTHER, assign_subjects, passages, unwrapped, windows
+from triscope.llm.subjects import LONGEST, OTHER, _summed, assign_subjects, passages, stem, term_table, unwrapped, windows
 
 TERMS = {
     "KR": ["ростверк", "арматурный каркас", "анкерный болт", "свайное поле", "закладная деталь"],
@@ -95,3 +95,27 @@ def test_unwrapping_and_windows():
     text = " ".join(f"Предложение {i}." for i in range(9))
     parts = list(windows(text))
     assert list(windows("Раз. Два. Три. Четыре. Пять.")) == [] and all(any(" ".join(f"Предложение {j}." for j in range(i, i + 4)) in p for p in parts) for i in range(6))
+
+
+def test_sums_of_many_tasks_are_added_as_a_tree(spark):
+    """Ten thousand pieces, five at a time: no task holds them all."""
+    import numpy as np
+
+    rows = [(slot, part, np.array([part, slot, 1.0]).tobytes()) for slot in (0, 1) for part in range(10_000)]
+    total = _summed(spark.createDataFrame(rows, "slot int, part int, data binary"), 10_000, fan=500)
+    assert total.tolist() == [sum(range(10_000)), 0, 10_000, sum(range(10_000)), 10_000, 10_000]
+    assert len(_summed(spark.createDataFrame([], "slot int, part int, data binary"), 1)) == 0
+
+
+def test_inflected_forms_meet_and_other_words_do_not():
+    from triscope.llm.words import table
+
+    fold = lambda w: stem(w.translate(table()))
+    for forms in ("фундамент фундамента фундаментами фундаментов", "вентиляция вентиляции вентиляцию", "кабельный кабельная кабельные кабельного", "прокладывается прокладывают", "heating heated heats", "pipe pipes"):
+        assert len({fold(w) for w in forms.split()}) == 1, forms
+    assert len({fold(w) for w in "фундамент фунт фонтан вентиль вентиляция электрод электрощит".split()}) == 7
+
+
+def test_a_term_counts_as_often_as_it_stands(spark):
+    rows = term_table(spark.createDataFrame([(1, "кабель " * 1000 + "проложен.")], "doc_id long, text string")).collect()
+    assert max(max(r.counts) for r in rows) == 1000

@@ -2,17 +2,18 @@
 
 Passages are the lines of a text, those that end within a sentence joined with the next up to a blank line; a line of more than
 ``LONGEST`` sentences is cut into windows. Within a line of more than ``WINDOW`` sentences, overlapping windows of that many are judged
-besides, so that a passage within another is seen: they add the subjects that they clearly show, and take no part in the fitting. Terms are the first letters of
-words (so that inflected forms meet), numbered by hash. The weight of a term is its count times its inverse document frequency over all passages
+besides, so that a passage within another is seen: they add the subjects that they clearly show, and take no part in the fitting. Terms are
+words without their endings (so that inflected forms meet), numbered by hash. The weight of a term is its count times its inverse document frequency over all passages
 of the corpus times the information it carries about the subjects in a bounded sample of the human labels. The most
-informative terms make the vocabulary; the truncated decomposition of the weighted passages is found by subspace iteration
-over the whole corpus. Seed centroids, one per subject and alphabet, come from the titles of the subjects and the
+informative terms make the vocabulary (``VOCABULARY``, the size of the model); the truncated decomposition of the weighted passages is
+found by subspace iteration over the whole corpus. Seed centroids, one per subject and alphabet, come from the titles of the subjects and the
 labelled documents; they are refined by assigning all passages and averaging those assigned clearly. A document gets each named
 subject that a passage of several sentences is nearest to; a passing mention within a passage about something else is outweighed
 there. ``OTHER``, alone, if there is none.
 
 All passes over the corpus run on a written table of term numbers and then on one of embeddings. What tasks send back are
-sums of fixed size (vocabulary times dimensions, subjects times dimensions), added up in two levels.
+sums of fixed size (vocabulary times dimensions, subjects times dimensions); they are added up as a tree, so that no task adds more
+than ``FAN`` of them, however many tasks there are. The driver holds the vocabulary, the basis and the centroids, no counts of terms.
 
 Cases: null and empty texts give no row, as do texts of white space; a text without a clear passage is ``OTHER``. Labels of
 unknown documents or subjects are ignored, repeated ones count once, no labels leave the titles. Repeated rows of
@@ -25,6 +26,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,13 @@ from triscope.sources.scratch import written
 
 #: At most so many labelled documents, chosen by hash, inform term weights and seeds.
 LABELLED = 100_000
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
+#: Sums that one task adds up.
+FAN = 64
 VOCABULARY = 4096
 DIMENSIONS = 48
 SVD_PASSES = 2
 REFINEMENTS = 4
-STEM = 6
 SENTENCES = 3
 LONGEST = 14
 #: Sentences of a window that is judged besides, and how far apart windows begin: any four sentences in a row lie in one.
@@ -62,6 +65,32 @@ _END = re.compile(r"[.;!?…]+[»\")]*(?:\s|$)")
 _LATIN = re.compile(r"[b-dfgijlnqrsuvwz]")
 
 
+#: Endings of Russian and English words. Of each line the longest that leaves ``LEAST_STEM`` letters is taken off.
+ENDINGS = (
+    "ся сь",
+    "ами ями ого его ому ему ыми ими ая яя ое ее ые ие ый ий ой ей ых их ую юю ою ею ом ем ам ям ах ях ов ев иями ией иям иях ия ию ии ет ют ут ит ят ат ете ите ать ять ить еть ти ал ил ел ла ло ли ала ило али или ена ено ены ан ана ано аны а я о е ы и у ю ь й ing ings ed edly es s ly",
+    "ост енн нн н ени ани ств тельн еск ск ness ment ation ition al",
+)
+LEAST_STEM = 3
+
+
+@cache
+def _endings() -> list[list[tuple[str, int]]]:
+    """The endings of each line as they are after folding, longest first, with their length."""
+    return [sorted({(f, len(f)) for e in line.split() if (f := e.translate(table()))}, key=lambda x: (-x[1], x[0])) for line in ENDINGS]
+
+
+def stem(folded: str) -> str:
+    """A folded word without its endings."""
+    for line in _endings():
+        n = len(folded)
+        for ending, m in line:
+            if n - m >= LEAST_STEM and folded.endswith(ending):
+                folded = folded[: n - m]
+                break
+    return folded
+
+
 class Terms(dict):
     """Lower-case word -> twice the number of its term, plus 1 if of the Latin alphabet; filled as words come up."""
 
@@ -69,7 +98,7 @@ class Terms(dict):
         if len(self) > 500_000:
             self.clear()
         folded = word.translate(table())
-        v = self[word] = 2 * (zlib.crc32(folded[:STEM].encode()) % BUCKETS) + bool(_LATIN.search(folded))
+        v = self[word] = 2 * (zlib.crc32(stem(folded).encode()) % BUCKETS) + bool(_LATIN.search(folded))
         return v
 
 
@@ -145,14 +174,14 @@ def _rows(pairs: Iterator[tuple[object, str]], terms: Terms, read: Callable[[str
             ws = find(p)
             found.extend(map(number, ws))
             keys.append(key)
-            sentences.append(min(n, 127))
+            sentences.append(n)
             lengths.append(len(ws))
     total = len(keys)
     all_terms, at = np.array(found, np.int64), np.repeat(np.arange(total), lengths)
     latin = np.bincount(at, all_terms & 1, total) * 3 > np.array(lengths)
     pairs_of, counts = np.unique(at * BUCKETS + (all_terms >> 1), return_counts=True)
     sizes = np.bincount(pairs_of // BUCKETS, minlength=total)
-    return keys, np.array(sentences, np.int8), latin, sizes, (pairs_of % BUCKETS).astype(np.int32), np.minimum(counts, 127).astype(np.int8)
+    return keys, np.array(sentences, np.int32), latin, sizes, (pairs_of % BUCKETS).astype(np.int32), counts.astype(np.int32)
 
 
 def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
@@ -184,7 +213,7 @@ def term_table(documents: DataFrame) -> DataFrame:
                 columns = [pa.array(keys, b.schema.field(0).type), pa.array(sentences), pa.array(latin), _lists(sizes, ids), _lists(sizes, counts)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sentences", "latin", "terms", "counts"])
 
-    return documents.select("doc_id", "text").where(_HAS_TEXT).mapInArrow(run, f"doc_id {kind}, sentences tinyint, latin boolean, terms array<int>, counts array<tinyint>")
+    return documents.select("doc_id", "text").where(_HAS_TEXT).mapInArrow(run, f"doc_id {kind}, sentences int, latin boolean, terms array<int>, counts array<int>")
 
 
 def _flat(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -220,15 +249,26 @@ def _of_batch(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _flat(b, "terms"), _flat(b, "counts"), np.diff(lists.offsets.to_numpy())
 
 
-def _summed(parts: DataFrame) -> np.ndarray:
-    """The sum of the equally long float arrays (slot, bytes) that tasks give out; added in two levels, then joined by slot."""
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.float64) for x in t["data"].to_pylist()], axis=0)
-        return pa.table({"slot": t["slot"][:1], "data": pa.array([total.tobytes()], pa.binary())})
+def _summed(parts: DataFrame, tasks: int, fan: int = FAN) -> np.ndarray:
+    """The sum of the equally long float arrays (slot, part, data) that as many tasks give out: added ``fan`` at a time until few are
+    left, then joined by slot."""
 
-    salted = parts.groupBy("slot", "salt").applyInArrow(add, "slot int, data binary")
-    rows = salted.groupBy("slot").applyInArrow(add, "slot int, data binary").collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first = None, None
+        for b in batches:
+            first = b if first is None else first
+            for x in b.column(2):
+                v = np.frombuffer(x.as_py(), np.float64)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([first.column(0)[:1], first.column(1)[:1], pa.array([total.tobytes()], pa.binary())], ["slot", "part", "data"])
+
+    while True:
+        tasks = -(-tasks // fan)
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("slot", "part").applyInArrow(add, _PARTS)
+        if tasks <= 1:
+            break
+    rows = parts.collect()  # one row for each slot
     return np.concatenate([np.frombuffer(r["data"], np.float64) for r in sorted(rows, key=lambda r: r["slot"])]) if rows else np.zeros(0)
 
 
@@ -237,16 +277,20 @@ def _send(total: np.ndarray, slot: int = 131_072) -> pa.RecordBatch:
 
     flat = total.ravel().astype(np.float64)
     pieces = [flat[i : i + slot].tobytes() for i in range(0, len(flat), slot)]
-    salt = TaskContext.get().partitionId() % 64
-    return pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([salt] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], ["slot", "salt", "data"])
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([part] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], ["slot", "part", "data"])
+
+
+_PARTS = "slot int, part int, data binary"
 
 
-_PARTS = "slot int, salt int, data binary"
+def _tasks(df: DataFrame) -> int:
+    return max(1, df.rdd.getNumPartitions())
 
 
 def decompose(passages: DataFrame, space: Space, passes: int) -> np.ndarray:
     """An orthonormal basis of the leading right singular vectors."""
-    basis = space.basis
+    basis, tasks = space.basis, _tasks(passages)
     for _ in range(passes):
         sent = passages.sparkSession.sparkContext.broadcast(Space(space.place, space.weight, basis.astype(np.float32)))
 
@@ -264,7 +308,7 @@ def decompose(passages: DataFrame, space: Space, passes: int) -> np.ndarray:
                     total[c[first]] += np.add.reduceat(e[row[order]] * v[order, None], first, axis=0)
             yield _send(total)
 
-        total = _summed(passages.select("terms", "counts").mapInArrow(run, _PARTS))
+        total = _summed(passages.select("terms", "counts").mapInArrow(run, _PARTS), tasks)
         if not len(total):
             return basis
         basis = np.linalg.qr(total.reshape(basis.shape))[0]
@@ -303,27 +347,28 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     known = labels.where(F.col("subject_code").isin(codes) & F.col("doc_id").isNotNull()).select("doc_id", "subject_code").distinct()
     known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))  # bounded by the parameter
 
-    # document frequencies over the whole corpus, and by subject over the labelled passages
+    # document frequencies over the whole corpus; what a term tells about the subjects over the labelled passages and the titles
     whole = table_of_terms.where("sentences >= 0")
-    frequency = whole.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= LEAST_DOCS).toPandas()  # at most BUCKETS rows
+    frequency = whole.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
     total = whole.count()
-    by_subject = table_of_terms.where(F.col("sentences") >= SENTENCES).join(known, "doc_id").select("subject_code", F.explode("terms").alias("term")).groupBy("term", "subject_code").count().toPandas()  # BUCKETS x subjects at most
-    seen = np.zeros((BUCKETS, n))
-    if len(by_subject):
-        seen[by_subject["term"], [codes.index(c) for c in by_subject["subject_code"]]] = by_subject["count"]
     title_codes, _, title_latin, title_sizes, title_terms, title_counts = _rows(iter(named), Terms(), passages)
-    np.add.at(seen, (title_terms, np.repeat([codes.index(c) for c in title_codes], title_sizes).astype(int)), 1)
-    share = (seen.sum(0) + 1) / (seen.sum() + n)
-    given = (seen + 2 * share) / (seen.sum(1, keepdims=True) + 2)
-    information = (given * np.log(given / share)).sum(1)
-    document_frequency = np.zeros(BUCKETS)
-    document_frequency[frequency["term"]] = frequency["count"]
-    worth = document_frequency * information
-    chosen = np.argsort(-worth, kind="stable")[:vocabulary]
-    chosen = np.sort(chosen[worth[chosen] > 0])
+    titles = spark.createDataFrame([(int(t), c) for t, c in zip(title_terms, np.repeat(title_codes, title_sizes))], "term int, subject_code string")
+    shown = table_of_terms.where(F.col("sentences") >= SENTENCES).join(known, "doc_id").select(F.explode("terms").alias("term"), "subject_code").unionByName(titles)
+    seen = written(shown.groupBy("term", "subject_code").agg(F.count("*").alias("n")), "shown")
+    of_subject = dict(seen.groupBy("subject_code").agg(F.sum("n")).collect())  # as many rows as subjects
+    shares = {c: (of_subject.get(c, 0) + 1) / (sum(of_subject.values()) + n) for c in codes}
+    share = spark.createDataFrame(list(shares.items()), "subject_code string, share double")
+    told = seen.join(F.broadcast(share), "subject_code").groupBy("term").agg(F.collect_list(F.struct("n", "share")).alias("of"))  # as long as there are subjects
+    all_seen = F.aggregate("of", F.lit(0.0), lambda a, x: a + x["n"]) + 2
+    given = lambda x: (x["n"] + 2 * x["share"]) / F.col("all_seen")
+    where_seen = F.aggregate("of", F.lit(0.0), lambda a, x: a + given(x) * F.log(given(x) / x["share"]))
+    elsewhere = (1 - F.aggregate("of", F.lit(0.0), lambda a, x: a + x["share"])) * 2 / F.col("all_seen") * F.log(2 / F.col("all_seen"))
+    worth = told.withColumn("all_seen", all_seen).withColumn("information", where_seen + elsewhere).join(frequency, "term").withColumn("worth", F.round(F.col("docs") * F.col("information"), 9))
+    best = worth.where("worth > 0").orderBy(F.desc("worth"), "term").limit(vocabulary).select("term", "docs", "information").toPandas().sort_values("term")
+    chosen = best["term"].to_numpy(np.int64)
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    weight = (np.log((total + 1) / document_frequency[chosen]) * information[chosen]).astype(np.float32)
+    weight = (np.log((total + 1) / best["docs"].to_numpy(np.float64)) * best["information"].to_numpy(np.float64)).astype(np.float32)
 
     k = max(1, min(dimensions, len(chosen)))
     start = np.random.default_rng(0).standard_normal((max(1, len(chosen)), k)).astype(np.float32)
@@ -339,7 +384,7 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() for x in e], pa.binary())], ["doc_id", "sentences", "latin", "e"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    embedded = written(table_of_terms.mapInArrow(embed, f"doc_id {kind}, sentences tinyint, latin boolean, e binary"), "embedded")
+    embedded = written(table_of_terms.mapInArrow(embed, f"doc_id {kind}, sentences int, latin boolean, e binary"), "embedded")
     long = embedded.where(F.col("sentences") >= SENTENCES)
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +395,8 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
             np.add.at(sums, of + n * latin, e)
         yield _send(sums)
 
-    found = _summed(long.join(known, "doc_id").select("e", "latin", "subject_code").mapInArrow(seeds, _PARTS))
+    tasks = _tasks(long)
+    found = _summed(long.join(known, "doc_id").select("e", "latin", "subject_code").mapInArrow(seeds, _PARTS), tasks)
     sums = found.reshape(2 * n, k) if len(found) else np.zeros((2 * n, k))
     vectors = _unit(space.embed(*space.weighted(title_terms, title_counts, title_sizes), len(title_sizes)))
     np.add.at(sums, [codes.index(c) + n * int(x) for c, x in zip(title_codes, title_latin)], vectors)
@@ -370,7 +416,7 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
                         sums[c] += e[clear & (best == c)].sum(0, dtype=np.float64)
             yield _send(sums)
 
-        found = _summed(long.select("e", "latin").mapInArrow(refine, _PARTS))
+        found = _summed(long.select("e", "latin").mapInArrow(refine, _PARTS), tasks)
         if len(found):
             sums = found.reshape(2 * n, k)
             centroids = _unit(np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums, centroids))
