@@ -39,11 +39,11 @@ def test_larger_totals_hit_the_cap_and_say_so(spark):
     assert p["a"].expected == pytest.approx(1.5) and p["b"].expected == 2.0
 
 
-def test_same_seed_same_sample_and_spread_does_not_matter_to_counts(spark):
+def test_same_seed_same_sample_and_buckets_do_not_matter_to_counts(spark):
     c, w = counts(spark, {"a": list(range(1, 400)), "b": [9] * 40}), weights(spark, ("a", 0.5, 1), ("b", 0.5, 2))
     one, two = (sorted(map(tuple, sample(c, plan(c, w), seed=5).collect())) for _ in range(2))
     assert one == two
-    assert abs(sum(r[3] for r in one) - sample(c, plan(c, w), seed=5, spread=1).agg(F.sum("copies")).first()[0]) <= 2
+    assert abs(sum(r[3] for r in one) - sample(c, plan(c, w), seed=5, bucket_docs=7).agg(F.sum("copies")).first()[0]) <= 2
 
 
 def test_tokens_and_odd_rows(spark):
@@ -62,3 +62,22 @@ def test_empty_sides(spark):
     chosen, report = mixture(spark.createDataFrame([(1, "a", "text")], none.schema), weights(spark).limit(0))
     assert chosen.collect() == [] and report.collect() == []
     assert [r[0] for r in spark.createDataFrame([("\xa0X ",)], "s string").select(source_key(F.col("s"))).collect()] == ["x"]
+
+
+def test_a_source_with_nearly_all_documents_is_cut_into_buckets(spark):
+    """A third of the documents have no id; every bucket stays near its size and the share is met."""
+    rows = [(None if i % 3 == 0 else i, "big", 100 + i) for i in range(20_000)] + [(-i, "small", 50) for i in range(1, 200)]
+    c = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    w = weights(spark, ("big", 0.9, 1), ("small", 0.1, 8))
+    chosen = sample(c, plan(c, w), bucket_docs=500).collect()
+    drawn = {s: sum(r.copies * r.n_tokens for r in chosen if r.source == s) for s in ("big", "small")}
+    assert abs(drawn["small"] / sum(drawn.values()) - 0.1) < 0.005
+
+
+def test_shares_of_the_test_tables(spark):
+    """Each source with text is within a hundredth of its target among those with text, and within its cap."""
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    report = mixture(read("documents"), read("source_weights"))[1].collect()
+    there = sum(r.target_share for r in report if r.tokens)
+    assert max(abs(r.reached_share - (r.target_share / there if r.tokens else 0)) for r in report) < 0.01
+    assert all(r.most_copies <= r.max_repeats for r in report)

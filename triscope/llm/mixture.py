@@ -5,8 +5,9 @@ whole. The documents of a source stand in a fixed order (size class, then a hash
 one random offset per source is added, and a document is emitted once for each whole number that the sum passes at it. As the
 order runs through the sizes, the tokens drawn come close to what is expected.
 
-The sums are prefix sums over two levels: within bounded buckets (source, size class, hash), and over the table of buckets,
-whose size depends on the number of sources only. So no task ever holds a whole source.
+The sums are prefix sums over two levels: within buckets (source, size class, hash) of about ``BUCKET_DOCS`` documents, whose number
+comes from the measured size of each class, and over the table of buckets, which has a row for each so many documents. So no task
+ever holds a whole source or class, however large it is.
 
 Size: unless ``total_tokens`` is given, the mixture is as large as the targets allow with no source over its cap; all shares
 are then met up to one document per size class. With a larger ``total_tokens`` the capped sources fall short, and the report
@@ -32,7 +33,8 @@ from triscope.sources.scratch import written
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pattern of public byte-level tokenizers that cuts text before the merges; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPREAD = 64
+#: Documents of a bucket, about.
+BUCKET_DOCS = 200_000
 _made: dict[int, object] = {}
 
 
@@ -77,11 +79,13 @@ def plan(counts: DataFrame, weights: DataFrame, total_tokens: int | None = None)
     return plan.withColumn("expected", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("share") * total / F.col("tokens"))).otherwise(F.lit(0.0))).drop("share")
 
 
-def sample(counts: DataFrame, planned: DataFrame, seed: int = 0, spread: int = SPREAD) -> DataFrame:
+def sample(counts: DataFrame, planned: DataFrame, seed: int = 0, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """doc_id, source, n_tokens, copies of the chosen documents."""
     size = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1))) * 4).cast("int")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = counts.join(F.broadcast(planned.select("source", "expected", "max_repeats")), "source").where("expected > 0 and n_tokens > 0").withColumn("size", size).withColumn("part", F.pmod(order, F.lit(spread)).cast("int"))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("n_tokens"))
+    sized = counts.join(F.broadcast(planned.select("source", "expected", "max_repeats")), "source").where("expected > 0 and n_tokens > 0").withColumn("size", size)
+    classes = sized.groupBy("source", "size").agg(F.ceil(F.count("*") / bucket_docs).alias("spread"))  # weighted sources times size classes
+    rows = sized.join(F.broadcast(classes), ["source", "size"]).withColumn("part", F.pmod(order, F.col("spread")).cast("int")).drop("spread")
     buckets = rows.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("source").orderBy("size", "part").rowsBetween(W.unboundedPreceding, -1)  # buckets, not rows
     starts = buckets.select("source", "size", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
