@@ -58,3 +58,15 @@ def test_breaks_on_either_side_and_of_both_kinds(spark):
     both = plain.replace("анкерный", "анкер-\nный").replace("северо западной", "северо-\nзападной")
     far = "раз-\nмер " + "и так " * 20 + both
     assert run(spark, [(1, plain), (2, broken), (3, both), (4, far)], [(1, plain), (2, broken), (3, both)]) == {(d, i) for d in (1, 2, 3, 4) for i in (1, 2, 3)}
+
+
+def test_hot_passages_are_split_and_a_full_map_changes_nothing(spark, monkeypatch):
+    import triscope.llm.leakage as leakage
+
+    hot = " ".join(f"общее{i}" for i in range(14))
+    items = [(i, hot + f" своё{i} " + " ".join(f"и{i}с{k}" for k in range(13))) for i in range(4)]
+    docs = [(d, (hot if d % 3 == 0 else f"документ {d}") + " прочее " + (items[d % 4][1][-200:] if d % 5 == 0 else "")) for d in range(150)]
+    want = brute(docs, items, 12)
+    assert run(spark, docs, items) == run(spark, docs, items, part_places=5) == want and len(want) > 200
+    monkeypatch.setattr(leakage, "shingle_map", lambda windows: __import__("numpy").full(1 << (leakage.MAP_BITS - 3), 255, "uint8"))
+    assert run(spark, docs, items) == want
