@@ -1,6 +1,7 @@
 """Garbled text from a wrong character encoding: expectation-maximisation over latent encoding chains.
 
-A chain says how a text was spoilt: it was written in one encoding and read in another, or that happened twice. Undoing a
+A chain says how a text was spoilt: it was written in one encoding and read in another, or that happened twice: UTF-8 through any
+two, or the same step again. UTF-8 read as cp1252 may have lost the bytes that have no meaning there. Undoing a
 chain either fails (then the chain is impossible) or gives a candidate for the original text. The model: a record's field
 draws a chain from the prior of its source and field; each part of the text (parts are what stands between slashes) is spoilt
 by that chain or left as it is; the original part follows a character model shared by all records. EM estimates the priors and
@@ -31,15 +32,22 @@ from pyspark.sql import functions as F
 
 from triscope.sources.scratch import written
 
-SEEN_AS = ("cp1251", "cp1252", "latin_1", "cp866", "cp437", "koi8_r", "mac_cyrillic")
+SEEN_AS = ("cp1251", "cp1252", "latin_1", "cp866", "cp437", "koi8_r", "mac_cyrillic", "iso8859_5", "cp850")
 WRITTEN_IN = ("utf_8", "cp1251", "cp866", "koi8_r", "mac_cyrillic", "cp1252")
 LOST = "lost"
 #: What a lossy decoding leaves of letters; a single question mark may be one.
 _LOST_LETTERS = re.compile(r"\ufffd|\?{2,}")
 SAME = ""
-ITERATIONS = 4
-#: Share of the parts of a spoilt field that are left as they were.
+#: The fit ends once no prior moves by more than ``SETTLED``, after so many iterations at the latest.
+ITERATIONS, SETTLED = 8, 1e-3
+#: So many pairs of source and field have priors of their own, the most frequent ones; the others share one for each field.
+OWN_PRIORS = 2000
+#: Share of the parts of a spoilt field that are left as they were. Held fixed: folders of ASCII letters can't show it.
 KEPT = 0.2
+#: No name holds these, so no chain leads to one that does.
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+#: Of a name of which bytes were dropped on the way so much may be lost.
+_DROPPED, _MOST_DROPPED = "utf_8>cp1252 with bytes dropped", 0.2
 FIRST_PRIOR = 0.9
 PRIOR_FLOOR = 1e-4
 
@@ -77,8 +85,19 @@ def undo(text: str, seen_as: str, written_in: str) -> str | None:
         return None
 
 
+def undo_dropping(text: str) -> str | None:
+    """``text``, which was UTF-8 read as cp1252 by a reader that drops bytes without a meaning there, with the letters hit as U+FFFD."""
+    try:
+        t = codecs.charmap_encode(text, "strict", _tables("cp1252")[1])[0].decode("utf_8", "replace")
+    except UnicodeError:
+        return None
+    return t if 0 < t.count("\ufffd") <= _MOST_DROPPED * len(t) and not t.replace("\ufffd", "").isascii() else None
+
+
 def undo_chain(text: str, chain: str) -> str | None:
     """Undo each step of a chain such as ``utf_8>cp1252`` (written in > seen as), the last step first."""
+    if chain == _DROPPED:
+        return undo_dropping(text)
     for step in reversed(chain.split("|")) if chain else ():
         written_in, seen_as = step.split(">")
         text = undo(text, seen_as, written_in)
@@ -88,18 +107,29 @@ def undo_chain(text: str, chain: str) -> str | None:
 
 
 def candidates(part: str) -> dict[str, str]:
-    """Chain -> original, for the chains that may have given this part."""
+    """Chain -> original, for the chains that may have given this part: one step, UTF-8 twice, or the same step twice."""
     if part.isascii():
         return {}
     out: dict[str, str] = {}
+
+    def keep(chain: str, t: str | None, before: str) -> None:
+        if t is not None and t != before and not _CONTROL.search(t):
+            out[chain] = t
+
     for e in SEEN_AS:
         for d in WRITTEN_IN:
-            if d != e and (t := undo(part, e, d)) is not None and t != part:
-                out[f"{d}>{e}"] = t
-                if d == "utf_8" and not t.isascii():
-                    for e2 in SEEN_AS:
-                        if (t2 := undo(t, e2, d)) is not None and t2 != t:
-                            out[f"{d}>{e2}|{d}>{e}"] = t2
+            if d == e or (t := undo(part, e, d)) is None or t == part:
+                continue
+            keep(f"{d}>{e}", t, part)
+            if t.isascii():
+                continue
+            if d == "utf_8":
+                for e2 in SEEN_AS:
+                    keep(f"{d}>{e2}|{d}>{e}", undo(t, e2, d), t)
+            elif (t2 := undo(t, e, d)) != part:
+                keep(f"{d}>{e}|{d}>{e}", t2, t)
+    if "utf_8>cp1252" not in out:
+        keep(_DROPPED, undo_dropping(part), part)
     return out
 
 
@@ -211,7 +241,7 @@ class Judge:
         key = (source, field, pattern)
         if key in self.texts:
             return self.texts[key]
-        prior = self.priors.get((source, field)) or {}
+        prior = self.priors.get((source, field)) or self.priors.get((None, field)) or {}
         parts = [self.part(p) for p in pattern.split("/")]
         chains = {z for _, c in parts for z in c}
         score = {SAME: math.log(prior.get(SAME, FIRST_PRIOR))}
@@ -239,15 +269,15 @@ class Judge:
 def _patterns(fields: DataFrame) -> DataFrame:
     """source, field, pattern, n of the texts that aren't pure ASCII or hold replacement characters only."""
     masked = F.regexp_replace("text", r"\d+", "0")
-    return fields.select(F.coalesce("source", F.lit("")).alias("source"), "field", masked.alias("pattern")).groupBy("source", "field", "pattern").agg(F.count("*").alias("n"))
+    return fields.select("source", "field", masked.alias("pattern")).groupBy("source", "field", "pattern").agg(F.count("*").alias("n"))
 
 
 def _statistics(patterns: DataFrame, judge: Judge | None) -> tuple[dict, dict]:
-    """One step: expected pairs of characters and chains; the first step counts the plain parts only."""
+    """One step: expected pairs of characters, and chains by source and field; the first step counts the plain parts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: dict[tuple[str, str], float] = defaultdict(float)
-        chains: dict[tuple[str, str, str], float] = defaultdict(float)
+        chains: dict[tuple[str | None, str, str], float] = defaultdict(float)
         for b in batches:
             for source, field, pattern, n in zip(*(c.to_pylist() for c in b.columns)):
                 if _LOST_LETTERS.search(pattern):
@@ -265,19 +295,28 @@ def _statistics(patterns: DataFrame, judge: Judge | None) -> tuple[dict, dict]:
                         _add(pairs, part, n * (1 - p))
                     if z and p > 0.001:
                         _add(pairs, judge.part(part)[1][z][1], n * p)
-        rows = [("", a, b, n) for (a, b), n in pairs.items()] + [(f"{s}\t{f}", z, "", n) for (s, f, z), n in chains.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], ["of", "a", "b", "n"])
+        rows = [("pair", "", a, b, n) for (a, b), n in pairs.items()] + [("chain", s, f, z, n) for (s, f, z), n in chains.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.string()] * 4, pa.float64()))], ["kind", "source", "a", "b", "n"])
 
-    rows = patterns.select("source", "field", "pattern", "n").mapInArrow(run, "of string, a string, b string, n double").groupBy("of", "a", "b").agg(F.sum("n").alias("n")).collect()  # bounded by alphabet and chains
+    found = patterns.select("source", "field", "pattern", "n").mapInArrow(run, "kind string, source string, a string, b string, n double")
+    rows = found.groupBy("kind", "source", "a", "b").agg(F.sum("n").alias("n")).collect()  # bounded by alphabet, priors and chains
     pairs, chains = {}, defaultdict(dict)
-    for of, a, b, n in rows:
-        if of:
-            chains[tuple(of.split("\t"))][a] = n
+    for kind, source, a, b, n in rows:
+        if kind == "chain":
+            chains[source, a][b] = n
         else:
             pairs[a, b] = n
     return pairs, chains
 
 
+def _with_priors(fields: DataFrame, priors: int) -> DataFrame:
+    """``fields`` with ``source`` null where source and field aren't among the most frequent ones."""
+    counts = fields.groupBy("source", "field").agg(F.count("*").alias("n"))
+    own = counts.orderBy(F.desc("n"), "source", "field").limit(priors).select(F.col("source").alias("__s"), F.col("field").alias("__f"))
+    kept = fields.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("__s")) & F.col("field").eqNullSafe(F.col("__f")), "left")
+    return kept.withColumn("source", F.when(F.col("__f").isNotNull(), F.coalesce("source", F.lit("")))).drop("__s", "__f")
+
+
 def fit(fields: DataFrame, iterations: int = ITERATIONS) -> Judge:
     """The judge fitted to all texts of ``fields`` (source, field, text)."""
     patterns = written(_patterns(fields), "patterns")
@@ -285,19 +324,22 @@ def fit(fields: DataFrame, iterations: int = ITERATIONS) -> Judge:
     for _ in range(iterations):
         pairs, chains = _statistics(patterns, judge)
         priors = {k: {z: n / sum(c.values()) for z, n in c.items()} for k, c in chains.items()}
+        moved = max((abs(p.get(z, 0.0) - judge.priors.get(k, {}).get(z, 0.0)) for k, p in priors.items() for z in p.keys() | judge.priors.get(k, {}).keys()), default=0.0)
         judge = Judge(CharModel(pairs), priors)
+        if moved <= SETTLED:
+            break
     return judge
 
 
 REPAIRED = "repaired string, chain string, spoilt double"
 
 
-def repair(fields: DataFrame, key: str, iterations: int = ITERATIONS) -> DataFrame:
+def repair(fields: DataFrame, key: str, iterations: int = ITERATIONS, priors: int = OWN_PRIORS) -> DataFrame:
     """key, field, text, the repaired text, the chains of its parts and the posterior that some part is spoilt.
 
     ``fields`` has the columns key, source, field and text.
     """
-    fields = fields.where("text is not null")
+    fields = _with_priors(fields.where("text is not null"), priors)
     judge = fit(fields, iterations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +349,7 @@ def repair(fields: DataFrame, key: str, iterations: int = ITERATIONS) -> DataFra
                 if text.isascii() and "??" not in text:
                     out.append((text, SAME, 0.0))
                     continue
-                _, best = judge.text(source or "", field, "/".join("" if _LOST_LETTERS.search(p) else p for p in mask(text).split("/")))
+                _, best = judge.text(source, field, "/".join("" if _LOST_LETTERS.search(p) else p for p in mask(text).split("/")))
                 parts, chains, same = [], [], 1.0
                 for part, (z, p) in zip(text.split("/"), best):
                     if _LOST_LETTERS.search(part):
