@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars (Kiveris and others, 2014).
 
-Each round is two joins-free aggregations over edges; a hot node spreads its edges instead of gathering them, as the stars are
-made with minima and exchanged rows rather than lists. Lineage is cut by writing the edges of each round.
+A round aggregates each node's least neighbour and joins it back to the node's edges. The edges of a node with more than ``HUB`` of
+them don't gather in one task: such hubs are few (edges over ``HUB`` at most), so their least neighbours are sent to the edges. Lineage
+is cut by writing the edges of each round. Rounds go on until nothing changes.
 """
 
 from __future__ import annotations
@@ -11,32 +12,51 @@ from pyspark.sql import functions as F
 
 from triscope.sources.scratch import written
 
+#: Edges of a node from which on they are left where they are.
+HUB = 1_000_000
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _with_least(around: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """Each edge with the least neighbour of its ``u``."""
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("h")))
+    marked = around.join(hubs, "u", "left")
+    rest = marked.where("h is null").drop("h").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    return rest.unionByName(marked.where("h is not null").withColumnRenamed("h", "m"))
+
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     """Large star: each node's larger neighbours to its least neighbour; small star: its smaller ones and itself."""
     around = _both_ways(edges)
     if not large:
         around = around.where("v <= u")
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = around.join(least, "u")
-    moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("u <> m").select("u", F.col("m").alias("v")))
-    return moved.distinct()
+    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    joined = _with_least(around, least, hub)
+    if large:
+        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+
 
+def components(edges: DataFrame, rounds: int | None = None, hub: int = HUB) -> DataFrame:
+    """node, component (its least node) of all nodes of ``edges`` (u, v). Self-loops give nodes of their own; nulls fall away.
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (its least node) of all nodes of ``edges`` (u, v). Self-loops give nodes of their own; nulls fall away."""
+    With ``rounds`` an error is raised if so many don't suffice: an unfinished result is never given.
+    """
     clean = edges.where("u is not null and v is not null").select("u", "v")
     nodes = clean.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = written(clean.where("u <> v").distinct(), "edges")
     before: tuple | None = None
-    for _ in range(rounds):
-        now = written(_star(_star(now, True), False), "edges")
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).collect()[0]
-        if (mark := tuple(mark)) == before:
+    done = 0
+    while True:
+        now = written(_star(_star(now, True, hub), False, hub), "edges")
+        mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        if mark == before:
             break
-        before = mark
+        before, done = mark, done + 1
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"components not found within {rounds} rounds")
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
