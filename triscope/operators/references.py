@@ -17,11 +17,10 @@ references: an empty result. Repeated references give repeated rows unless ``dis
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,39 +75,36 @@ def orphans(refs: DataFrame, keys: DataFrame, block_keys: int = BLOCK_KEYS, grou
     """``MISSES``: the references of ``refs`` whose parent in ``keys`` is missing, later or deleted."""
     blocks = key_blocks(keys, block_keys)
     bounds = sorted(r[0] for r in blocks.select("lo").collect())  # one bound per block_keys keys
+    lows = np.array(bounds, object)
 
     def route(batches):
         for b in batches:
-            at = [max(0, bisect.bisect_right(bounds, k) - 1) for k in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, "block"])
+            keys = np.array(b.column(2).to_pylist(), object)
+            at = np.maximum(np.searchsorted(lows, keys, side="right") - 1, 0) if len(lows) else np.zeros(len(keys))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], [*b.schema.names, "block"])
 
     routed = written(refs.mapInArrow(route, "ref_table string, ref_key string, key string, t bigint, block int"), "refs")
     groups = F.greatest(F.lit(1), F.ceil(F.count("*") / group_refs)).cast("int")
-    load = routed.groupBy("block").agg(groups.alias("groups"))  # as many rows as blocks
+    load = F.broadcast(routed.groupBy("block").agg(groups.alias("groups")))  # as many rows as blocks: a hot block is split where its references are
     number = F.array_position(F.array(*map(F.lit, bounds)), F.col("lo")).cast("int") - 1 if len(bounds) <= 1000 else _numbered(bounds)(F.col("lo"))
     copies = (blocks.withColumn("block", number) if bounds else blocks.withColumn("block", F.lit(0))).join(load, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups", "lo")
     salted = routed.join(load, "block").withColumn("salt", F.pmod(F.xxhash64("ref_table", "ref_key", "t"), F.col("groups").cast("bigint")).cast("int")).drop("groups")
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ("ref_table", "ref_key", "missing_key", "reason", "t")
-        wanted, t = np.array(left["key"].to_pylist(), object), left["t"].to_pylist()
+        wanted = np.array(left["key"].to_pylist(), object)
+        at = left["t"].combine_chunks()
         if right.num_rows:
             have = np.array(right["keys"][0].as_py(), object)
-            created, deleted = right["created"][0].as_py(), right["deleted"][0].as_py()
-            place = np.searchsorted(have, wanted)
-            there = have[np.minimum(place, len(have) - 1)] == wanted
+            place = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
+            there, place = have[place] == wanted, pa.array(place)
+            created, deleted = (right[c][0].values.take(place) for c in ("created", "deleted"))
+            later, gone = (pc.fill_null(c, False).to_numpy(zero_copy_only=False) for c in (pc.greater(created, at), pc.less_equal(deleted, at)))
         else:
-            place, there, created, deleted = np.zeros(len(wanted), int), np.zeros(len(wanted), bool), [], []
-        reason: list[str | None] = []
-        for i, ok, at in zip(place.tolist(), there.tolist(), t):
-            if not ok:
-                reason.append("missing")
-            elif at is not None and created[i] is not None and created[i] > at:
-                reason.append("later")
-            else:
-                reason.append("deleted" if at is not None and deleted[i] is not None and deleted[i] <= at else None)
+            there = later = gone = np.zeros(len(wanted), bool)
+        reason = np.select([~there.astype(bool), later, gone], ["missing", "later", "deleted"], "")
         out = pa.table([left["ref_table"], left["ref_key"], left["key"], pa.array(reason, pa.string()), left["t"]], names=names)
-        return out.filter(pa.compute.is_valid(out["reason"]))
+        return out.filter(pa.array(reason != ""))
 
     return salted.groupBy("block", "salt").cogroup(copies.groupBy("block", "salt")).applyInArrow(probe, MISSES)
 
