@@ -23,8 +23,19 @@ def iou(a: str = "a", b: str = "b") -> Column:
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
 
 
-def overlaps(df: DataFrame, page: list[str], key: str, least: float, cell: float = 0.1) -> DataFrame:
-    """key_a < key_b, iou of the pairs on one page whose overlap is at least ``least`` (> 0). Needs x0, y0, x1, y1."""
+def cell_of(df: DataFrame) -> float:
+    """A size of grid cells that suits the boxes: their mean longer side, no less than a fiftieth of the longest, whatever the unit."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
+    mean, most = df.where("x1 >= x0 and y1 >= y0").agg(F.avg(side), F.max(side)).first()
+    return max(mean, most / 50) or 1.0 if mean is not None else 1.0
+
+
+def overlaps(df: DataFrame, page: list[str], key: str, least: float, cell: float | None = None) -> DataFrame:
+    """key_a < key_b, iou of the pairs on one page whose overlap is at least ``least`` (> 0). Needs x0, y0, x1, y1.
+
+    Without ``cell`` the size of the grid's cells is taken from the boxes.
+    """
+    cell = cell_of(df) if cell is None else cell
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     good = df.where("x1 >= x0 and y1 >= y0").select(*page, F.col(key).alias("key"), F.struct("x0", "y0", "x1", "y1").alias("box"), F.explode(cells("x0", "x1")).alias("cx"), "y0", "y1").withColumn("cy", F.explode(cells("y0", "y1")))
     a = good.select(*page, "cx", "cy", F.col("key").alias("key_a"), F.col("box").alias("a"))
@@ -66,7 +77,7 @@ def visible_nearest(points: DataFrame, labels: DataFrame, walls: DataFrame, page
     """key, label, distance, seen: for each point the nearest label within ``reach`` that no wall hides, else the nearest within
     ``blind``. Points and labels have x, y; walls x0, y0, x1, y1. Ties go to the smaller label.
 
-    Labels are met through cells of the reach's size; walls through the pages that have candidate pairs.
+    Labels and walls are met through cells of the reach's size. Walls without all ends, points and labels without a place fall away.
     """
     cell = lambda df: df.withColumns({"cx": F.floor(F.col("x") / reach), "cy": F.floor(F.col("y") / reach)})
     step = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
@@ -75,10 +86,14 @@ def visible_nearest(points: DataFrame, labels: DataFrame, walls: DataFrame, page
     d = F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly"))
     pairs = around.join(near, [*page, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= reach).drop("cx", "cy")
     # a wall hides a pair only if their boxes meet; the test runs on the pairs of its page
-    w = walls.select(*page, *(F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")))
+    # both are filed under the cells (of the reach's size) that their boxes touch, so a pair meets the walls near it alone
+    over = lambda a, b: F.sequence(F.floor(F.least(a, b) / reach), F.floor(F.greatest(a, b) / reach))
+    w = walls.select(*page, *(F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1"))).where("wx0 is not null and wy0 is not null and wx1 is not null and wy1 is not null")
+    w = w.withColumn("gx", F.explode(over("wx0", "wx1"))).withColumn("gy", F.explode(over("wy0", "wy1")))
+    near_pairs = pairs.withColumn("gx", F.explode(over("x", "lx"))).withColumn("gy", F.explode(over("y", "ly")))
     meet = (F.least("wx0", "wx1") <= F.greatest("x", "lx")) & (F.greatest("wx0", "wx1") >= F.least("x", "lx")) & (F.least("wy0", "wy1") <= F.greatest("y", "ly")) & (F.greatest("wy0", "wy1") >= F.least("y", "ly"))
     c = F.col
-    hidden = pairs.join(w, page).where(meet & crosses((c("x"), c("y")), (c("lx"), c("ly")), (c("wx0"), c("wy0")), (c("wx1"), c("wy1")))).select(*page, "key", "label").distinct().withColumn("hidden", F.lit(True))
+    hidden = near_pairs.join(w, [*page, "gx", "gy"]).where(meet & crosses((c("x"), c("y")), (c("lx"), c("ly")), (c("wx0"), c("wy0")), (c("wx1"), c("wy1")))).select(*page, "key", "label").distinct().withColumn("hidden", F.lit(True))
     known = pairs.join(hidden, [*page, "key", "label"], "left").withColumn("seen", F.col("hidden").isNull()).where(F.col("seen") | (F.col("distance") <= blind))
     best = known.groupBy(*page, "key").agg(F.min(F.struct((~F.col("seen")).alias("unseen"), "distance", "label")).alias("m"))
     return best.select(*page, "key", F.col("m.label").alias("label"), F.col("m.distance").alias("distance"), (~F.col("m.unseen")).alias("seen"))
