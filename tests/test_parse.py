@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from triscope.functions import parse as p
 from triscope.operators import layout
+from triscope.operators.boxes import cell_of
 
 
 def values(spark, f, *texts):
@@ -22,6 +23,17 @@ def test_degrees_and_grades(spark):
     assert [g and tuple(g) for g in got] == [("С245", 245), ("Ст3сп", 245), ("сталь 20", 245), ("09Г2С", 345), ("S355", 355), None, ("сталь 45", 355), None]
 
 
+def test_articles_of_laws_are_no_steel(spark):
+    """The number of an article is no grade; marks of deoxidation may have a digit; 275 is a grade."""
+    got = values(spark, p.steel_grade, "согласно ст. 6 закона", "ст.4 ФЗ", "Ст3сп5 по ГОСТ", "С275", "Ст 6", "стали марки Ст3", "ВСт3пс", "Ст20", "C345-3", "С2451", "сталь 10Г2С1 и С245", "из С 255", "арт. 20, ст20")
+    assert [g and tuple(g) for g in got] == [None, None, ("Ст3сп", 245), ("С275", 275), None, ("Ст3", 245), ("Ст3пс", 245), ("сталь 20", 245), ("С345", 345), None, ("10Г2С1", 345), ("С255", 255), None]
+
+
+def test_floors_without_numbers(spark):
+    titles = ["цокольный этаж", "типовой этаж", "план технического этажа", "мансарда", "2 эт.", "антесольного этажа", "1 секция 2 этаж", "подвал, 1-й этаж, подвал", "-1 – 3 этажа", "этажерка", None]
+    assert values(spark, p.floor_of, *titles) == ["цоколь", "типовой этаж", "техэтаж", "мансарда", "2 этаж", "антресоль", "секция 1, 2 этаж", "подвал, 1 этаж", "-1-3 этаж", "", None]
+
+
 def test_sections(spark):
     got = values(spark, p.sections, "сечением 2100 х 300, 400х400 и D500", "50х50", "550х1200, 600х1300", None)
     assert [g if g is None else [tuple(x) for x in g] for g in got] == [[("300×2100", 630000), ("400×400", 160000), ("D500", 196349)], [], [("550×1200", 660000), ("600×1300", 780000)], None]
@@ -35,11 +47,12 @@ def test_titles_and_floors(spark):
 
 
 def test_short_texts(spark):
-    assert values(spark, p.short_section, "Раздел 5. ИОС1", "КР", None) == ["ИОС1", "КР", ""]
+    assert values(spark, lambda c: p.after_label(c, "Раздел"), "Раздел 5. ИОС1", "КР", None, "Раздел 5.") == ["ИОС1", "КР", "", "Раздел 5."]
     assert values(spark, p.safe_name, 'a/b:c*"', "x" * 200) == ["a_b_c__", "x" * 180]
     assert values(spark, p.upload_name, "Акт".encode().decode("latin_1"), "Ñandú", "Акт", "plain", None) == ["Акт", "Ñandú", "Акт", "plain", None]
     assert values(spark, p.missing_stages, "в РД нет; в ИД нет, в РД нет", "есть", None) == [["РД", "ИД"], [], []]
-    assert values(spark, lambda c: p.numbered_field(c, 2), "1. Работы\nодно\n(что)\n2. Проект\n лист 5,\n лист 6\n(шифр)", "1. нет", None) == ["лист 5, лист 6", None, None]
+    assert values(spark, lambda c: p.form_field(c, 2), "1. Работы\nодно\n(что)\n2. Проект\n лист 5,\n лист 6\n(шифр)\n2. Ещё\nдругое", "1. нет", None) == ["лист 5, лист 6", None, None]
+    assert values(spark, p.form_fields, "0\n1. А\nодно\n3. Б\nдва\nтри\n(что)\nчетыре\n4.\n") == [{1: "одно", 3: "два три"}]
     assert values(spark, lambda c: p.clause_of(c, F.lit("А400")), "рабочая А400, прочая А240", "нет") == ["рабочая А400", None]
     assert values(spark, p.dash, "x", " ", None) == ["x", "—", "—"]
     row = spark.range(1).select(p.percent(F.lit(1), F.lit(3)), p.percent(F.lit(1), F.lit(0)), p.group_id("EG-", F.lit("a"), F.lit("b"), F.lit(None)))
@@ -56,6 +69,10 @@ def test_tokens_of_two_readings(spark):
     base = spark.createDataFrame([(1, "t1", 0.0, 0.0, 1.0, 1.0, 1.0)], TOKENS)
     extra = spark.createDataFrame([(1, "o1", 0.1, 0.0, 1.1, 1.0, 0.5), (1, "o2", 5.0, 5.0, 6.0, 6.0, 0.5), (2, "o3", 0.0, 0.0, 1.0, 1.0, 0.5)], TOKENS)
     assert {r.key for r in layout.with_new_tokens(base, extra, ["page"], "key").collect()} == {"t1", "o2", "o3"}
+    points = spark.createDataFrame([(1, f"w{i}", 60.0 * i, 700.0, 60.0 * i + 50, 712.0, 1.0) for i in range(9)], TOKENS)  # boxes in points
+    again = spark.createDataFrame([(1, "n1", 5.0, 701.0, 52.0, 711.0, 0.5), (1, "n2", 5.0, 800.0, 55.0, 812.0, 0.5)], TOKENS)
+    assert sorted(r.key for r in layout.with_new_tokens(points, again, ["page"], "key").collect())[:2] == ["n2", "w0"]
+    assert 40 < cell_of(points) < 60 and cell_of(points.limit(0)) == 1.0 and cell_of(base) == 1.0
     both = base.unionByName(extra)
     assert {r.key for r in layout.strongest(both, ["page"], "key", "score").collect()} == {"t1", "o2", "o3"}
 

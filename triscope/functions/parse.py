@@ -16,9 +16,12 @@ MONTHS = ("январ", "феврал", "март", "апрел", "ма", "ию
 PLAIN_STEEL = {0: 185, 1: 195, 2: 225, 3: 245, 4: 265, 5: 285, 6: 315}
 CARBON_STEEL = {10: 205, 15: 225, 20: 245, 25: 275, 30: 295, 35: 315, 40: 335, 45: 355}
 ALLOYS = {"09Г2С": 345, "10Г2С1": 345, "10ХСНД": 390, "15ХСНД": 345, "14Г2АФ": 390}
+#: Numbers of rolled steels and of European ones, and of carbon steels that are named.
+ROLLED, EURO, CARBON_NAMED = "235|245|255|275|285|345|355|375|390|440|590", "235|275|355|420|460", (10, 15, 20, 25, 30, 35, 40, 45)
 ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5}
-#: Words for floors without a number.
-FLOORS = {"подвал": "подвал", "антресол": "антресоль", "чердак": "чердак", "кровл": "кровля", "технич": "технический"}
+#: Floors by how their word begins, and endings of ordinal numbers.
+FLOORS = {"антресол": "антресоль", "антесол": "антресоль", "подвал": "подвал", "цокол": "цоколь", "техническ": "техэтаж", "типов": "типовой этаж", "мансард": "мансарда", "чердак": "чердак", "кровл": "кровля"}
+ORDINALS = "го|ого|й|ый|ой|х|ых|я|ем|м"
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -32,14 +35,22 @@ def _lookup(key: Column, table: dict) -> Column:
     return out
 
 
+def _at(words: Column, i: Column) -> Column:
+    """The word at a place; empty outside."""
+    return F.coalesce(F.get(words, i), F.lit(""))
+
+
 def text_date(c: Column) -> Column:
     """The first date written with the month's name, such as «17» апреля 2026; impossible dates are null."""
-    s = F.lower(c)
-    pattern = rf"([0-9]{{1,2}})[^0-9а-яё]{{0,4}}({'|'.join(m if m != 'ма' else 'ма[йя]' for m in MONTHS)})[а-я]* +(20[0-9]{{2}})"
-    name = _found(s, pattern, 2)
-    month = F.coalesce(*(F.when(name.startswith(m), i) for i, m in sorted(enumerate(MONTHS, 1), key=lambda x: -len(x[1]))))
-    text = F.concat_ws("-", _found(s, pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(_found(s, pattern, 1), 2, "0"))
-    return F.when(name.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    words = F.regexp_extract_all(F.lower(c), F.lit("([0-9]+|[а-яё]+)"), F.lit(1))
+
+    def of(w: Column, i: Column) -> Column:
+        named, year = _at(words, i + 1), _at(words, i + 2)
+        month = F.coalesce(*(F.when(named.startswith(m), k) for k, m in sorted(enumerate(MONTHS, 1), key=lambda x: -len(x[1]))))
+        whole = w.rlike("^[0-9]{1,2}$") & year.rlike("^20[0-9]{2}$") & month.isNotNull()
+        return F.when(whole, F.concat_ws("-", year, month.cast("string"), w))
+
+    return F.try_to_date(F.get(F.filter(F.transform(words, of), lambda d: d.isNotNull()), 0), "yyyy-M-d")
 
 
 def short_date(c: Column) -> Column:
@@ -55,34 +66,50 @@ def degree(c: Column) -> Column:
 
 
 def steel_grade(c: Column) -> Column:
-    """struct<grade, strength> of the first steel grade of a text: C245, Ст3сп, сталь 20, 09Г2С, S355."""
-    named = _found(c, r"(?<![А-Яа-яA-Za-z0-9])[СC](235|245|255|285|345|355|375|390|440|590)(?![0-9])")
-    plain = _found(c, r"(?iu)(?<![а-яa-z])ст\.? ?([0-6])(?:кп|пс|сп)?(?![0-9а-яa-z])")
-    kind = F.lower(_found(c, r"(?iu)(?<![а-яa-z])ст\.? ?[0-6](кп|пс|сп)"))
-    carbon = _found(c, r"(?iu)стал[ьи] (?:марки )?(10|15|20|25|30|35|40|45)(?![0-9.,])")
-    alloy = _found(to_russian(F.upper(c)), f"({'|'.join(ALLOYS)})")
-    euro = _found(c, r"(?<![А-Яа-яA-Za-z0-9])S ?(235|275|355|420|460)(?![0-9])")
+    """struct<grade, strength> of the first steel grade of a text: С245, Ст3сп5, сталь 20, 09Г2С, S355.
+
+    The text is read word by word. A number below 7 after Ст is a grade only with a mark of deoxidation or after the word "сталь",
+    so that articles of laws (ст. 6) are none.
+    """
+    words = F.regexp_extract_all(c, F.lit(r"([0-9A-Za-zА-Яа-яё]+\.?(?:-[0-9]+)?)"), F.lit(1))
+    bare = lambda w: F.regexp_replace(to_russian(F.upper(w)), r"\.$", "")
     of = lambda name, strength: F.struct(name.alias("grade"), strength.cast("int").alias("strength"))
-    return (
-        F.when(alloy.isNotNull(), of(alloy, _lookup(alloy, ALLOYS)))
-        .when(named.isNotNull(), of(F.concat(F.lit("С"), named), named))
-        .when(euro.isNotNull(), of(F.concat(F.lit("S"), euro), euro))
-        .when(carbon.isNotNull(), of(F.concat(F.lit("сталь "), carbon), _lookup(carbon, CARBON_STEEL)))
-        .when(plain.isNotNull(), of(F.concat(F.lit("Ст"), plain, F.coalesce(kind, F.lit(""))), _lookup(plain, PLAIN_STEEL)))
-    )
+
+    def grade(w: Column, i: Column) -> Column:
+        head, following = bare(w), _at(words, i + 1)
+        apart = head.isin("С", "СТ", "ВСТ", "S") & following.rlike("^[0-9]") & (~w.endswith(".") | F.lit(False))
+        x = F.when(apart, F.concat(head, bare(following))).otherwise(head)
+        marked = F.when(bare(_at(words, i - 1)) == "МАРКИ", bare(_at(words, i - 2))).otherwise(bare(_at(words, i - 1))).isin("СТАЛЬ", "СТАЛИ")
+        great = w.rlike("^[СCВS0-9]")  # a small letter begins no mark
+        g = lambda rx, k=1: F.nullif(F.regexp_extract(x, rx, k), F.lit(""))
+        rolled, euro = g(f"^С({ROLLED})(?:К|-[0-9])?$"), g(f"^S({EURO})$")
+        number, deoxidised = g("^В?СТ([0-6])(?:СП|ПС|КП)?[0-9]?$"), g("^В?СТ[0-6](СП|ПС|КП)[0-9]?$")
+        plain = F.when(deoxidised.isNotNull() | (marked & x.rlike("^В?СТ[0-6]$")), number)
+        carbon = F.when(x.rlike("^СТ") | marked, g(f"^(?:СТ)?({'|'.join(map(str, CARBON_NAMED))})$"))
+        return F.when(great, F.coalesce(
+            F.when(x.isin(*ALLOYS), of(x, _lookup(x, ALLOYS))),
+            F.when(rolled.isNotNull(), of(F.concat(F.lit("С"), rolled), rolled)),
+            F.when(euro.isNotNull(), of(F.concat(F.lit("S"), euro), euro)),
+            F.when(plain.isNotNull(), of(F.concat(F.lit("Ст"), plain, F.coalesce(F.lower(deoxidised), F.lit(""))), _lookup(plain, PLAIN_STEEL))),
+            F.when(carbon.isNotNull(), of(F.concat(F.lit("сталь "), carbon), _lookup(carbon, CARBON_STEEL))),
+        ))
+
+    return F.get(F.filter(F.transform(words, grade), lambda g: g.isNotNull()), 0)
 
 
 def sections(c: Column) -> Column:
-    """array<struct<label, area>> of sizes in a text: 2100 х 300 as 300×2100 with its area, D500 as a circle. Sides from 100 to 3000."""
-    box = r"(?<![0-9.,])([0-9]{3,4}) ?[хxХX×] ?([0-9]{3,4})(?![0-9]|[.,][0-9])"
-    disc = r"(?<![A-Za-zА-Яа-я])[DdД] ?([0-9]{3,4})(?![0-9])"
-    a = lambda m: F.regexp_extract(m, box, 1).try_cast("int")
-    b = lambda m: F.regexp_extract(m, box, 2).try_cast("int")
-    d = lambda m: F.regexp_extract(m, disc, 1).try_cast("int")
-    boxes = F.filter(F.regexp_extract_all(c, F.lit(box), F.lit(0)), lambda m: a(m).between(100, 3000) & b(m).between(100, 3000))
-    rectangles = F.transform(boxes, lambda m: F.struct(F.concat(F.least(a(m), b(m)).cast("string"), F.lit("×"), F.greatest(a(m), b(m)).cast("string")).alias("label"), (a(m) * b(m)).cast("bigint").alias("area")))
-    circles = F.transform(F.regexp_extract_all(c, F.lit(disc), F.lit(0)), lambda m: F.struct(F.concat(F.lit("D"), d(m).cast("string")).alias("label"), F.round(F.lit(3.14159) * d(m) * d(m) / 4).cast("bigint").alias("area")))
-    return F.concat(rectangles, circles)
+    """array<struct<label, area>> of sizes in a text, in order: 2100 х 300 as 300×2100 with its area, D500 as a circle. Sides from 100 to 3000."""
+    words = F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)?|[A-Za-zА-Яа-я×]+)"), F.lit(1))
+    side = lambda w: F.when(w.rlike("^[0-9]{3,4}$") & w.try_cast("int").between(100, 3000), w.try_cast("int"))
+    kind = "struct<label:string,area:bigint>"
+
+    def size(w: Column, i: Column) -> Column:
+        a, b, d = side(w), side(_at(words, i + 2)), F.when(_at(words, i + 1).rlike("^[0-9]{3,4}$"), _at(words, i + 1).try_cast("int"))
+        box = F.when(_at(words, i + 1).isin("х", "x", "Х", "X", "×") & a.isNotNull() & b.isNotNull(), F.struct(F.concat_ws("×", F.least(a, b).cast("string"), F.greatest(a, b).cast("string")).alias("label"), (a * b).cast("bigint").alias("area")).cast(kind))
+        disc = F.when(w.isin("D", "d", "Д") & d.isNotNull(), F.struct(F.concat(F.lit("D"), d.cast("string")).alias("label"), F.round(F.lit(3.14159) * d * d / 4).cast("bigint").alias("area")).cast(kind))
+        return F.coalesce(box, disc)
+
+    return F.filter(F.transform(words, size), lambda x: x.isNotNull())
 
 
 def clause_of(c: Column, match: Column) -> Column:
@@ -104,19 +131,32 @@ def undoubled(c: Column) -> Column:
 
 
 def floor_of(c: Column) -> Column:
-    """The floors and the section that a title speaks of: ``3-14 этаж, секция 2``; empty without any."""
-    s = F.lower(undoubled(c))
-    number = F.replace(F.replace(_found(s, r"(-?[0-9]+(?: ?[-–] ?[0-9]+)?)(?: ?-? ?(?:го|й|ого|ый|ой|ем|м))? +этаж"), F.lit("–"), F.lit("-")), F.lit(" "), F.lit(""))
-    word = F.coalesce(*(F.when(s.contains(k), v) for k, v in FLOORS.items()))
-    part = F.coalesce(_found(s, r"секци[яиюей]+ *№? *([0-9]+)"), _found(s, r"([0-9]+) *-?(?:я|й)? *секци"))
-    return F.concat_ws(", ", F.concat(number, F.lit(" этаж")), F.when(number.isNull(), word), F.concat(F.lit("секция "), part))
+    """The floors and sections that a title speaks of, in order, each once: ``3-14 этаж, секция 2``; empty without any."""
+    s = F.regexp_replace(F.lower(undoubled(c)), r"([0-9])\s*[–-]\s*(?=[0-9])", "$1-")
+    s = F.regexp_replace(s, f"([0-9])\\s*-?\\s*(?:{ORDINALS})(?![а-яё])", "$1")
+    words = F.regexp_extract_all(s, F.lit("(-?[0-9]+(?:-[0-9]+)?|[а-яё]+)"), F.lit(1))
+    number = lambda w: w.rlike("[0-9]")
+    section = lambda w: w.startswith("секци")
+
+    def part(w: Column, i: Column) -> Column:
+        before, after = _at(words, i - 1), _at(words, i + 1)
+        named = F.coalesce(*(F.when(w.startswith(k), v) for k, v in FLOORS.items()))
+        return (
+            F.when(number(w) & (after.startswith("этаж") | (after == "эт")), F.concat(w, F.lit(" этаж")))
+            .when(number(w) & section(after), F.concat(F.lit("секция "), w))
+            .when(section(w) & number(after) & ~number(before), F.concat(F.lit("секция "), after))
+            .otherwise(named)
+        )
+
+    return F.array_join(F.array_distinct(F.filter(F.transform(words, part), lambda x: x.isNotNull())), ", ")
 
 
 def floor_numbers(c: Column) -> Column:
     """The numbers of a floor's text, ``3-5 этаж`` as 3, 4, 5; null without a number."""
-    a = _found(c, "(-?[0-9]+)(?:-[0-9]+)? этаж").try_cast("int")
-    b = F.coalesce(_found(c, "-?[0-9]+-([0-9]+) этаж").try_cast("int"), a)
-    return F.when(a.isNotNull(), F.sequence(F.least(a, b), F.greatest(a, b)))
+    head = F.when(c.contains(" этаж"), F.substring_index(c, " этаж", 1))
+    ends = F.transform(F.split(head, "(?<=[0-9])-"), lambda x: F.trim(x).try_cast("int"))
+    whole = F.forall(ends, lambda x: x.isNotNull())
+    return F.when(whole, F.sequence(F.array_min(ends), F.array_max(ends)))
 
 
 def room_group(c: Column) -> Column:
@@ -125,9 +165,10 @@ def room_group(c: Column) -> Column:
     return F.when(bare.contains("."), F.regexp_replace(bare, r"\.[^.]*$", "")).when(bare.rlike("^[0-9]{3}[^0-9]*$"), F.substring(bare, 1, 1)).otherwise(F.lit(""))
 
 
-def short_section(c: Column) -> Column:
-    """``Раздел 5. ИОС1`` as ИОС1; other text as it is, null as empty."""
-    return F.coalesce(_found(c, r"^Раздел\s+[0-9]+\.\s*(.+)$"), c, F.lit(""))
+def after_label(c: Column, label: str) -> Column:
+    """``Раздел 5. ИОС1`` without the label and its number: ИОС1; other text as it is, null as empty."""
+    rest = F.trim(F.substr(c, F.instr(c, F.lit(".")) + 1))
+    return F.coalesce(F.when(c.startswith(label + " ") & (F.instr(c, F.lit(".")) > 0) & (rest != ""), rest), c, F.lit(""))
 
 
 def group_id(prefix: str, *parts: Column) -> Column:
@@ -164,7 +205,23 @@ def missing_stages(note: Column) -> Column:
     return F.coalesce(F.array_distinct(F.transform(found, lambda s: F.upper(s))), F.array().cast("array<string>"))
 
 
-def numbered_field(c: Column, n: int) -> Column:
-    """The lines of a form's field ``n.`` after its heading, up to the explanation in brackets; null without the field."""
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(c, rf"(?ms)^\s*{n}\.\s[^\n]*\n(.*?)\n\s*\(", 1), r"\s+", " ")), F.lit(""))
+def form_fields(c: Column) -> Column:
+    """map<int, string>: the fields of a form by their numbers. A field begins under a line ``n. heading`` and goes on to the
+    explanation in brackets or the next heading; its lines are joined by blanks. Fields without lines are left out, the first of a
+    number counts."""
+    ls = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    head = lambda x: F.regexp_extract(x, r"^([0-9]+)\.(?: |$)", 1).try_cast("int")
+    marks = F.filter(F.transform(ls, lambda x, i: F.when(head(x).isNotNull() | x.startswith("("), i)), lambda i: i.isNotNull())
+
+    def field(i: Column) -> Column:
+        end = F.coalesce(F.array_min(F.filter(marks, lambda j: j > i)), F.size(ls))
+        return F.struct(head(F.get(ls, i)).alias("n"), F.trim(F.array_join(F.filter(F.slice(ls, i + 2, end - i - 1), lambda x: x != ""), " ")).alias("t"))
+
+    fields = F.filter(F.transform(F.filter(marks, lambda i: head(F.get(ls, i)).isNotNull()), field), lambda f: f["t"] != "")
+    first = F.filter(F.transform(fields, lambda f, k: F.when(~F.exists(F.slice(fields, 1, k), lambda g: g["n"] == f["n"]), f)), lambda f: f.isNotNull())
+    return F.map_from_entries(first)
+
 
+def form_field(c: Column, n: int) -> Column:
+    """The text of a form's field ``n``; null without it."""
+    return F.try_element_at(form_fields(c), F.lit(n))
