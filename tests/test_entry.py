@@ -43,3 +43,10 @@ def test_entry_has_rows(spark):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(CORE) <= set(entry.queries())
+
+
+def test_a_subpackage_that_fails_to_import_takes_nothing_down(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, entry._OPTIONAL, None)
+    assert set(entry.queries()) == set(CORE)

@@ -98,6 +98,7 @@ def test_findings(spark):
     got = {(r.oid, r.type, r.detail, r.n) for r in findings(files, staged).collect()}
     assert got == {("o1", "EMPTY_OR_UNREADABLE", "PD", 1), ("o2", "TEMPORARY_ARTIFACT", "", 1), ("o1", "NAME_DIFFERS_FROM_PATH", "", 1), ("o1", "EXACT_DUPLICATES", "within", 2), ("o1", "STAGE_MISSING", "ID", 1), ("o2", "STAGE_MISSING", "PD", 1), ("o2", "STAGE_MISSING", "ID", 1), ("o1", "DISCIPLINE_MISSING_IN_RD", "KR", 1)}
     assert spark.range(1).select(compact(F.sequence(F.lit(1), F.lit(30)))).first()[0] == list(range(1, 21))
+    assert len(spark.range(1).select(compact(F.sequence(F.lit(1), F.lit(30)), None)).first()[0]) == 30
 
 
 def greedy(a, b, tolerance):

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def test_lines(spark):
     df = spark.createDataFrame([(1, "a:\nb\nc."), (2, None), (3, "")], "id int, t string")
     assert [r.context for r in line_context(df.where("id = 1"), "id", "t").orderBy("line_no").collect()] == ["a: | b", "b | a: | c.", "c. | b"]
     assert [r.joined for r in line_continued(df.where("id = 1"), "id", "t").orderBy("line_no").collect()] == ["a:", "b c.", "c."]
-    assert rows(segments(df, "id", "t", F.col("line") == "b").select("id", "line", "segment")) == [(1, "a:", 0), (1, "b", 1), (1, "c.", 1), (3, "", 0)]
+    assert rows(segments(df, "id", "t", lambda x: x == "b").select("id", "line", "segment")) == [(1, "a:", 0), (1, "b", 1), (1, "c.", 1), (3, "", 0)]
 
 
 def test_fold_equals_the_steps(spark):
@@ -91,4 +92,12 @@ def test_components(spark):
             of[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u int, v int")).collect()}
     assert got == {x: find(x) for x in of}
+    assert {r.node: r.component for r in components(spark.createDataFrame(edges, "u int, v int"), hub=3).collect()} == got  # nodes of more edges as hubs
     assert components(spark.createDataFrame([], "u int, v int")).collect() == []
+
+
+def test_components_are_finished_or_refused(spark):
+    chain = spark.range(300).selectExpr("id AS u", "id + 1 AS v")
+    assert {r.component for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)

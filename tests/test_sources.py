@@ -70,3 +70,13 @@ def test_archives_that_are_not_supported_are_not_broken(spark):
     contents = {"a.7z": b"7z\xbc\xaf\x27\x1c\x00\x04", "b.rar": b"Rar!\x1a\x07\x01\x00", "c.zip": b"PK broken", "d.zip": b"", "e.zip": None}
     files = spark.createDataFrame([(k, v) for k, v in contents.items()], "path string, content binary")
     assert {r.path: (r.member, r.readable) for r in readers.archive_members(files).collect()} == {"a.7z": (None, None), "b.rar": (None, None), "c.zip": (None, False), "d.zip": (None, False), "e.zip": (None, False)}
+
+
+def test_large_objects_are_written_in_several_files(spark, tmp_path):
+    from triscope.sources.sinks import by_object
+
+    df = spark.range(1000).selectExpr("CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 2 = 0 THEN 'a b' END AS object_id", "id")
+    by_object(df, str(tmp_path / "o"), rows_per_file=100)
+    files = lambda name: list((tmp_path / "o" / f"object_id={name}").glob("*.parquet"))
+    assert 4 <= len(files("hot")) <= 12 and 1 <= len(files("a b")) <= 3
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 1000

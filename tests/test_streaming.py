@@ -40,6 +40,14 @@ def test_silent_processes_fail(spark, tmp_path):
     assert ("a", "FAILED") in {(r.process, r.state) for r in got}
 
 
+def test_ended_processes_are_forgotten(spark, tmp_path):
+    """A process that failed by silence is remembered for as long again; an event long after begins a new one."""
+    at = lambda h: T + timedelta(hours=h)
+    rows = [[("a", T, 1, "progress")], *([("z", at(5 * i), 10 + i, "progress")] for i in range(1, 5)), [("a", at(30), 90, "progress")], [("z", at(31), 91, "progress")]]
+    got = feed(spark, tmp_path, rows, lambda s: states.process_states(s, delay="1 minute", timeout_ms=3_600_000), "states")
+    assert [(r.state, r.n_events) for r in got if r.process == "a"] == [("PARSING", 1), ("FAILED", 1), ("PARSING", 1)]
+
+
 def test_rates(spark, tmp_path):
     rows = [[("a", T + timedelta(seconds=i), i, "failed") for i in range(12)], [("z", T + timedelta(hours=5), 99, "failed")], [("z", T + timedelta(hours=9), 100, "failed")]]
     got = feed(spark, tmp_path, rows, lambda s: states.rates(s, "process"), "rates")

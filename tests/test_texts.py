@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from triscope.functions import text as t
-from triscope.functions.fuzzy import near, phrase_at, ratio
+from triscope.functions.fuzzy import kinds_by_words, near, phrase_at, ratio
 from triscope.functions.marks import parse_marks, system_of
 from triscope.operators.boxes import nearest, overlaps, rows_of
 from triscope.operators.compare import align, apart, disjoint_below, higher_rank, lost, lower_minimum, scores
@@ -27,7 +27,11 @@ def test_names(spark):
     assert values(spark, t.revision_number, "КР изм.2.pdf", "КР_кор 3_изм.1.pdf", "КР.pdf", "КР ред-12 (4).pdf") == [2, 3, 0, 12]
     assert values(spark, t.path_date, "а/25.04.2024/б 01.12.2023.pdf", "31.02.2024", "нет") == [20240425, 0, 0]
     assert values(spark, t.section_of, "Лист ЭМ2.pdf", "КРОВЛЯ.pdf", "12-АР1", "план", "ОВ.pdf") == ["EOM", "OTHER", "AR", "OTHER", "OV"]
-    assert values(spark, t.natural_key, "п10") > values(spark, t.natural_key, "п9")
+    names = ["п9", "п10", "п010", "п" + "9" * 30, "п1" + "0" * 30, "п2б", "п2а10", "п2а9", "", None]
+    keys = dict(zip(names, values(spark, t.natural_key, *names)))
+    assert keys["п10"] == keys["п010"] and sorted((n for n in names if n and n != "п010"), key=keys.get) == ["п2а9", "п2а10", "п2б", "п9", "п10", "п" + "9" * 30, "п1" + "0" * 30]
+    assert values(spark, t.revision_number, "КР изм.12345678901.pdf", "КР изм.99999999999999999999.pdf") == [12345678901, 0]
+    assert values(spark, t.composed, "и\u0306ог", "йог", "plain", "", None, "가") == ["йог", "йог", "plain", "", None, "가"]
 
 
 def test_numbers(spark):
@@ -47,6 +51,13 @@ def test_near_words(spark):
     assert got == {("выполнсны", "выполнены"), ("выполнены", "выполнены")} and ratio("выполнсны", "выполнены") >= 0.78
     words = ["акт", "освидетельствованил", "скрытых", "работ"]
     assert phrase_at(words, ["освидетельствования", "работ"]) and not phrase_at(words, ["работ", "освидетельствования"]) and not phrase_at([], ["работ"])
+    assert phrase_at("работ один два три четыре работ начало".split(), ["работ", "начало"], gap=0)  # not the first occurrence
+
+
+def test_kinds_by_words(spark):
+    df = spark.createDataFrame([(1, "AKT освидетельствованил работ"), (2, "Реестр"), (3, "план и реестр"), (4, None), (5, "кот")], "id int, t string")
+    rules = [("act", [["освидетельствования", "работ"]]), ("register", [["реестр"], ["журнал", "учёта"]])]
+    assert {r.id: r.kind for r in kinds_by_words(df, "t", rules).collect()} == {1: "act", 2: "register", 3: "register", 4: "other", 5: "other"}
 
 
 def test_rules(spark):

@@ -5,6 +5,9 @@ Everything here is a JVM expression. Java's ``\\s``, ``\\d`` and ``\\w`` are ASC
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,9 +80,9 @@ def cipher(name: Column) -> Column:
 
 
 def revision_number(name: Column) -> Column:
-    """The first revision number of a name, 0 without one."""
+    """The first revision number of a name, 0 without one; a number that no bigint holds is none."""
     found = F.regexp_extract(_stem(name), REVISION, 1)
-    return F.coalesce(F.when(found != "", F.try_to_number(F.substring(found, 1, 9), F.lit("999999999"))), F.lit(0)).cast("int")
+    return F.coalesce(found.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def path_date(path: Column) -> Column:
@@ -109,7 +112,22 @@ def decimals(c: Column) -> Column:
     return F.length(F.regexp_extract(c, r"[-+]?[0-9]+(?: [0-9]{3})*,([0-9]+)", 1))
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Sort key under which numbers within text sort by value: each run of digits is filled up with zeros."""
-    padded = F.regexp_replace(F.lower(c), "([0-9]+)", "0" * width + "$1")
-    return F.regexp_replace(padded, f"0*([0-9]{{{width}}})(?![0-9])", "$1")
+def natural_key(c: Column) -> Column:
+    """Sort key under which numbers within text sort by value, however long: before each number stands its length."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def part(p: Column) -> Column:
+        number = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number).cast("string"), 10, "0"), number)).otherwise(p)
+
+    return F.array_join(F.transform(parts, part), "")
+
+
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(c: Column) -> Column:
+    """Text in composed form (NFC). Only text with marks, or with characters that have another form, goes to Python."""
+    odd = c.rlike(r"[\p{M}\u1100-\u11ff\u0374\u037e\u0387\u1f71-\u1ffd\u2000\u2001\u2126\u212a\u212b\u2329\u232a\uf900-\ufaff]|[\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]")
+    return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(odd, c)), c)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from triscope.operators.records import duplicates
 
-TEMPORARY = r"(^|/)(~\$|\.~)|\.(tmp|bak|crdownload)$|(^|/)(Thumbs\.db|desktop\.ini|\.DS_Store)$"
+#: Names of temporary files; callers may give another pattern.
+TEMPORARY = r"(?i)(^|/)(~\$|\.~)|\.(tmp|bak|dwl2?|log|db|crdownload)$|(^|/)(desktop\.ini|\.ds_store)$"
 STAGES = ("PD", "RD", "ID")
 
 
@@ -15,14 +16,14 @@ def _rows(df: DataFrame, kind: str, detail: Column, n: Column) -> DataFrame:
     return df.select("oid", F.lit(kind).alias("type"), detail.alias("detail"), n.cast("bigint").alias("n"))
 
 
-def findings(files: DataFrame, staged: DataFrame) -> DataFrame:
+def findings(files: DataFrame, staged: DataFrame, temporary_names: str = TEMPORARY) -> DataFrame:
     """oid, type, detail, n. ``files`` has fid, oid, stage, original_name, relative_path, size_bytes, sha256; ``staged`` oid, section
     and s, one row per stage that a file counts for. Files without an object fall away."""
     f = files.where("oid is not null")
     one = lambda cond, kind, detail=F.lit(""): _rows(f.where(cond).groupBy("oid", F.coalesce(detail, F.lit("")).alias("d")).agg(F.count("*").alias("n")), kind, F.col("d"), F.col("n"))
     base = F.element_at(F.split("relative_path", "/"), -1)
     empty = one(F.coalesce("size_bytes", F.lit(0)) == 0, "EMPTY_OR_UNREADABLE", F.col("stage"))
-    temporary = one(F.col("relative_path").rlike(TEMPORARY), "TEMPORARY_ARTIFACT")
+    temporary = one(F.col("relative_path").rlike(temporary_names), "TEMPORARY_ARTIFACT")
     renamed = one(base != F.col("original_name"), "NAME_DIFFERS_FROM_PATH")
     kinds = duplicates(f.withColumnsRenamed({"oid": "objects", "stage": "stages"}), "sha256", "objects", "stages").select("sha256", "kind")
     repeated = _rows(f.join(kinds, "sha256").groupBy("oid", "kind").agg(F.count("*").alias("n")), "EXACT_DUPLICATES", F.col("kind"), F.col("n"))
@@ -36,6 +37,6 @@ def findings(files: DataFrame, staged: DataFrame) -> DataFrame:
     return out
 
 
-def compact(lists: Column, n: int = 20) -> Column:
-    """The first ``n`` members of a list."""
-    return F.slice(lists, 1, n)
+def compact(lists: Column, n: int | None = 20) -> Column:
+    """The first ``n`` members of a list, all for None."""
+    return lists if n is None else F.slice(lists, 1, n)

@@ -30,7 +30,7 @@ def by_path(registry: DataFrame, members: DataFrame, path: str, loose: Column) -
 def best_group(hits: DataFrame, item: str, group: str) -> DataFrame:
     """Of each item the group with the most hits; ties go to the smaller group."""
     n = hits.groupBy(item, group).agg(F.count("*").alias("n"))
-    return n.groupBy(item).agg(F.max_by(group, F.struct("n", F.col(group))).alias("__a"), F.max("n").alias("n_hits"), F.min_by(group, F.struct(-F.col("n"), F.col(group))).alias(group)).select(item, group, "n_hits")
+    return n.groupBy(item).agg(F.max("n").alias("n_hits"), F.min_by(group, F.struct(-F.col("n"), F.col(group))).alias(group)).select(item, group, "n_hits")
 
 
 def set_overlap(left: DataFrame, right: DataFrame, key: str, member: str, least: int) -> DataFrame:

@@ -6,6 +6,8 @@ itself and the chunks' edges are put together afterwards, on as many rows as the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -131,13 +133,16 @@ def line_continued(df: DataFrame, key: str, text: str, ended: str = r"[.;!?:]\s*
     return rows.select(key, F.inline(F.transform("ls", lambda x, i: F.struct(i.alias("line_no"), joined(x, i).alias("joined")))))
 
 
-def segments(df: DataFrame, key: str, text: str, starts: Column) -> DataFrame:
-    """Lines of each text grouped into segments; a segment starts at a line for which ``starts`` (over ``line``) holds.
+def segments(df: DataFrame, key: str, text: str, starts: Callable[[Column], Column]) -> DataFrame:
+    """Lines of each text grouped into segments; a segment starts at a line for which ``starts`` holds.
 
-    Lines before the first start are segment 0.
+    Lines before the first start are segment 0. From the array of a text's lines: no shuffle, no window.
     """
-    w = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    return lines(df, key, text).withColumn("segment", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key), F.split(text, "\n").alias("ls"))
+    begun = F.filter(F.transform("ls", lambda x, i: F.when(F.coalesce(starts(x), F.lit(False)), i)), lambda i: i.isNotNull())
+    held = rows.withColumn("begun", begun)
+    line = F.transform("ls", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.size(F.filter("begun", lambda b: b <= i)).cast("bigint").alias("segment")))
+    return held.select(key, F.inline(line))
 
 
 def fold_states(events: DataFrame, key: str, at: str, tie: str, kind: str, retries: int = 2) -> DataFrame:

@@ -244,6 +244,6 @@ def oracle_sql() -> dict[str, str]:
         "q_unanswered": c + ", o AS (SELECT DISTINCT upper(trim(object_id)) AS oid FROM objects WHERE deleted_at IS NULL), w AS (SELECT oid, parameter_code FROM o, (SELECT DISTINCT parameter_code FROM param_catalog) EXCEPT SELECT oid, parameter_code FROM c) SELECT oid, count(*) AS n_unanswered FROM w GROUP BY oid",
         "q_overlay": c + ", k AS (SELECT check_id, concat_ws('/', oid, parameter_code) AS code, location, violation_label, coalesce(len(evidence), 0) = 0 AS bare FROM c), n AS (SELECT * FROM k WHERE violation_label = 'VIOLATION_PRESENT') SELECT check_id, code, location FROM n UNION ALL SELECT check_id, code, location FROM k WHERE violation_label IS DISTINCT FROM 'VIOLATION_PRESENT' AND NOT EXISTS (SELECT 1 FROM n WHERE n.code = k.code AND n.location IS NOT DISTINCT FROM k.location) AND NOT (bare AND EXISTS (SELECT 1 FROM n WHERE n.code = k.code))",
         "q_validate": c + ", v AS (SELECT 'repeated key' AS rule FROM c GROUP BY oid, parameter_code, location HAVING count(*) > 1 UNION ALL SELECT 'no evidence' FROM c WHERE violation_label = 'VIOLATION_PRESENT' AND coalesce(len(evidence), 0) = 0 UNION ALL SELECT 'unknown parameter' FROM c WHERE NOT EXISTS (SELECT 1 FROM param_catalog p WHERE p.parameter_code = c.parameter_code)) SELECT rule, count(*) AS n_rows FROM v GROUP BY rule",
-        "q_listing": c + " SELECT check_id, parameter_code, location FROM c WHERE oid IS NOT NULL AND violation_label IN ('VIOLATION_PRESENT', 'NO_VIOLATION') AND contains(lower(concat_ws(' ', parameter_code, location, note)), 'система') ORDER BY coalesce(criticality = 'приостановка', false) DESC, parameter_code NULLS FIRST, regexp_replace(regexp_replace(lower(location), '([0-9]+)', '000000000000\\1', 'g'), '0*([0-9]{12})([^0-9]|$)', '\\1\\2', 'g') NULLS FIRST, check_id LIMIT 50 OFFSET 20",
+        "q_listing": c + " SELECT check_id, parameter_code, location FROM c WHERE oid IS NOT NULL AND violation_label IN ('VIOLATION_PRESENT', 'NO_VIOLATION') AND contains(lower(concat_ws(' ', parameter_code, location, note)), 'система') ORDER BY coalesce(criticality = 'приостановка', false) DESC, parameter_code NULLS FIRST, array_to_string(list_transform(regexp_extract_all(lower(location), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(regexp_replace(x, '^0+([0-9])', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '') NULLS FIRST, check_id LIMIT 50 OFFSET 20",
         "q_numbering": c + " SELECT oid, check_id, row_number() OVER (PARTITION BY oid ORDER BY coalesce(criticality = 'приостановка', false) DESC, parameter_code NULLS FIRST, check_id) AS no FROM c WHERE violation_label = 'VIOLATION_PRESENT' AND oid IS NOT NULL",
     }

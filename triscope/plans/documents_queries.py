@@ -28,7 +28,7 @@ _SQL_STAGES = "unnest(CASE WHEN stage = 'RD_ID_MIXED' THEN ['RD', 'ID'] ELSE [st
 _SQL_SECTION = "CASE " + " ".join(f"WHEN regexp_matches(upper(original_name), '(^|[^А-ЯA-Z])({m})[0-9.]*([^А-ЯA-Z]|$)') THEN '{s}'" for s, m in SECTION_MARKS) + " ELSE 'OTHER' END"
 _SQL_STEM = r"regexp_replace(regexp_replace(lower(original_name), '\.[^.]*$', ''), '\s*\([0-9]+\)\s*$', '')"
 _SQL_CIPHER = rf"regexp_replace(regexp_replace({_SQL_STEM}, '[\s._()\[-]*(?:изм|кор+|ред)[\s._-]*([0-9]+)', '', 'g'), '[^0-9a-zа-яё]', '', 'g')"
-_SQL_REVISION = rf"coalesce(try_cast(substr(regexp_extract({_SQL_STEM}, '[\s._()\[-]*(?:изм|кор+|ред)[\s._-]*([0-9]+)', 1), 1, 9) AS INT), 0)"
+_SQL_REVISION = rf"coalesce(try_cast(regexp_extract({_SQL_STEM}, '[\s._()\[-]*(?:изм|кор+|ред)[\s._-]*([0-9]+)', 1) AS BIGINT), 0)"
 _SQL_DATE = r"coalesce(list_max(list_transform(regexp_extract_all(relative_path, '([0-3][0-9]\.[01][0-9]\.20[0-9]{2})', 1), lambda x: CAST(strftime(try_strptime(x, '%d.%m.%Y'), '%Y%m%d') AS INT))), 0)"
 
 

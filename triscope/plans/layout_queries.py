@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triscope.functions.fuzzy import page_kinds
-from triscope.functions.parse import dash, group_id, percent, short_date, short_section
+from triscope.functions.fuzzy import kinds_by_words
+from triscope.functions.parse import after_label, dash, group_id, percent, short_date
 from triscope.operators.layout import outside_columns, reading_rows, strongest
 from triscope.plans.checks_queries import _boxes
 from triscope.plans.documents_queries import _SQL_STAGES, _stages
@@ -21,6 +21,10 @@ from triscope.sources.tables import table
 MARKS = (("КР", "KR"), ("АР", "AR"), ("ОВ", "OV"), ("ВК", "VK"), ("ЭОМ", "EOM"), ("СС", "SS"), ("ГП", "GP"), ("ПБ", "PB"), ("ПОС", "POS"))
 
 
+#: Kinds of files by words of their names.
+KINDS = [("answers", [["ответы", "замечания"]]), ("scheme", [["исполнительная", "схема"]]), ("protocol", [["протокол", "испытаний"]]), ("list", [["ведомость"], ["спецификация"]]), ("plan", [["план"]])]
+
+
 def _section_of_mark(c):
     mark = F.regexp_extract(c, "(" + "|".join(m for m, _ in MARKS) + ")$", 1)
     out = F.lit(None).cast("string")
@@ -31,7 +35,7 @@ def _section_of_mark(c):
 
 def q_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Parameters of the catalogue by short section and criticality."""
-    return table(spark, d, "param_catalog").groupBy(short_section(F.col("pd_section")).alias("section"), dash(F.col("unit")).alias("unit")).agg(F.count("*").alias("n"))
+    return table(spark, d, "param_catalog").groupBy(after_label(F.col("pd_section"), "Раздел").alias("section"), dash(F.col("unit")).alias("unit")).agg(F.count("*").alias("n"))
 
 
 def q_missing_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +96,7 @@ def q_named_dates(spark: SparkSession, d: str) -> DataFrame:
 def q_page_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Names of files by the kind of document that they speak of, words nearly equal."""
     f = files_now(spark, d, "original_name")
-    return page_kinds(f, "original_name").groupBy("kind").agg(F.count("*").alias("n"))
+    return kinds_by_words(f, "original_name", KINDS).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def q_reading_rows(spark: SparkSession, d: str) -> DataFrame:

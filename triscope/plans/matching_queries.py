@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triscope.operators.compare import align, lost, old_kinds_new, over_limit, third_stage
-from triscope.operators.extract import CABLE_ATTRIBUTES, LIGHTS, OLD_LIGHTS, RULES, extract, named
-from triscope.operators.facts import line_facts
+from triscope.operators.extract import CABLE_ATTRIBUTES, LIGHTS, OLD_LIGHTS, RULES, Rule, extract, named
 from triscope.operators.findings import STAGES, TEMPORARY, findings
 from triscope.operators.matching import best_group, by_path, contiguous_portions, greedy_areas, seeded_sample, set_overlap
 from triscope.plans.checks_queries import _KEY, _facts
@@ -20,14 +19,11 @@ from triscope.sources.scratch import written
 from triscope.sources.tables import table
 
 _POWER = tuple(r for r in RULES if r.name == "power")
-#: Those of which one line decides; bars and doors are read with their neighbours.
-_ONE_LINE = tuple(r for r in RULES if r.name not in ("rebar", "door"))
 
 
 def q_extracted_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts of all rules in the documents by rule, element and where the element was found."""
-    t = table(spark, d, "documents", "doc_id", "text")
-    f = extract(t, "doc_id", "text", _ONE_LINE).unionByName(line_facts(t, "doc_id", "text"))
+    f = extract(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
     return f.groupBy("rule", "element", "element_from").agg(F.count("*").alias("n_facts"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -128,13 +124,29 @@ p AS (SELECT object_id, parameter_code, location, min(value) AS p_min, max(value
 j AS (SELECT * FROM p FULL OUTER JOIN r USING (object_id, parameter_code, location) LEFT JOIN i USING (object_id, parameter_code, location)) """
 
 
+def _rule_sql(r: Rule) -> str:
+    """The facts of one rule; a look at what stands before a match is a group of its own here."""
+    pattern, before = r.pattern, ""
+    if pattern.startswith("(?<!["):
+        before, pattern = pattern[4:].split(")", 1)
+        before = f"(?:^|[^{before[1:]})"
+    pattern, after = pattern.split("(?!", 1) if "(?!" in pattern else (pattern, "")
+    ends = {"": "", "[0-9])": "(?:$|[^0-9])", "[0-9]|,[0-9])": "(?:$|[^0-9,]|,(?:$|[^0-9]))"}[after]
+    element = lambda c: "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}', 'i') THEN '{n}'" for n, p in r.elements) + " END" if r.elements else "NULL"
+    found = f"SELECT doc_id, line, around, unnest(regexp_extract_all(line, '{before}{pattern}{ends}', 0)) AS m FROM w WHERE regexp_matches(line, '[0-9]')"
+    unless = f" WHERE NOT regexp_matches(substr(line, greatest(1, instr(line, m) - {r.left}), least({r.left}, instr(line, m) - 1)), '{r.unless}', 'i')" if r.unless else ""
+    return f"SELECT '{r.name}' AS rule, doc_id, {element('line')} AS own, {element('around')} AS near FROM ({found}){unless}"
+
+
 def oracle_sql() -> dict[str, str]:
+    lines = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL), w AS (SELECT *, concat_ws(' | ', lag(line) OVER k, lead(line) OVER k) AS around FROM l WINDOW k AS (PARTITION BY doc_id ORDER BY line_no)), m AS ("
     c, f = f"WITH {CHECKS_NOW}", f"WITH {FILES_NOW}"
     pairs = lambda t: c + f", n AS (SELECT {_named_sql('pd_value', t)} AS p, {_named_sql('rd_value', t)} AS r FROM c WHERE pd_value IS NOT NULL AND rd_value IS NOT NULL)"
     old = "[" + ", ".join(f"'{x}'" for x in OLD_LIGHTS) + "]"
     new_old = f"list_filter(r, lambda x: list_contains({old}, x) AND NOT list_contains(p, x))"
     stages = ", ".join(f"'{s}'" for s in STAGES)
     return {
+        "q_extracted_facts": lines + " UNION ALL ".join(map(_rule_sql, RULES)) + ") SELECT rule, coalesce(own, near) AS element, CASE WHEN own IS NOT NULL THEN 'line' WHEN near IS NOT NULL THEN 'context' END AS element_from, count(*) AS n_facts, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY 1, 2, 3",
         "q_power_facts": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '([0-9]+(?:,[0-9]+)?) ?кВт', 1)) AS v FROM l) SELECT doc_id, line_no, count(*) AS n, max(CAST(replace(v, ',', '.') AS DOUBLE)) AS most FROM m GROUP BY 1, 2",
         "q_cable_attributes": pairs(CABLE_ATTRIBUTES) + " SELECT array_to_string(list_filter(p, lambda x: NOT list_contains(r, x)), ', ') AS lost, count(*) AS n FROM n WHERE len(p) > 0 AND len(r) > 0 GROUP BY 1",
         "q_light_kinds": pairs(LIGHTS) + f" SELECT CASE WHEN len(p) = 0 OR len(r) = 0 THEN 'C' WHEN list_contains(p, 'LED') AND NOT list_contains(r, 'LED') AND len({new_old}) > 0 THEN 'V' WHEN len({new_old}) = 0 THEN 'N' ELSE 'C' END AS label, count(*) AS n FROM n WHERE len(p) > 0 OR len(r) > 0 GROUP BY 1",

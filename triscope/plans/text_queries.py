@@ -36,7 +36,7 @@ def q_line_continued(spark: SparkSession, d: str) -> DataFrame:
 
 def q_segments(spark: SparkSession, d: str) -> DataFrame:
     """Parts of a document that start at an empty line."""
-    return segments(_texts(spark, d), "doc_id", "text", F.col("line") == "").groupBy("doc_id", "segment").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    return segments(_texts(spark, d), "doc_id", "text", lambda x: x == "").groupBy("doc_id", "segment").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
 def q_number_facts(spark: SparkSession, d: str) -> DataFrame:

@@ -11,8 +11,12 @@ REPORT_ROWS = 100_000
 
 
 def by_object(df: DataFrame, path: str, key: str = "object_id", rows_per_file: int = 2_000_000) -> None:
-    """One folder per object; large objects in several files. Rows are spread by key and a hash, so that no task holds an object."""
-    df.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(key).parquet(path)
+    """One folder per object, in files of about ``rows_per_file`` rows: an object is spread over as many parts as its measured size
+    needs, so that no task holds a large object and a small one makes one file."""
+    counts = df.groupBy(key).agg(F.ceil(F.count("*") / rows_per_file).alias("__parts")).where("__parts > 1")  # a row for each so many rows at most
+    named = F.broadcast(counts.select(F.col(key).alias("__k"), "__parts"))
+    spread = df.join(named, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left").withColumn("__part", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.coalesce("__parts", F.lit(1))))
+    spread.repartition(F.col(key), F.col("__part")).select(*(F.col(f"`{c}`") for c in df.columns)).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(key).parquet(path)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -52,5 +56,10 @@ def report(df: DataFrame, path: str) -> None:
     rows = df.limit(REPORT_ROWS + 1).collect()
     if len(rows) > REPORT_ROWS:
         raise ValueError("too long for a report")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([r.asDict(recursive=True) for r in rows], f, ensure_ascii=False, indent=2, default=str)
+    text = json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, indent=2, default=str)
+    fs, p = _fs(df.sparkSession, path)  # any file system that Spark can write to
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

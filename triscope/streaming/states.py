@@ -1,7 +1,8 @@
 """Streams of events: the state of each process, rates within a window, repeated deliveries.
 
 ``process_states`` is the streaming twin of ``triscope.operators.sequences.fold_states`` for events that arrive in order within
-a key; both give the same end states. A process that is silent for ``timeout`` of event time fails.
+a key; both give the same end states. A process that is silent for ``timeout`` of event time fails; an ended one is remembered for as
+long and then removed, so that the state holds recent processes only.
 """
 
 from __future__ import annotations
@@ -46,9 +47,8 @@ def process_states(events: DataFrame, delay: str = "1 hour", timeout_ms: int = 3
                 state, failed = step(state, failed, kind, retries)
             n += len(rows)
         held.update((state, n, failed))
-        if not held.hasTimedOut:
-            last = int(rows["ts"].max().timestamp() * 1000)
-            held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + timeout_ms)
+        last = 0 if held.hasTimedOut else int(rows["ts"].max().timestamp() * 1000)
+        held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + timeout_ms)  # ended ones are kept as long, then removed
         yield pd.DataFrame([(key[0], state, n, failed)], columns=["process", "state", "n_events", "n_failed"])
 
     once = delivered_once(events.where("process is not null and ts is not null"), delay)
