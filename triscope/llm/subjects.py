@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -102,20 +102,31 @@ class Terms(dict):
         return v
 
 
+def sentences(line: str) -> list[str]:
+    """The sentences of a line, and what follows the last one's end."""
+    cuts = [0, *(m.end() for m in _END.finditer(line)), len(line)]
+    return [line[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def spans(n: int) -> Iterator[tuple[int, int]]:
+    """The passages of a line of ``n`` ended sentences: from which of its parts to before which."""
+    size = LONGEST // 2
+    cuts = [0, *range(size, n - size + 1, size), n + 1] if n > LONGEST else [0, n + 1]
+    return zip(cuts, cuts[1:])
+
+
+def window_starts(n: int) -> tuple[int, ...]:
+    """Where the overlapping windows begin in a line of ``n`` sentences; none where a window would hold the line."""
+    return (*range(0, n - WINDOW, STEP), n - WINDOW) if n > WINDOW else ()
+
+
 def passages(text: str) -> Iterator[tuple[int, str]]:
     """(number of sentences, text) of each passage."""
     for line in _LINES.split(text):
-        if not line or line.isspace():
-            continue
-        n = len(_END.findall(line))
-        if n <= LONGEST:
-            yield n, line
-            continue
-        ends = [m.end() for m in _END.finditer(line)]
-        size = LONGEST // 2
-        cuts = [0, *ends[size - 1 : n - size : size], len(line)]
-        for a, b in zip(cuts, cuts[1:]):
-            yield sum(a < e <= b for e in ends), line[a:b]
+        if line and not line.isspace():
+            parts = sentences(line)
+            for a, b in spans(len(parts) - 1):
+                yield min(b, len(parts) - 1) - a, "".join(parts[a:b])
 
 
 def unwrapped(text: str) -> str:
@@ -145,43 +156,43 @@ def unwrapped(text: str) -> str:
 
 def windows(line: str) -> Iterator[str]:
     """The overlapping windows of a line with more sentences than one."""
-    ends = [m.end() for m in _END.finditer(line)]
-    n = len(ends)
-    if n > WINDOW:
-        starts = [0, *ends]
-        for i in (*range(0, n - WINDOW, STEP), n - WINDOW):
-            yield line[starts[i] : ends[i + WINDOW - 1]]
-
-
-def _read(text: str) -> Iterator[tuple[int, str]]:
-    """The passages of a text, and the windows within them with a number below 0."""
-    text = unwrapped(text)
-    yield from passages(text)
-    for line in text.split("\n"):
-        for part in windows(line):
-            yield -WINDOW, part
-
-
-def _rows(pairs: Iterator[tuple[object, str]], terms: Terms, read: Callable[[str], Iterator[tuple[int, str]]] = _read) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, sentences and alphabet of the passages; sizes, terms and counts of their bags of terms."""
-    keys, sentences, lengths, found = [], [], [], []
+    parts = sentences(line)
+    for i in window_starts(len(parts) - 1):
+        yield "".join(parts[i : i + WINDOW])
+
+
+def _rows(pairs: Iterator[tuple[object, str]], terms: Terms) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sentences and alphabet of the passages and, with sentences below 0, of the windows; sizes, terms and counts of their bags
+    of terms. A sentence is read once, however many windows hold it."""
+    keys, counted, lengths, found = [], [], [], []
     split_by, number, find = odd(), terms.__getitem__, _WORDS.findall
+
+    def add(key: object, n: int, parts: list[list[int]]) -> None:
+        keys.append(key)
+        counted.append(n)
+        lengths.append(sum(map(len, parts)))
+        for p in parts:
+            found.extend(p)
+
     for key, text in pairs:
         text = text.lower()
         if split_by.search(text):
             text = unicodedata.normalize("NFC", text).translate(table())
-        for n, p in read(text):
-            ws = find(p)
-            found.extend(map(number, ws))
-            keys.append(key)
-            sentences.append(n)
-            lengths.append(len(ws))
+        for line in unwrapped(text).split("\n"):
+            if not line:
+                continue
+            parts = [list(map(number, find(x))) for x in sentences(line)]
+            n = len(parts) - 1
+            for a, b in spans(n):
+                add(key, min(b, n) - a, parts[a:b])
+            for i in window_starts(n):
+                add(key, -WINDOW, parts[i : i + WINDOW])
     total = len(keys)
     all_terms, at = np.array(found, np.int64), np.repeat(np.arange(total), lengths)
     latin = np.bincount(at, all_terms & 1, total) * 3 > np.array(lengths)
     pairs_of, counts = np.unique(at * BUCKETS + (all_terms >> 1), return_counts=True)
     sizes = np.bincount(pairs_of // BUCKETS, minlength=total)
-    return keys, np.array(sentences, np.int32), latin, sizes, (pairs_of % BUCKETS).astype(np.int32), counts.astype(np.int32)
+    return keys, np.array(counted, np.int32), latin, sizes, (pairs_of % BUCKETS).astype(np.int32), counts.astype(np.int32)
 
 
 def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
@@ -351,7 +362,7 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     whole = table_of_terms.where("sentences >= 0")
     frequency = whole.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
     total = whole.count()
-    title_codes, _, title_latin, title_sizes, title_terms, title_counts = _rows(iter(named), Terms(), passages)
+    title_codes, _, title_latin, title_sizes, title_terms, title_counts = _rows(((c, t.replace("\n", "\n\n")) for c, t in named), Terms())
     titles = spark.createDataFrame([(int(t), c) for t, c in zip(title_terms, np.repeat(title_codes, title_sizes))], "term int, subject_code string")
     shown = table_of_terms.where(F.col("sentences") >= SENTENCES).join(known, "doc_id").select(F.explode("terms").alias("term"), "subject_code").unionByName(titles)
     seen = written(shown.groupBy("term", "subject_code").agg(F.count("*").alias("n")), "shown")
