@@ -231,6 +231,18 @@ def _flat(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(b.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
 
 
+def _sum_runs(x: np.ndarray, rows: np.ndarray, v: np.ndarray, first: np.ndarray, portion: int = 4000) -> np.ndarray:
+    """The sums of ``x[rows] * v`` over runs that begin at ``first``; about ``portion`` entries at a time, which fit into a cache."""
+    out = np.zeros((len(first), x.shape[1]), x.dtype)
+    cuts = np.unique(np.r_[0, np.searchsorted(first, np.arange(portion, len(rows), portion)), len(first)])
+    for a, b in zip(cuts, cuts[1:]):
+        i, j = first[a], first[b] if b < len(first) else len(rows)
+        part = x[rows[i:j]]
+        part *= v[i:j, None]
+        out[a:b] = np.add.reduceat(part, first[a:b] - i, axis=0)
+    return out
+
+
 class Space:
     """Vocabulary, term weights and projection."""
 
@@ -251,7 +263,7 @@ class Space:
         out = np.zeros((n, self.basis.shape[1]), np.float32)
         if len(row):
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            out[row[first]] = np.add.reduceat(self.basis[at] * v[:, None], first, axis=0)
+            out[row[first]] = _sum_runs(self.basis, at, v, first)
         return out
 
 
@@ -316,7 +328,7 @@ def decompose(passages: DataFrame, space: Space, passes: int) -> np.ndarray:
                     order = np.argsort(at, kind="stable")
                     c = at[order]
                     first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                    total[c[first]] += np.add.reduceat(e[row[order]] * v[order, None], first, axis=0)
+                    total[c[first]] += _sum_runs(e, row[order], v[order], first)
             yield _send(total)
 
         total = _summed(passages.select("terms", "counts").mapInArrow(run, _PARTS), tasks)
