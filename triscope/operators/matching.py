@@ -164,5 +164,5 @@ def seeded_sample(df: DataFrame, group: str, key: str, n: int, seed: int = 0) ->
     """``n`` rows of each group, the same for the same seed whatever the order of the input."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    w = W.partitionBy(group).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key)
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")  # ranks are cut before they move

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triscope.functions.text import comma_number, decimals, natural_key, place_key, repair_lookalikes
+from triscope.functions.text import _LATIN, _RUSSIAN, comma_number, decimals, natural_key, place_key, repair_lookalikes
 from triscope.operators.boxes import box_fields, nearest, overlaps, rows_of
 from triscope.operators.compare import align, apart, disjoint_below, half_unit, higher_rank, lower_minimum, scores
 from triscope.operators.records import carried, overlay
@@ -232,6 +232,7 @@ def oracle_sql() -> dict[str, str]:
         "q_labels_by_status": c + " SELECT violation_label, " + ", ".join(f"count(*) FILTER (protocol_status = '{s}') AS \"{s}\"" for s in ("OK", "WARNING", "CRITICAL", "ID_MISSING", "RD_MISSING", "PD_MISSING")) + " FROM c GROUP BY violation_label",
         "q_rule_scores": c + ", m AS (SELECT coalesce(violation_label = 'VIOLATION_PRESENT', false) AS g, coalesce(pd_value <> rd_value, false) AS o FROM c), s AS (SELECT count(*) FILTER (g AND o) AS tp, count(*) FILTER (NOT g AND o) AS fp, count(*) FILTER (g AND NOT o) AS fn, count(*) FILTER (NOT g AND NOT o) AS tn FROM m) SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce(2.0 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM s",
         "q_place_keys": c + r", k AS (SELECT lower(trim(regexp_replace(translate(location, 'ёЁ', 'еЕ'), '[\s\p{Z}]+', ' ', 'g'))) AS s FROM c WHERE location IS NOT NULL) SELECT " + _SQL_PLACE + " AS place, count(*) AS n_checks FROM k GROUP BY 1",
+        "q_repaired_fragments": e + f", r AS (SELECT check_id, ord, fragment, array_to_string(list_transform(string_split(fragment, chr(10)), lambda l: array_to_string(list_transform(regexp_extract_all(l, '\\s|[^\\s]+'), lambda w: CASE WHEN regexp_matches(w, '[А-Яа-яЁё]') OR (length(regexp_replace(l, '[^А-Яа-яЁё]', '', 'g')) > length(regexp_replace(l, '[^A-Za-z]', '', 'g')) AND regexp_matches(w, '^[.,;:()«»\"'']*[{_LATIN}]+[.,;:()«»\"'']*$')) THEN translate(w, '{_LATIN}', '{_RUSSIAN}') ELSE w END), '')), chr(10)) AS repaired FROM e WHERE fragment IS NOT NULL) SELECT check_id, ord, repaired FROM r WHERE repaired <> fragment",
         "q_evidence_pick": e + " SELECT check_id, stage, fid, page, ord, n_evidence FROM (SELECT *, count(*) OVER (PARTITION BY check_id, stage) AS n_evidence, row_number() OVER (PARTITION BY check_id, stage ORDER BY box IS NULL, coalesce(page, 2147483647), coalesce(fid, ''), ord) AS k FROM e) WHERE k = 1",
         "q_evidence_top_pages": e + ", p AS (SELECT oid, stage, fid, page, count(*) AS n FROM e WHERE fid IS NOT NULL AND page IS NOT NULL AND oid IS NOT NULL GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY oid, stage ORDER BY n DESC, fid, page) AS place FROM p) WHERE place <= 3",
         "q_page_runs": f"WITH {_SQL_RUNS} SELECT fid, first, last, n FROM runs",

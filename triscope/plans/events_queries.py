@@ -66,25 +66,25 @@ def q_event_properties(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_stream_hourly(spark: SparkSession, d: str) -> DataFrame:
-    """Events and their sum by hour and type, counted by a stream."""
+    """Events and their sum by hour and type, counted by a stream: hours that are over by an hour at the stream's end, each once."""
 
     def hourly(e: DataFrame) -> DataFrame:
         counted = e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
         return counted.select(F.col("window.start").alias("hour"), "event_type", "n", "cents")
 
-    return finished(spark, f"{d}/events.parquet", hourly, "complete").drop("batch")
+    return finished(spark, f"{d}/events.parquet", hourly, "append").drop("batch")
 
 
 def q_stream_states(spark: SparkSession, d: str) -> DataFrame:
-    """The states of q_process_states as a stream of events leaves them."""
+    """The states of q_process_states as a stream of events leaves them; those silent for a day at its end have failed."""
 
     def states(e: DataFrame) -> DataFrame:
         kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("progress")
         day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
-        return process_states(e.select(F.concat_ws("-", "user_id", day).alias("process"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("kind")), delay="3650 days", timeout_ms=3650 * 86_400_000, retries=0)
+        return process_states(e.select(F.concat_ws("-", "user_id", day).alias("process"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("kind")), delay="1 hour", timeout_ms=86_400_000, retries=0)
 
     updates = finished(spark, f"{d}/events.parquet", states, "update")
-    return updates.groupBy("process").agg(F.max("n_events").alias("n_events"), F.max_by("state", F.struct("batch", "n_events")).alias("state"))
+    return updates.groupBy("process").agg(F.max("n_events").alias("n_events"), F.max_by("state", F.struct("batch", "n_events", "state")).alias("state"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -100,7 +100,9 @@ def oracle_sql() -> dict[str, str]:
         "q_busy_spans": "WITH e AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(60000000 * value) AS BIGINT) AS t FROM events WHERE value >= 0), o AS (SELECT *, CASE WHEN s > max(t) OVER w + 3600000000 OR max(t) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, min(s) AS start, max(t) AS \"end\", count(*) AS n FROM g GROUP BY user_id, g",
         "q_sessions": "WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 24 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o), s AS (SELECT user_id, g, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM s GROUP BY user_id",
         "q_process_states": "WITH e AS (SELECT user_id || '-' || (epoch_us(ts) // 86400000000) AS process, ts, event_id, event_type FROM events), r AS (SELECT process, count(*) AS n_events, min(struct_pack(a := ts, b := event_id)) FILTER (event_type = 'purchase') AS d, min(struct_pack(a := ts, b := event_id)) FILTER (event_type = 'error') AS f FROM e GROUP BY process) SELECT process, n_events, CASE WHEN d IS NOT NULL AND (f IS NULL OR d < f) THEN 'DONE' WHEN f IS NOT NULL THEN 'FAILED' ELSE 'PARSING' END AS state FROM r",
-        "q_stream_hourly": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2",
+        "q_stream_hourly": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2",
         "q_event_properties": "WITH k AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, k // 10 AS tens, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM k GROUP BY 1, 2",
     }
-    return sql | {"q_stream_states": sql["q_process_states"]}
+    silent = "SELECT p.process, p.n_events, CASE WHEN p.state = 'PARSING' AND l.last + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 'FAILED' ELSE p.state END AS state FROM p JOIN l USING (process)"
+    last = "l AS (SELECT user_id || '-' || (epoch_us(ts) // 86400000000) AS process, max(ts) AS last FROM events GROUP BY 1)"
+    return sql | {"q_stream_states": f"WITH p AS ({sql['q_process_states']}), {last} {silent}"}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from triscope.functions.fuzzy import kinds_by_words
 from triscope.functions.parse import after_label, dash, group_id, percent, short_date
 from triscope.operators.layout import outside_columns, reading_rows, strongest
-from triscope.plans.checks_queries import _boxes
+from triscope.plans.checks_queries import _SQL_BOXES, _boxes
 from triscope.plans.documents_queries import _SQL_STAGES, _stages
 from triscope.plans.tables_sql import CHECKS_NOW, EVIDENCE, FILES_NOW
 from triscope.plans.views import checks_now, evidence_rows, files_now
@@ -131,5 +131,8 @@ def oracle_sql() -> dict[str, str]:
         "q_grades": c + ", g AS (SELECT DISTINCT oid, CAST(unnest(regexp_extract_all(pd_value, '[AА](240|300|400|500|600|800|1000)', 1)) AS INT) AS g FROM c WHERE oid IS NOT NULL) SELECT oid, string_agg('А' || g, '/' ORDER BY g) AS grades FROM g GROUP BY oid",
         "q_numbered_places": c + ", k AS (SELECT check_id, location, row_number() OVER (PARTITION BY oid, location ORDER BY check_id) AS k FROM c WHERE oid IS NOT NULL AND location IS NOT NULL) SELECT check_id, CASE WHEN k > 1 THEN location || '#' || k ELSE location END AS place FROM k",
         "q_shares": c + " SELECT violation_label, replace(printf('%.1f', round(100.0 * count(*) / sum(count(*)) OVER (), 1)), '.', ',') || '%' AS share FROM c GROUP BY 1",
+        "q_outside_columns": f"WITH {_SQL_BOXES}, n AS (SELECT fid, count(*) OVER (PARTITION BY fid ORDER BY CAST(round(x0 * 1000 * 1000) AS BIGINT) RANGE BETWEEN 2000 PRECEDING AND 2000 FOLLOWING) AS n FROM b) SELECT fid, count(*) AS n FROM n WHERE n < 4 GROUP BY fid",
+        # one box of each page at a time, the widest first
+        "q_strongest_boxes": f"WITH RECURSIVE {_SQL_BOXES}, g AS (SELECT fid, page, list({{'s': -(x1 - x0), 'key': key, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY -(x1 - x0), key) AS r FROM b GROUP BY 1, 2), w AS (SELECT fid, page, r, CAST(NULL AS VARCHAR) AS key FROM g UNION ALL SELECT fid, page, list_filter(r[2:], lambda x: NOT coalesce(least(r[1].x1, x.x1) > greatest(r[1].x0, x.x0) AND least(r[1].y1, x.y1) > greatest(r[1].y0, x.y0) AND (least(r[1].x1, x.x1) - greatest(r[1].x0, x.x0)) * (least(r[1].y1, x.y1) - greatest(r[1].y0, x.y0)) / ((r[1].x1 - r[1].x0) * (r[1].y1 - r[1].y0) + (x.x1 - x.x0) * (x.y1 - x.y0) - (least(r[1].x1, x.x1) - greatest(r[1].x0, x.x0)) * (least(r[1].y1, x.y1) - greatest(r[1].y0, x.y0))) >= 0.1, false)), r[1].key FROM w WHERE len(r) > 0) SELECT fid, page, key FROM w WHERE key IS NOT NULL",
         "q_named_dates": f + r", n AS (SELECT coalesce(CAST(try_strptime(nullif(regexp_extract(original_name, 'от\s+([0-9]{2}\.[0-9]{2}\.[0-9]{4})', 1), ''), '%d.%m.%Y') AS DATE), CAST(try_strptime(nullif(regexp_extract(original_name, '([0-9]{2}\.[0-9]{2}\.[0-9]{4})', 1), ''), '%d.%m.%Y') AS DATE)) AS named FROM f) SELECT named, count(*) AS n FROM n WHERE named IS NOT NULL GROUP BY named",
     }

@@ -164,5 +164,8 @@ UNION ALL SELECT oid, 'DISCIPLINE_MISSING_IN_RD', section, count(*) FILTER (s =
         "q_registry_paths": f + ", r AS (SELECT fid, CASE WHEN json_valid(manifest_row) THEN json_extract_string(manifest_row, '$.relative_path') END AS p FROM f), k AS (SELECT lower(replace(relative_path, ' ', '')) AS l, count(*) AS n, min(relative_path) AS one_path FROM f WHERE relative_path IS NOT NULL GROUP BY 1), m AS (SELECT DISTINCT relative_path AS m FROM f), j AS (SELECT m, CASE WHEN n = 1 THEN one_path END AS o FROM r LEFT JOIN m ON m = p LEFT JOIN k ON l = lower(replace(p, ' ', '')) WHERE p IS NOT NULL) SELECT CASE WHEN m IS NOT NULL THEN 'exact' WHEN o IS NOT NULL THEN 'loose' ELSE 'none' END AS found, count(*) AS n, count(DISTINCT coalesce(m, o)) AS n_members FROM j GROUP BY 1",
         "q_section_home": f + ", n AS (SELECT section, oid, count(*) AS n_hits FROM f WHERE section IS NOT NULL AND oid IS NOT NULL GROUP BY 1, 2) SELECT section, oid, n_hits FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n_hits DESC, oid) AS k FROM n) WHERE k = 1",
         "q_parameter_overlap": c + ", k AS (SELECT DISTINCT parameter_code AS p, oid, violation_label AS v FROM c WHERE oid IS NOT NULL AND parameter_code IS NOT NULL), a AS (SELECT p, oid, count(*) OVER (PARTITION BY p) AS n FROM k WHERE v = 'VIOLATION_PRESENT'), b AS (SELECT p, oid, count(*) OVER (PARTITION BY p) AS n FROM k WHERE v = 'NO_VIOLATION') SELECT a.p AS \"left\", b.p AS \"right\", count(*) AS common, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS ratio FROM a JOIN b USING (oid) GROUP BY 1, 2 HAVING count(*) >= 3",
+        "q_sample": c + ", k AS (SELECT parameter_code, check_id, row_number() OVER (PARTITION BY parameter_code ORDER BY md5('20260924|' || check_id), check_id) AS n FROM c) SELECT parameter_code, check_id FROM k WHERE n <= 10",
+        # the greedy match, a left file at a time for all groups at once
+        "q_size_matches": f"WITH RECURSIVE {FILES_NOW}, s AS (SELECT fid, oid, section, stage, size_bytes AS z FROM f WHERE oid IS NOT NULL AND section IS NOT NULL AND size_bytes > 0 AND stage IN ('PD', 'RD')), g AS (SELECT oid, section, list({{'k': fid, 'z': z}} ORDER BY fid) FILTER (stage = 'PD') AS l, list({{'k': fid, 'z': z}} ORDER BY fid) FILTER (stage = 'RD') AS r FROM s GROUP BY 1, 2 HAVING count(DISTINCT stage) = 2), w AS (SELECT oid, section, l, r, 0 AS i, CAST(NULL AS VARCHAR) AS left_key, CAST(NULL AS VARCHAR) AS right_key FROM g UNION ALL SELECT oid, section, l, CASE WHEN ok THEN list_filter(r, lambda x: x.k <> b.k) ELSE r END, i + 1, CASE WHEN ok THEN l[i + 1].k END, CASE WHEN ok THEN b.k END FROM (SELECT *, abs(b.z - l[i + 1].z) / l[i + 1].z <= 0.25 AS ok FROM (SELECT *, list_sort(list_transform(r, lambda x: {{'d': abs(x.z - l[i + 1].z), 'k': x.k, 'z': x.z}}))[1] AS b FROM w WHERE i < len(l) AND len(r) > 0))) SELECT oid, section, left_key, right_key FROM w WHERE left_key IS NOT NULL",
         "q_undone_portions": c + ", u AS (SELECT check_id, check_id - row_number() OVER (ORDER BY check_id) AS g FROM c WHERE note IS NULL), r AS (SELECT min(check_id) AS a, max(check_id) AS z FROM u GROUP BY g) SELECT p AS first, least(p + 9, z) AS last FROM (SELECT unnest(range(a, z + 1, 10)) AS p, z FROM r)",
     }

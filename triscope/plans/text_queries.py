@@ -94,11 +94,14 @@ def q_system_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_character_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Character agreement of design and working value where they say the same, by label and over all."""
+    """Character agreement of design and working value where they say the same, by label and over all.
+
+    Without SQL: the edit distance at hand there counts bytes, not characters; tests/test_edit_distance.py has a brute-force twin.
+    """
     c = checks_now(spark, d, "violation_label", "pd_value", "rd_value").where("pd_value is not null and rd_value is not null")
     edits = c.select("violation_label", F.levenshtein("pd_value", "rd_value").alias("e"), F.length("pd_value").alias("n"))
     sums = edits.groupingSets([["violation_label"], []], "violation_label").agg(F.grouping("violation_label").alias("overall"), F.sum("e").alias("edits"), F.sum("n").alias("chars"), F.count_if(F.col("e") == 0).alias("n_exact"), F.count("*").alias("n"))
-    return sums.withColumn("accuracy", F.round(1 - F.col("edits") / F.col("chars"), 9))
+    return sums.withColumn("accuracy", F.round(1 - F.try_divide(F.col("edits").cast("double"), F.col("chars")), 9))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
