@@ -6,7 +6,7 @@ from triscope.operators.boxes import visible_nearest
 from triscope.operators.compare import align, better_lost, evidence_met, old_kinds_new, over_limit, third_stage
 from triscope.operators.extract import BETTER_PIPES, CABLE_ATTRIBUTES, OLD_LIGHTS, PIPES, extract, named
 from triscope.operators.findings import compact, findings
-from triscope.operators.matching import best_group, by_path, contiguous_portions, greedy_areas, once_printed, same_stems, seeded_sample, set_overlap, with_pieces
+from triscope.operators.matching import best_group, by_path, contiguous_portions, diff_lists, greedy_areas, once_printed, same_stems, seeded_sample, set_overlap, similar_sets, with_pieces
 
 
 def rows(df):
@@ -140,3 +140,41 @@ def test_query_of_sizes_by_brute_force(spark, data):
         sides.setdefault((r.oid, r.section), {}).setdefault(r.stage, []).append((r.fid, r.size_bytes, r.fid))
     want = sorted(m for s in sides.values() for m in greedy(s.get("PD", []), s.get("RD", []), 0.25))
     assert sorted((r.left_key, r.right_key) for r in q_size_matches(spark, data).collect()) == want
+
+
+def test_lists_that_should_agree(spark):
+    """Keys first, then areas with names preferred, by brute force."""
+    random.seed(11)
+    lists = [[(g, random.choice(["1", "2", "3", None]), random.choice("xyz"), random.choice([10.0, 10.2, 10.4, 30.0, 31.0, 0.0, None]), i) for i, g in enumerate(random.choices("ab", k=25))] for _ in range(2)]
+    lists[1] = [(g, k, n, a, 100 + i) for g, k, n, a, i in lists[1]]
+    want = set()
+    for g in "ab":
+        left, right = ([r[1:] for r in x if r[0] == g] for x in lists)
+        for x in list(left):
+            y = next((y for y in right if x[0] is not None and y[0] == x[0]), None)
+            if y:
+                left.remove(x), right.remove(y)
+                want.add((g, x[3], y[3], "key"))
+        for x in list(left):
+            near = [y for y in right if x[2] and y[2] and abs(y[2] - x[2]) <= 0.03 * max(x[2], y[2])]
+            if near:
+                y = min(near, key=lambda y: (y[1] != x[1], abs(y[2] - x[2]), y[3]))
+                left.remove(x), right.remove(y)
+                want.add((g, x[3], y[3], "area"))
+        want |= {(g, x[3], None, "removed") for x in left} | {(g, None, y[3], "added") for y in right}
+    kind = "g string, k string, name string, area double, i int"
+    got = diff_lists(spark.createDataFrame(lists[0], kind), spark.createDataFrame(lists[1], kind), ["g"], "k", "name", "area", "i").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {r.how for r in got} == {"key", "area", "removed", "added"}
+
+
+def test_similar_sets(spark):
+    random.seed(12)
+    a = {k: set(random.choices(range(12), k=random.randrange(1, 7))) for k in range(25)}
+    b = {k: set(random.choices(range(12), k=random.randrange(1, 7))) for k in range(25)}
+    df = lambda s: spark.createDataFrame([(k, m) for k, ms in s.items() for m in ms] * 2, "k int, m int")
+    for least, veto in ((0.5, None), (0.8, F.col("left") == F.col("right"))):
+        want = set()
+        for k, x in a.items():
+            shares = {j: len(x & y) / min(len(x), len(y)) for j, y in b.items() if veto is None or j != k}
+            want |= {(k, j, len(x & b[j])) for j, s in shares.items() if s >= least and s == max(shares.values())}
+        assert {(r.left, r.right, r.common) for r in similar_sets(df(a), df(b), "k", "m", least, veto).collect()} == want and want

@@ -130,6 +130,122 @@ def greedy_areas(left: DataFrame, right: DataFrame, group: list[str], key: str,
     return page_by_page(both, [*group, "__piece"], ["__side", "__key", "__area", "__order"], match, [("left_key", kind, arrow), ("right_key", kind, arrow)]).drop("__piece")
 
 
+class _Free:
+    """Items by size, the nearest free one found by stepping over those that are taken."""
+
+    def __init__(self, items: list[tuple], taken: set):
+        by_size: dict = {}
+        for order, size in items:
+            by_size.setdefault(size, deque()).append(order)
+        self.sizes, self.taken = sorted(by_size), taken
+        self.queues = [by_size[s] for s in self.sizes]
+        self.up, self.down = list(range(len(self.sizes) + 1)), list(range(len(self.sizes) + 1))
+
+    def _root(self, to: list[int], i: int, step: Callable[[int], int]) -> int | None:
+        """The next size on one side with a free item."""
+        while True:
+            j = i
+            while to[j] != j:
+                to[j] = to[to[j]]
+                j = to[j]
+            at = step(j)
+            if not 0 <= at < len(self.sizes):
+                return None
+            q = self.queues[at]
+            while q and q[0] in self.taken:
+                q.popleft()
+            if q:
+                return at
+            self.up[at], self.down[at + 1] = at + 1, at
+            i = j
+
+    def nearest(self, size: float) -> tuple | None:
+        """(difference, order, size) of the nearest free item, the earlier on a tie."""
+        at = bisect_left(self.sizes, size)
+        ends = (self._root(self.up, at, lambda j: j), self._root(self.down, at, lambda j: j - 1))
+        return min(((abs(self.sizes[i] - size), self.queues[i][0], self.sizes[i]) for i in ends if i is not None), default=None)
+
+
+def match_rest(left: list[tuple], right: list[tuple], tolerance: float) -> list[tuple[int, int]]:
+    """(place, place): each (name, size) on the left, in order, with a free right one within a tolerance of the larger size: the
+    nearest of its own name, else the nearest of any."""
+    taken: set[int] = set()
+    by_name: dict = {}
+    for i, (name, size) in enumerate(right):
+        by_name.setdefault(name, []).append((i, size))
+    named = {n: _Free(items, taken) for n, items in by_name.items() if n is not None}
+    every, out = _Free([(i, size) for i, (_, size) in enumerate(right)], taken), []
+    for k, (name, size) in enumerate(left):
+        for free in (named.get(name), every):
+            best = free.nearest(size) if free else None
+            if best and best[0] <= tolerance * max(size, best[2]):
+                taken.add(best[1])
+                out.append((k, best[1]))
+                break
+    return out
+
+
+def diff_lists(left: DataFrame, right: DataFrame, group: list[str], key: str, name: str, area: str, order: str, tolerance: float = 0.03) -> DataFrame:
+    """group, left_order, right_order, how: two lists that should agree. Rows of equal key are matched first (``key``; repeated keys by
+    their order), then what is left by area within a tolerance of the larger one, the same name before another (``area``); the rest is
+    ``removed`` or ``added``. ``order`` tells the rows of a list apart. Null keys match nothing; null or non-positive areas nothing by area.
+    """
+    from pyspark.sql import Window as W
+
+    g = [F.col(c) for c in group]
+    rank = F.row_number().over(W.partitionBy(*group, key).orderBy(order))
+    side = lambda df, s: df.select(*g, F.col(key).alias("__key"), F.col(name).alias("__name"), F.col(area).cast("double").alias("__area"), F.col(order).alias("__order"), F.when(F.col(key).isNotNull(), rank).alias("__rank")).withColumn("__side", F.lit(s))
+    a, b = side(left, 0), side(right, 1)
+    both = a.unionByName(b)
+    paired = both.where("__key is not null").groupBy(*group, "__key", "__rank").agg(F.max(F.when(F.col("__side") == 0, F.col("__order"))).alias("left_order"), F.max(F.when(F.col("__side") == 1, F.col("__order"))).alias("right_order"))
+    by_key = paired.where("left_order is not null and right_order is not null").select(*group, "left_order", "right_order", F.lit("key").alias("how"))
+    used = by_key.select(*group, F.explode(F.array(F.struct(F.lit(0).alias("__side"), F.col("left_order").alias("__order")), F.struct(F.lit(1).alias("__side"), F.col("right_order").alias("__order")))).alias("u")).select(*group, "u.__side", "u.__order")
+    rest = both.join(used, [*group, "__side", "__order"], "left_anti")
+    kind = left.schema[order].dataType.simpleString()
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+
+    def match(rows: list[tuple]) -> list[tuple]:
+        l, r = (sorted((x[1:] for x in rows if x[0] == s), key=lambda x: x[0]) for s in (0, 1))
+        return [(l[i][0], r[j][0]) for i, j in match_rest([x[1:] for x in l], [x[1:] for x in r], tolerance)]
+
+    sized = rest.where((F.col("__area") > 0) & ~F.isnan("__area"))
+    pieces = with_pieces(sized, group, "__area", tolerance)  # a gap wider than the tolerance of the larger size parts what can't match
+    by_area = page_by_page(pieces, [*group, "__piece"], ["__side", "__order", "__name", "__area"], match, [("left_order", kind, arrow), ("right_order", kind, arrow)]).drop("__piece").withColumn("how", F.lit("area"))
+    taken = by_area.select(*group, F.explode(F.array(F.struct(F.lit(0).alias("__side"), F.col("left_order").alias("__order")), F.struct(F.lit(1).alias("__side"), F.col("right_order").alias("__order")))).alias("u")).select(*group, "u.__side", "u.__order")
+    over = rest.join(taken, [*group, "__side", "__order"], "left_anti")
+    one = lambda s: F.when(F.col("__side") == s, F.col("__order"))
+    alone = over.select(*group, one(0).alias("left_order"), one(1).alias("right_order"), F.when(F.col("__side") == 0, "removed").otherwise("added").alias("how"))
+    return by_key.unionByName(by_area).unionByName(alone)
+
+
+def similar_sets(left: DataFrame, right: DataFrame, key: str, member: str, least: float = 0.5, veto: Column | None = None) -> DataFrame:
+    """left, right, common, share: for each set on the left those on the right with the largest share in common, ties kept.
+
+    The share is common members over the smaller set, ``least`` or more. ``veto`` is a condition over left and right that rules pairs out.
+    Of the smaller set of a pair only the rarest members that it can't do without make candidates; none is lost.
+    """
+    from pyspark.sql import Window as W
+
+    a, b = left.select(F.col(key).alias("k"), F.col(member).alias("m")).distinct(), right.select(F.col(key).alias("k"), F.col(member).alias("m")).distinct()
+    rarity = a.unionByName(b).groupBy("m").agg(F.count("*").alias("f"))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        by = W.partitionBy("k")
+        return df.join(rarity, "m").withColumn("n", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy("f", "m")))
+
+    needed = F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    x, y = ranked(a).select("m", F.col("k").alias("left"), F.col("n").alias("n_left"), needed.alias("l")), ranked(b).select("m", F.col("k").alias("right"), F.col("n").alias("n_right"), needed.alias("r"))
+    small_left = x.where("l").join(y, "m").where("n_left <= n_right")
+    small_right = x.join(y.where("r"), "m").where("n_left > n_right")
+    pairs = small_left.unionByName(small_right).select("left", "right", "n_left", "n_right").distinct()
+    pairs = pairs if veto is None else pairs.where(~F.coalesce(veto, F.lit(False)))
+    members = pairs.join(a.withColumnsRenamed({"k": "left"}), "left").join(b.withColumnsRenamed({"k": "right"}), ["right", "m"])
+    share = F.col("common") / F.least("n_left", "n_right")
+    counted = members.groupBy("left", "right", "n_left", "n_right").agg(F.count("*").alias("common")).withColumn("share", share).where(F.col("share") >= least - 1e-9)
+    best = counted.groupBy("left").agg(F.max("share").alias("best"))
+    return counted.join(best, "left").where("share = best").select("left", "right", "common", "share")
+
+
 def same_stems(a: Column, b: Column, stem: int = 6, least: float = 0.6) -> Column:
     """Whether two names say the same: one's stems within the other's, or alike by ``least``; a name without words says anything."""
     stems = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е"), F.lit("([а-яa-z]{2,})"), F.lit(1)), lambda w: F.substring(w, 1, stem)))
