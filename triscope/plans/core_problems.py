@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triscope.functions.keys import clean_key
+from triscope.functions.lookalikes import LOOSE
 from triscope.operators.nested import ROOT_FIELD, emit_tagged, links, read_rows, read_table, source, write_tables
-from triscope.operators.packed import split_packed
+from triscope.operators.packed import UNITS, split_packed
 from triscope.operators.references import orphans, parents, references, with_period
 from triscope.sources.scratch import shared_path
 from triscope.sources.tables import table
@@ -143,6 +144,35 @@ def _p1_sql() -> str:
     return _P1.format(p)
 
 
+def _p2_sql() -> str:
+    """Commas and slashes that part nothing are set aside, each item is then what stands before a separator, quoted ones first."""
+    like: dict[str, str] = {}
+    for c, to in LOOSE.items():
+        like[to] = like.get(to, to) + c
+    z, blank, sep = r"\p{Cf}*", r"[ \x0b\x0c\p{Z}]", r";|,/\n\r\t\x03"
+    unit = "(?:" + "|".join(z.join(f"[{like.get(LOOSE.get(c, c), c)}{c}]" for c in u) for u in sorted(UNITS, key=len, reverse=True)) + ")"
+    put = lambda x, pattern, to: f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    x = "v"
+    d = r"\p{Nd}"
+    for _ in range(2):  # neighbours share a digit
+        x = put(x, f"({d}{z}),({z}{d})", r"\1{1}\2")
+        x = put(x, f"({d}{z}-{z}{d}[\\p{{Nd}}\\p{{Cf}}]*)/({z}{d}[\\p{{Nd}}\\p{{Cf}}]*-{z}\\p{{L}})", r"\1{2}\2")
+        x = put(x, f"(?i)({d}(?:{blank}|\\p{{Cf}})*{unit}{z})/({z}{unit}{z})($|[^\\p{{L}}\\p{{Nd}}\\p{{Cf}}-])", r"\1{2}\2\3")
+        x = put(x, f"({blank})[иИ]({blank})", r"\1{3}\2")
+    for n in (1, 2, 3):
+        x = x.replace(f"{{{n}}}", chr(n))
+    piece = f'{blank}*(?:"(?:[^"]|"")*"|\'\'(?:[^\'\']|\'\'\'\')*\'\'|«[^»]*»|[^{sep}]*){blank}*[{sep}]'
+    trim = lambda c: f"regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    bare = trim("p[:-2]")
+    inner = trim("b[2:-2]")
+    item = f"""CASE WHEN len(b) > 1 AND b[1] = '"' AND b[-1] = '"' THEN replace({inner}, '""', '"') WHEN len(b) > 1 AND b[1] = chr(39) AND b[-1] = chr(39) THEN replace({inner}, chr(39) || chr(39), chr(39)) WHEN len(b) > 1 AND b[1] = '«' AND b[-1] = '»' THEN {inner} ELSE b END"""
+    back = f"translate({item}, chr(1) || chr(2) || chr(3), ',/и')"
+    return f"""WITH c AS (SELECT DISTINCT check_id, unnest(['pd_value', 'rd_value']) AS field, unnest([pd_value, rd_value]) AS v FROM checks),
+x AS (SELECT check_id, field, regexp_extract_all({x} || ';', '{piece}') AS ps FROM c WHERE v IS NOT NULL),
+i AS (SELECT check_id, field, list_filter(list_transform(list_transform(ps, lambda p: {bare}), lambda b: {back}), lambda y: y <> '') AS items FROM x),
+f AS (SELECT DISTINCT check_id, field, unnest(range(len(items))) AS pos, unnest(items) AS item FROM i WHERE len(items) > 1) """
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_tables, p1_evidence, p1_stamps, p2_found, p2_counts, p5_found, p5_report)}
 
@@ -153,6 +183,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_tables": _p1_sql() + _P1_TABLES,
         "p1_evidence": _p1_sql() + _P1_EVIDENCE,
         "p1_stamps": _p1_sql() + _P1_STAMPS,
+        "p2_found": _p2_sql() + "SELECT check_id, field, pos, item FROM f",
+        "p2_counts": _p2_sql() + ", n AS (SELECT check_id, field, max(pos) + 1 AS n_items FROM f GROUP BY 1, 2) SELECT field, n_items, count(*) AS n_fields FROM n GROUP BY 1, 2",
         "p5_found": _P5 + "SELECT ref_table, ref_key, missing_key, reason, period FROM found WHERE reason IS NOT NULL",
         "p5_report": _P5 + "SELECT ref_table, period, reason, count(*) AS n_refs, count(DISTINCT missing_key) AS n_keys FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3",
     }

@@ -42,12 +42,12 @@ def process_states(events: DataFrame, delay: str = "1 hour", timeout_ms: int = 3
                 return
             state = "FAILED"
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-            for kind in rows["kind"]:
+            rows = sorted(x for f in frames for x in zip(f["ts"].tolist(), f["event_id"].tolist(), f["kind"].tolist()))
+            for _, _, kind in rows:
                 state, failed = step(state, failed, kind, retries)
             n += len(rows)
         held.update((state, n, failed))
-        last = 0 if held.hasTimedOut else int(rows["ts"].max().timestamp() * 1000)
+        last = 0 if held.hasTimedOut else int(rows[-1][0].timestamp() * 1000)
         held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + timeout_ms)  # ended ones are kept as long, then removed
         yield pd.DataFrame([(key[0], state, n, failed)], columns=["process", "state", "n_events", "n_failed"])
 
