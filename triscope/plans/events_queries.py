@@ -34,6 +34,15 @@ def q_active_users(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.floor(F.col("at") / 900_000_000).alias("quarter")).agg(F.countDistinct("user_id").alias("n_users"), F.count("*").alias("n_events"))
 
 
+def q_trailing_users(spark: SparkSession, d: str) -> DataFrame:
+    """Users and events by type within the last day, hour and quarter of an hour up to the last event."""
+    e = _events(spark, d)
+    last = e.agg(F.max("at").alias("last"))  # one row
+    spans = F.explode(F.array(*(F.struct(F.lit(n).alias("span"), F.lit(s).alias("seconds")) for n, s in (("day", 86_400), ("hour", 3_600), ("quarter", 900)))))
+    near = e.join(F.broadcast(last)).where(F.col("at") > F.col("last") - 86_400_000_000).select("*", spans.alias("s"))
+    return near.where(F.col("at") > F.col("last") - F.col("s.seconds").cast("bigint") * 1_000_000).groupBy(F.col("s.span").alias("span"), "event_type").agg(F.countDistinct("user_id").alias("n_users"), F.count("*").alias("n"))
+
+
 def q_busy_days(spark: SparkSession, d: str) -> DataFrame:
     """Runs of consecutive days on which a user was active."""
     e = _events(spark, d).withColumn("day", F.floor(F.col("at") / 86_400_000_000))
@@ -96,6 +105,7 @@ def oracle_sql() -> dict[str, str]:
         "q_throttle": "WITH t AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error') SELECT user_id, max(n) AS most, count(*) FILTER (n >= 3) AS n_over FROM t GROUP BY user_id HAVING max(n) >= 3",
         "q_latency_quantiles": "WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), q AS (SELECT unnest([0.5, 0.95, 0.99]) AS share) SELECT CAST(share AS DOUBLE) AS share, value FROM q, s WHERE i = least(n - 1, CAST(floor(CAST(share AS DOUBLE) * n) AS BIGINT))",
         "q_active_users": "SELECT epoch_us(ts) // 900000000 AS quarter, count(DISTINCT user_id) AS n_users, count(*) AS n_events FROM events GROUP BY 1",
+        "q_trailing_users": "WITH s AS (SELECT unnest(['day', 'hour', 'quarter']) AS span, unnest([86400, 3600, 900]) AS seconds) SELECT span, event_type, count(DISTINCT user_id) AS n_users, count(*) AS n FROM events, s WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - seconds * CAST(1000000 AS BIGINT) GROUP BY 1, 2",
         "q_busy_days": "WITH d AS (SELECT DISTINCT user_id, epoch_us(ts) // 86400000000 AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM d) SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS n FROM g GROUP BY user_id, i",
         "q_busy_spans": "WITH e AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(60000000 * value) AS BIGINT) AS t FROM events WHERE value >= 0), o AS (SELECT *, CASE WHEN s > max(t) OVER w + 3600000000 OR max(t) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, min(s) AS start, max(t) AS \"end\", count(*) AS n FROM g GROUP BY user_id, g",
         "q_sessions": "WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 24 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o), s AS (SELECT user_id, g, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM s GROUP BY user_id",

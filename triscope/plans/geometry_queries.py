@@ -84,6 +84,20 @@ def q_evidence_met(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("oid").agg(F.count_if(evidence_met(F.col("wanted"), F.col("there"))).alias("n_met"), F.count("*").alias("n"))
 
 
+def q_pages_after(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each file that have evidence of the as-built stage, or come right after one that has and hold other evidence."""
+    pages = evidence_rows(spark, d).where("fid is not null and page is not null").groupBy("fid", "page").agg(F.max((F.col("stage") == "ID").cast("int")).alias("built"))
+    after = pages.where("built = 1").select("fid", (F.col("page") + 1).alias("page"), F.lit(True).alias("after"))
+    picked = pages.join(after, ["fid", "page"], "left").where("built = 1 or after")
+    return picked.select("fid", "page", F.when(F.col("built") == 1, "built").otherwise("after").alias("why"))
+
+
+def q_drawings(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with boxes over more than half of their width and two or more distinct fragments."""
+    s = _sheet(spark, d).where("page is not null").groupBy("fid", "page").agg((F.max("x1") - F.min("x0")).alias("width"), F.countDistinct("fragment").alias("n_fragments"))
+    return s.where((F.col("width") > SIDE / 2) & (F.col("n_fragments") >= 2)).select("fid", "page", F.round("width", 3).alias("width"), "n_fragments")
+
+
 def q_clauses(spark: SparkSession, d: str) -> DataFrame:
     """The part of a fragment between commas that holds its first number with a unit."""
     e = evidence_rows(spark, d).where("fragment is not null").select("check_id", "ord", "fragment", F.nullif(F.regexp_extract("fragment", "[0-9]+ (?:мм|шт|кг)", 0), F.lit("")).alias("m")).where("m is not null")
@@ -114,5 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "q_visible_nearest": s + f", u AS (SELECT p.fid, p.key, q.key AS label, (p.x0 + p.x1) / 2 AS x, (p.y0 + p.y1) / 2 AS y, (q.x0 + q.x1) / 2 AS lx, (q.y0 + q.y1) / 2 AS ly FROM s p JOIN s q ON p.fid = q.fid AND p.part = 0 AND q.part = 1), v AS (SELECT *, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) AS dist, NOT {hidden} AS seen FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY fid, key ORDER BY seen DESC, dist, label) AS k FROM v WHERE dist <= 300 AND (seen OR dist <= 150)) SELECT fid, key, label, round(dist, 6) AS distance, seen FROM k WHERE k = 1",
         "q_walks": s + ", n AS (SELECT fid, key AS id, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS yy FROM s WHERE part = 1 UNION ALL SELECT fid, key, x1, y1, x0, y0 FROM s WHERE part = 1), w0 AS (SELECT fid, key, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, CAST([] AS VARCHAR[]) AS taken FROM s WHERE part = 0), w1 AS (" + hop.format("w0") + "), w2 AS (" + hop.format("w1") + ") SELECT fid, key, round(x, 3) AS x, round(y, 3) AS y, CAST(len(taken) AS INT) AS hops FROM w2",
         "q_evidence_met": f"WITH {EVIDENCE}, p AS (SELECT DISTINCT oid, check_id, stage, page FROM e WHERE oid IS NOT NULL AND stage IS NOT NULL AND page IS NOT NULL), m AS (SELECT oid, check_id, stage, bool_or(EXISTS (SELECT 1 FROM p q WHERE q.check_id % 2 = 1 AND q.oid = p.oid AND q.stage = p.stage AND q.page = p.page)) AS met FROM p WHERE check_id % 2 = 0 GROUP BY 1, 2, 3), k AS (SELECT oid, check_id, bool_and(met) AS met FROM m GROUP BY 1, 2) SELECT oid, count(*) FILTER (met) AS n_met, count(*) AS n FROM k WHERE oid IN (SELECT oid FROM p WHERE check_id % 2 = 1) GROUP BY oid",
+        "q_pages_after": f"WITH {EVIDENCE}, p AS (SELECT fid, page, coalesce(bool_or(stage = 'ID'), false) AS built FROM e WHERE fid IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2) SELECT fid, page, CASE WHEN built THEN 'built' ELSE 'after' END AS why FROM p WHERE built OR EXISTS (SELECT 1 FROM p q WHERE q.built AND q.fid = p.fid AND q.page = p.page - 1)",
+        "q_drawings": s + " SELECT fid, page, round(max(x1) - min(x0), 3) AS width, count(DISTINCT fragment) AS n_fragments FROM s WHERE page IS NOT NULL GROUP BY 1, 2 HAVING max(x1) - min(x0) > 500 AND count(DISTINCT fragment) >= 2",
         "q_clauses": f"WITH {EVIDENCE}, m AS (SELECT check_id, ord, fragment, regexp_extract(fragment, '[0-9]+ (?:мм|шт|кг)') AS m FROM e) SELECT check_id, ord, list_filter(string_split_regex(fragment, '[,;]'), lambda x: contains(x, m))[1] AS clause FROM m WHERE m <> ''",
     }
