@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triscope.operators.compare import align, lost, old_kinds_new, over_limit, third_stage
-from triscope.operators.extract import CABLE_ATTRIBUTES, LIGHTS, OLD_LIGHTS, RULES, Rule, extract, named
+from triscope.operators.compare import align, better_lost, lost, old_kinds_new, over_limit, third_stage
+from triscope.operators.extract import BETTER_PIPES, CABLE_ATTRIBUTES, LIGHTS, OLD_LIGHTS, PIPES, RULES, Rule, extract, named
 from triscope.operators.findings import STAGES, TEMPORARY, findings
 from triscope.operators.matching import best_group, by_path, contiguous_portions, greedy_areas, seeded_sample, set_overlap
 from triscope.plans.checks_queries import _KEY, _facts
@@ -50,6 +50,20 @@ def q_light_kinds(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(old_kinds_new(F.col("p"), F.col("r"), "LED", OLD_LIGHTS).alias("label")).agg(F.count("*").alias("n"))
 
 
+def q_pipe_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the working value gives up the better kinds of pipes for plastic ones."""
+    c = _pairs(spark, d).select(named(F.col("pd_value"), PIPES).alias("p"), named(F.col("rd_value"), PIPES).alias("r")).where("size(p) > 0 or size(r) > 0")
+    return c.groupBy(better_lost(F.col("p"), F.col("r"), BETTER_PIPES, "ПВХ", F.lit(False)).alias("label")).agg(F.count("*").alias("n"))
+
+
+def q_cable_fire(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the working value keeps the mark of cables that work in fire: open without it in the design value."""
+    of = lambda c: F.array_contains(named(F.col(c), CABLE_ATTRIBUTES), "FR")
+    any_of = lambda c: F.size(named(F.col(c), CABLE_ATTRIBUTES)) > 0
+    c = _pairs(spark, d).where(any_of("pd_value") | any_of("rd_value"))
+    return c.groupBy(F.when(~of("pd_value") | ~any_of("rd_value"), "C").when(of("rd_value"), "N").otherwise("V").alias("label")).agg(F.count("*").alias("n"))
+
+
 def q_stage_limit(spark: SparkSession, d: str) -> DataFrame:
     """Whether the greatest working value is over the object's limit."""
     limits = table(spark, d, "supplier", "s_suppkey", "s_acctbal").select(F.col("s_suppkey").alias("object_id"), (F.col("s_acctbal") * 10).alias("limit"))
@@ -143,6 +157,7 @@ def oracle_sql() -> dict[str, str]:
     c, f = f"WITH {CHECKS_NOW}", f"WITH {FILES_NOW}"
     pairs = lambda t: c + f", n AS (SELECT {_named_sql('pd_value', t)} AS p, {_named_sql('rd_value', t)} AS r FROM c WHERE pd_value IS NOT NULL AND rd_value IS NOT NULL)"
     old = "[" + ", ".join(f"'{x}'" for x in OLD_LIGHTS) + "]"
+    better = "[" + ", ".join(f"'{x}'" for x in BETTER_PIPES) + "]"
     new_old = f"list_filter(r, lambda x: list_contains({old}, x) AND NOT list_contains(p, x))"
     stages = ", ".join(f"'{s}'" for s in STAGES)
     return {
@@ -150,6 +165,8 @@ def oracle_sql() -> dict[str, str]:
         "q_power_facts": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '([0-9]+(?:,[0-9]+)?) ?кВт', 1)) AS v FROM l) SELECT doc_id, line_no, count(*) AS n, max(CAST(replace(v, ',', '.') AS DOUBLE)) AS most FROM m GROUP BY 1, 2",
         "q_cable_attributes": pairs(CABLE_ATTRIBUTES) + " SELECT array_to_string(list_filter(p, lambda x: NOT list_contains(r, x)), ', ') AS lost, count(*) AS n FROM n WHERE len(p) > 0 AND len(r) > 0 GROUP BY 1",
         "q_light_kinds": pairs(LIGHTS) + f" SELECT CASE WHEN len(p) = 0 OR len(r) = 0 THEN 'C' WHEN list_contains(p, 'LED') AND NOT list_contains(r, 'LED') AND len({new_old}) > 0 THEN 'V' WHEN len({new_old}) = 0 THEN 'N' ELSE 'C' END AS label, count(*) AS n FROM n WHERE len(p) > 0 OR len(r) > 0 GROUP BY 1",
+        "q_pipe_kinds": pairs(PIPES) + f" SELECT CASE WHEN len(p) = 0 OR len(r) = 0 THEN 'C' WHEN len(list_intersect(p, {better})) > 0 AND list_contains(r, 'ПВХ') AND len(list_intersect(r, {better})) = 0 THEN 'V' WHEN len(list_filter(p, lambda x: list_contains({better}, x) AND NOT list_contains(r, x))) = 0 AND NOT (list_contains(r, 'ПВХ') AND NOT list_contains(p, 'ПВХ')) THEN 'N' ELSE 'C' END AS label, count(*) AS n FROM n WHERE len(p) > 0 OR len(r) > 0 GROUP BY 1",
+        "q_cable_fire": pairs(CABLE_ATTRIBUTES) + " SELECT CASE WHEN NOT list_contains(p, 'FR') OR len(r) = 0 THEN 'C' WHEN list_contains(r, 'FR') THEN 'N' ELSE 'V' END AS label, count(*) AS n FROM n WHERE len(p) > 0 OR len(r) > 0 GROUP BY 1",
         "q_stage_limit": _SQL_FACTS.format("l_extendedprice") + ", k AS (SELECT j.*, s_acctbal * 10 AS lim FROM j LEFT JOIN supplier ON s_suppkey = object_id) SELECT CASE WHEN p_min IS NULL OR r_min IS NULL THEN 'C' WHEN r_max <= CASE WHEN lim >= p_max THEN lim ELSE p_max END THEN 'N' WHEN lim >= p_max THEN 'V' ELSE 'C' END AS label, count(*) AS n FROM k GROUP BY 1",
         "q_third_stage": _SQL_FACTS.format("l_quantity") + " SELECT CASE WHEN i_min < r_min AND i_n >= 2 THEN 'V' WHEN p_min IS NULL OR r_min IS NULL THEN 'C' WHEN r_min < p_min THEN 'V' ELSE 'N' END AS label, count(*) AS n FROM j GROUP BY 1",
         "q_findings": f

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triscope.functions.parse import missing_stages, safe_name, text_date, upload_name
+from triscope.functions.parse import form_field, missing_stages, safe_name, text_date, upload_name
 from triscope.operators.matching import diff_lists, same_stems, similar_sets
 from triscope.operators.records import current
 from triscope.plans.documents_queries import _revisions
@@ -16,7 +16,7 @@ from triscope.plans.views import checks_now, files_now
 from triscope.sources.cache import cached
 from triscope.sources.readers import compare_members, digests, json_lines, new_rows, registry_csv, whole_json
 from triscope.sources.scratch import shared_path
-from triscope.sources.sinks import by_object, read_version, versions, write_version
+from triscope.sources.sinks import by_object, read_version, report, versions, write_version
 from triscope.sources.tables import table
 from triscope.streaming.states import progress_lines
 
@@ -42,6 +42,20 @@ def q_whole_json(spark: SparkSession, d: str) -> DataFrame:
     return whole_json(spark, path, "parameter_code string, unit string").select("parameter_code", "unit")
 
 
+def q_report(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of checks counted, written as a small report and read again."""
+    path = shared_path(spark, "report") + ".json"
+    report(checks_now(spark, d, "violation_label").groupBy("violation_label").agg(F.count("*").alias("n")), path)
+    return whole_json(spark, path, "violation_label string, n bigint").select("violation_label", "n")
+
+
+def q_form_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Places of checks written into forms of three fields over several lines and read again."""
+    c = checks_now(spark, d, "location", "parameter_code").where("location is not null")
+    form = F.concat(F.lit("Акт\n1. Показатель\n"), F.coalesce("parameter_code", F.lit("")), F.lit("\n(код)\n 2. Место\n  "), F.col("location"), F.lit("\n и рядом \n(где)\n3. Итог\n"))
+    return c.groupBy(form_field(form, 2).alias("place"), form_field(form, 3).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def q_registry_csv(spark: SparkSession, d: str) -> DataFrame:
     """The registry as CSV with a header, separators and quotes within fields, read again."""
     path = shared_path(spark, "csv")
@@ -177,6 +191,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "q_json_lines": f + " SELECT section IS NULL AS broken, CASE WHEN section IS NOT NULL THEN stage END AS stage, count(*) AS n, CAST(sum(CASE WHEN section IS NOT NULL THEN size_bytes END) AS BIGINT) AS bytes FROM f GROUP BY 1, 2",
         "q_whole_json": "SELECT parameter_code, unit FROM param_catalog",
+        "q_report": c + " SELECT violation_label, count(*) AS n FROM c GROUP BY 1",
+        "q_form_fields": c + " SELECT trim(regexp_replace(location, '\\s+', ' ', 'g')) || ' и рядом' AS place, CAST(NULL AS VARCHAR) AS outcome, count(*) AS n FROM c WHERE location IS NOT NULL GROUP BY 1",
         "q_registry_csv": f + " SELECT stage, count(*) AS n, count(DISTINCT fid) AS n_files, CAST(sum(length(original_name)) AS BIGINT) AS chars FROM f WHERE original_name IS NOT NULL GROUP BY stage",
         "q_versions": f + " SELECT CASE stage WHEN 'PD' THEN 1 ELSE 2 END AS version, stage, count(*) AS n FROM f WHERE stage IN ('PD', 'RD') GROUP BY stage",
         "q_by_object": c + " SELECT oid, count(*) AS n, count(DISTINCT parameter_code) AS n_parameters FROM c WHERE oid IS NOT NULL GROUP BY oid",
