@@ -135,5 +135,6 @@ UNION ALL SELECT check_id, 'evidence.fragment', i - 1, e.fragment FROM (SELECT c
     return {
         "p4_found": f"WITH {fragments} SELECT DISTINCT check_id, field, CAST(pos AS BIGINT) AS pos FROM t WHERE {_plain_sql('t')} <> t",
         "p4_agreement": f"WITH c AS (SELECT DISTINCT check_id, violation_label, pd_value, rd_value FROM checks WHERE pd_value IS NOT NULL AND rd_value IS NOT NULL) SELECT violation_label, count(*) AS n, count(*) FILTER (pd_value = rd_value) AS n_equal_stored, count(*) FILTER ({_plain_sql('pd_value')} = {_plain_sql('rd_value')}) AS n_equal_plain FROM c GROUP BY 1",
+        "p6_items": found + f", n AS (SELECT item_id, k, array_to_string(w[k + 1:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 11, 0))) AS k FROM (SELECT item_id, {_words_sql('text')} AS w FROM (SELECT DISTINCT item_id, text FROM eval_items) WHERE text IS NOT NULL))) SELECT item_id, count(DISTINCT doc_id) AS n_docs, count(DISTINCT k) AS n_windows FROM n JOIN d USING (g) GROUP BY 1",
         "p6_found": found + "SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
     }
