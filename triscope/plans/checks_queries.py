@@ -128,7 +128,7 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def q_box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of evidence on one page whose boxes overlap by a hundredth or more."""
-    o = overlaps(_boxes(spark, d), ["fid", "page"], "key", 0.01)
+    o = overlaps(_boxes(spark, d), ["fid", "page"], "key", 0.01, cell=0.1)  # boxes are shares of the page
     return o.select("fid", "page", "key_a", "key_b", F.round("iou", 9).alias("iou"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from triscope.functions.parse import form_field, missing_stages, safe_name, text_date, upload_name
 from triscope.operators.matching import diff_lists, same_stems, similar_sets
 from triscope.operators.records import current
-from triscope.plans.documents_queries import _revisions
+from triscope.plans.documents_queries import _REV, _revisions
 from triscope.plans.tables_sql import CHECKS_NOW, FILES_NOW
 from triscope.plans.views import checks_now, files_now
 from triscope.sources.cache import cached
@@ -201,6 +201,12 @@ def oracle_sql() -> dict[str, str]:
         "q_new_rows": "WITH n AS (SELECT check_id, max_by(strftime(created_at, '%Y-%m'), {'a': received_at, 'b': coalesce(violation_label, '')}) AS month FROM checks WHERE received_at >= '2025-06-01' GROUP BY 1) SELECT month, count(*) AS n FROM n WHERE check_id NOT IN (SELECT check_id FROM checks WHERE received_at < '2025-06-01') GROUP BY month",
         "q_compare_members": f + ", e AS (SELECT p AS member, min(z) AS z FROM (SELECT CASE WHEN json_valid(manifest_row) THEN json_extract_string(manifest_row, '$.relative_path') END AS p, CASE WHEN json_valid(manifest_row) THEN try_cast(json_extract_string(manifest_row, '$.size_bytes') AS BIGINT) END AS z FROM f) WHERE p IS NOT NULL GROUP BY 1), t AS (SELECT relative_path AS member, min(size_bytes) AS z FROM f WHERE relative_path IS NOT NULL GROUP BY 1) SELECT CASE WHEN t.member IS NULL THEN 'missing' WHEN e.member IS NULL THEN 'extra' WHEN e.z IS NOT DISTINCT FROM t.z THEN 'ok' ELSE 'size' END AS state, count(*) AS n FROM e FULL JOIN t ON e.member = t.member GROUP BY 1",
         "q_last_write": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY received_at DESC NULLS LAST, reported_at DESC NULLS LAST, count DESC NULLS LAST) AS k FROM integrity WHERE finding_id IS NOT NULL) SELECT type, count(*) AS n, CAST(sum(count) AS BIGINT) AS stated FROM k WHERE k = 1 GROUP BY type",
+        # a design file at a time for all objects at once
+        "q_diff_files": _REV.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT r.oid, r.stage, r.cipher, f.section, f.size_bytes AS z, r.fid, row_number() OVER (PARTITION BY r.oid, r.stage, r.cipher ORDER BY r.fid) AS k FROM r JOIN f ON f.fid = r.fid WHERE r.cipher <> '' AND r.stage IN ('PD', 'RD')),
+p AS (SELECT a.oid, a.fid AS l, b.fid AS r FROM s a JOIN s b ON a.oid = b.oid AND a.cipher = b.cipher AND a.k = b.k AND a.stage = 'PD' AND b.stage = 'RD'), t AS (SELECT * FROM s WHERE fid NOT IN (SELECT l FROM p UNION ALL SELECT r FROM p)),
+g AS (SELECT oid, list({'k': fid, 'n': section, 'z': z} ORDER BY fid) FILTER (stage = 'PD' AND z > 0) AS l, list({'k': fid, 'n': section, 'z': z} ORDER BY fid) FILTER (stage = 'RD' AND z > 0) AS r FROM t GROUP BY oid),
+w AS (SELECT oid, l, r, 0 AS i, CAST(NULL AS VARCHAR) AS hit FROM g WHERE l IS NOT NULL AND r IS NOT NULL UNION ALL SELECT oid, l, CASE WHEN b IS NULL THEN r ELSE list_filter(r, lambda y: y.k <> b.k) END, i + 1, b.k FROM (SELECT *, list_sort(list_transform(list_filter(r, lambda y: abs(y.z - l[i + 1].z) <= 0.03 * greatest(y.z, l[i + 1].z)), lambda y: {'a': coalesce(y.n <> l[i + 1].n, true), 'd': abs(y.z - l[i + 1].z), 'k': y.k}))[1] AS b FROM w WHERE i < len(l))),
+m AS (SELECT oid, count(*) AS n FROM w WHERE hit IS NOT NULL GROUP BY oid), u AS (SELECT oid, 'key' AS how, count(*) AS n FROM p GROUP BY oid UNION ALL SELECT oid, 'area', n FROM m UNION ALL SELECT t.oid, CASE stage WHEN 'PD' THEN 'removed' ELSE 'added' END, count(*) - coalesce(any_value(m.n), 0) FROM t LEFT JOIN m ON m.oid = t.oid GROUP BY t.oid, stage) SELECT oid, how, n FROM u WHERE n > 0""",
         "q_progress_lines": "SELECT CASE WHEN event_type = 'error' THEN 'log' ELSE 'progress' END AS type, count(*) AS n, count(DISTINCT user_id) FILTER (event_type <> 'error') AS n_processes, count(*) FILTER (event_type <> 'error' AND value / 100 >= 1) AS n_full, count(*) FILTER (event_type = 'error') AS n_messages FROM events GROUP BY 1",
         "q_similar_objects": c + f", {_SETS}, p AS (SELECT x.k AS l, y.k AS r, count(*) AS common, count(*) / least(any_value(x.n), any_value(y.n)) AS share FROM x JOIN y USING (m) WHERE x.k <> y.k GROUP BY 1, 2), q AS (SELECT *, max(share) OVER (PARTITION BY l) AS best FROM p WHERE share >= 0.5) SELECT l AS \"left\", r AS \"right\", common, round(share, 9) AS share FROM q WHERE share = best",
         "q_same_stems": c + f", s AS (SELECT violation_label, {_STEMS.format('pd_value')} AS x, {_STEMS.format('rd_value')} AS y FROM c) SELECT violation_label, len(list_intersect(x, y)) = least(len(x), len(y)) OR len(list_intersect(x, y)) / greatest(1, len(list_distinct(x || y))) >= 0.6 AS same, count(*) AS n FROM s GROUP BY 1, 2",
