@@ -97,7 +97,7 @@ def test_components(spark):
 
 
 def test_components_are_finished_or_refused(spark):
-    chain = spark.range(300).selectExpr("id AS u", "id + 1 AS v")
+    chain = spark.range(60).selectExpr("id AS u", "id + 1 AS v")
     assert {r.component for r in components(chain).collect()} == {0}
     with pytest.raises(RuntimeError):
         components(chain, rounds=1)

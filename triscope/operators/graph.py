@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars (Kiveris and others, 2014).
 
 A round aggregates each node's least neighbour and joins it back to the node's edges. The edges of a node with more than ``HUB`` of
-them don't gather in one task: such hubs are few (edges over ``HUB`` at most), so their least neighbours are sent to the edges. Lineage
+them don't gather in one task: such hubs are few (edges over ``HUB`` at most), so how many parts each needs is sent to the edges. Lineage
 is cut by writing the edges of each round. Rounds go on until nothing changes.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from triscope.sources.scratch import written
 
-#: Edges of a node from which on they are left where they are.
+#: Edges of a node that one task takes.
 HUB = 1_000_000
 
 
@@ -21,11 +21,12 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _with_least(around: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """Each edge with the least neighbour of its ``u``."""
-    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("h")))
-    marked = around.join(hubs, "u", "left")
-    rest = marked.where("h is null").drop("h").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
-    return rest.unionByName(marked.where("h is not null").withColumnRenamed("h", "m"))
+    """Each edge with the least neighbour of its ``u``; the edges of a hub in as many parts as it has ``hub`` edges."""
+    parts = F.ceil(F.col("n") / hub).cast("int")
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", parts.alias("parts")))
+    part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)).cast("bigint")).cast("int")
+    filed = least.select("u", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return around.join(hubs, "u", "left").withColumn("part", part).drop("parts").join(filed, ["u", "part"]).drop("part")
 
 
 def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:

@@ -28,35 +28,37 @@ MANIFEST = {
 EVIDENCE_FIELDS = "stage string, file_id string, pdf_page_number int, bbox_norm array<double>, bbox_source string, fragment string"
 
 
-def _tables(spark: SparkSession, d: str) -> str:
-    """The folder of the flat tables of files.manifest_row and checks.evidence, written in one pass."""
-    files = source(table(spark, d, "files", "file_id", "manifest_row"), "files", clean_key(F.col("file_id")), F.col("manifest_row"))
-    checks = table(spark, d, "checks", "check_id", "evidence").where("evidence is not null")
-    both = files.unionByName(source(checks, "checks", F.col("check_id"), F.struct("evidence")))
+def _tables(spark: SparkSession, d: str, *names: str) -> str:
+    """The folder of the flat tables of files.manifest_row, checks.evidence or both, written in one pass."""
+    of = {
+        "files": lambda: source(table(spark, d, "files", "file_id", "manifest_row"), "files", clean_key(F.col("file_id")), F.col("manifest_row")),
+        "checks": lambda: source(table(spark, d, "checks", "check_id", "evidence").where("evidence is not null"), "checks", F.col("check_id"), F.struct("evidence")),
+    }
+    sources = [of[n]() for n in names]
     path = shared_path(spark, "nested")
-    write_tables(emit_tagged(both, {"files": ROOT_FIELD, "checks": None}), path)
+    write_tables(emit_tagged(sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1]), {"files": ROOT_FIELD, "checks": None}), path)
     return path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per non-null object in a list of files.manifest_row or checks.evidence; read from the tables written."""
-    return read_rows(spark, _tables(spark, d)).where("list_path <> ''").select("src", "record_key", "list_path", "parent_pos", "pos").distinct()
+    return read_rows(spark, _tables(spark, d, "files", "checks")).where("list_path <> ''").select("src", "record_key", "list_path", "parent_pos", "pos").distinct()
 
 
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """The flat tables: how many rows, records, and rows whose holder is a row of its own table."""
-    return links(read_rows(spark, _tables(spark, d)))
+    return links(read_rows(spark, _tables(spark, d, "files", "checks")))
 
 
 def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The evidence of all checks as a flat table, its fields typed."""
-    e = read_table(spark, _tables(spark, d), "checks", "evidence", EVIDENCE_FIELDS)
+    e = read_table(spark, _tables(spark, d, "checks"), "checks", "evidence", EVIDENCE_FIELDS)
     return e.select(F.col("record_key").cast("bigint").alias("check_id"), "pos", "stage", "file_id", "pdf_page_number", F.array_join(F.transform("bbox_norm", lambda x: F.coalesce(F.round(x * 1_000_000).cast("bigint"), F.lit(-1)).cast("string")), ",").alias("bbox_millionths"), "bbox_source", "fragment").distinct()
 
 
 def p1_stamps(spark: SparkSession, d: str) -> DataFrame:
     """The stamps of all sheets as a flat table, joined by the holders' keys to their sheets, revisions and files."""
-    path = _tables(spark, d)
+    path = _tables(spark, d, "files")
     of = lambda at: read_table(spark, path, "files", at, MANIFEST[at])
     sheets = of("revisions.sheets").select(F.col("row_key").alias("sheet"), F.col("parent_key").alias("revision"), F.col("code").alias("sheet_code"), F.col("no").alias("sheet_no"))
     revisions = of("revisions").select(F.col("row_key").alias("revision"), F.col("parent_key").alias("file"), "rev")
